@@ -1,0 +1,248 @@
+"""Personal data in texts by weak supervision.
+
+Regular expressions propose candidate spans. Six labelers (form, checksum,
+gazetteer, left context, isolation, variety) vote on each: +1, -1 or 0 for no
+opinion. Votes are counted per pattern over the whole corpus in Spark;
+expectation-maximisation over those counts estimates how far each labeler can
+be trusted, and a logistic classifier is fitted to its soft labels. The
+classifier decides which candidates beyond the base rules become spans.
+
+The number of vote patterns is at most kinds x 3^6 x length classes, whatever
+the corpus, so only that small count table reaches the driver.
+
+Defined results: a null text is empty; an empty text has no spans; an empty
+table gives an empty result; repeated rows give repeated results.
+"""
+
+from __future__ import annotations
+
+import hashlib
+import re
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import cut, per_batch, texts_of
+
+BASE_KINDS = ("email", "ip", "card", "phone")
+ADDED_KINDS = ("email_obf", "phone_local", "ssn", "iban", "person")
+KINDS = BASE_KINDS + ADDED_KINDS
+
+LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
+DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+# A failed start inside a run of digits cannot succeed where the run's first digit failed, hence the look-behind.
+IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
+CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
+PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
+EXTRA = {
+    "email_obf": re.compile(r"\b[A-Za-z0-9._%+-]{1,64} ?[\[(] ?at ?[\])] ?[A-Za-z0-9-]{1,63}(?: ?[\[(] ?dot ?[\])] ?[A-Za-z0-9-]{1,63})+", re.I),
+    "phone_local": re.compile(r"(?<![0-9+(.-])(?:\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}(?![0-9-])"),
+    "ssn": re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
+    "iban": re.compile(r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}\b"),
+    "person": re.compile(r"\b(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Monsieur|Madame|Señor|Señora)\.? [A-Z]\w{1,20}(?: [A-Z]\w{1,20})?"),
+}
+# What has to occur in a text before the costlier pattern is tried.
+NEEDS = {"email_obf": re.compile(r"[\[(] ?at ?[\])]", re.I), "person": re.compile(r"\b(?:Mrs?|Ms|Dr|Prof|Herr|Frau|Monsieur|Madame|Señora?)\b")}
+
+TLDS = {"com", "org", "net", "edu", "gov", "io", "info", "biz", "de", "fr", "es", "uk", "it", "nl", "eu", "us", "ca", "au", "ch", "at"}
+FIRST_NAMES = {"james", "mary", "john", "anna", "peter", "paul", "maria", "hans", "pierre", "marie", "jose", "juan", "carmen", "sophie", "michael", "thomas", "laura", "david", "sarah", "emma"}
+CONTEXT = {
+    "email": r"e-?mail|contact|write|kontakt|correo|courriel",
+    "phone": r"call|tel|phone|mobile|fax|anruf|llama",
+    "card": r"card|visa|master|amex|karte|carte|tarjeta",
+    "ip": r"\bip\b|host|server|address|adresse",
+    "ssn": r"ssn|social|security",
+    "iban": r"iban|account|konto|compte|cuenta",
+    "person": r"dear|name|signed|regards|by",
+}
+CONTEXT_RE = {k: re.compile(v, re.I) for k, v in CONTEXT.items()}
+AGAINST = re.compile(r"version|order|invoice|isbn|build|chapter|page|serial|part no|ticket", re.I)
+FAMILY = {"email_obf": "email", "phone_local": "phone"}
+
+
+def luhn(digits: str) -> bool:
+    total = 0
+    for i, c in enumerate(reversed(digits)):
+        d = ord(c) - 48
+        if i % 2:
+            d = d * 2 - 9 * (d > 4)
+        total += d
+    return total % 10 == 0
+
+
+def emails(text: str):
+    """Leftmost non-overlapping e-mail addresses: one try for each @, whose local part cannot reach another @."""
+    end, at = 0, text.find("@")
+    while at >= 0:
+        step = 256
+        lo = max(end, at - step)
+        start = lo + len(text[lo:at].rstrip(LOCAL))
+        while start == lo and lo > end:  # the run of allowed characters may be longer than the piece
+            step *= 4
+            lo = max(end, at - step)
+            start = lo + len(text[lo:at].rstrip(LOCAL))
+        if start < at and (m := DOMAIN.match(text, at + 1)):
+            yield start, m.end()
+            end = m.end()
+            at = text.find("@", end)
+        else:
+            at = text.find("@", at + 1)
+
+
+def candidates(text: str) -> list[tuple[str, int, int, bool]]:
+    """(kind, start, end, passes its own rule) of base and further candidates."""
+    out = [("email", s, e, True) for s, e in emails(text)]
+    if DIGIT.search(text):
+        out += [("ip", m.start(), m.end(), all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m[0].split("."))) for m in IP.finditer(text)]
+        for m in CARD.finditer(text):
+            if len(m[0]) > 12:
+                digits = m[0].replace(" ", "").replace("-", "")
+                if len(digits) > 12:
+                    out.append(("card", m.start(), m.end(), len(digits) <= 19 and luhn(digits)))
+        if "+" in text:
+            out += [("phone", m.start(), m.end(), 9 <= sum(c.isdigit() for c in m[0]) <= 15) for m in PHONE.finditer(text)]
+        out += [(k, m.start(), m.end(), True) for k in ("phone_local", "ssn", "iban") for m in EXTRA[k].finditer(text)]
+    for k, need in NEEDS.items():
+        if need.search(text):
+            out += [(k, m.start(), m.end(), True) for m in EXTRA[k].finditer(text)]
+    return out
+
+
+DIGIT = re.compile("[0-9]")
+
+
+def votes(text: str, kind: str, start: int, end: int, valid: bool) -> str:
+    """The six labelers' votes as a string over - 0 +."""
+    span, left = text[start:end], text[max(0, start - 40) : start]
+    family = FAMILY.get(kind, kind)
+    form = 1 if kind in ("email", "ip", "card", "phone", "ssn") else 0
+    checksum = (1 if valid else -1) if kind in ("ip", "card", "phone") else 0
+    gazetteer = 0
+    if kind == "email":
+        gazetteer = 1 if span.rpartition(".")[2].lower() in TLDS else -1
+    elif kind == "card":
+        gazetteer = 1 if span[0] in "3456" else -1
+    elif kind == "ip":
+        gazetteer = -1 if span.startswith(("0.", "127.", "255.")) else 0
+    elif kind == "ssn":
+        gazetteer = -1 if span.startswith(("000", "666", "9")) else 0
+    elif kind == "person":
+        gazetteer = 1 if any(w.lower() in FIRST_NAMES for w in span.split()[1:]) else -1
+    context = -1 if AGAINST.search(left) else 1 if CONTEXT_RE[family].search(left) else 0
+    glued = (start > 0 and text[start - 1].isalnum()) or (end < len(text) and text[end].isalnum())
+    variety = 0
+    if kind in ("card", "phone", "phone_local", "ssn", "ip"):
+        variety = 1 if len(set(c for c in span if c.isdigit())) > 2 else -1
+    return "".join("-0+"[v + 1] for v in (form, checksum, gazetteer, context, -1 if glued else 1, variety))
+
+
+FOUND = "doc_id {id}, candidates array<struct<kind:string,start:int,end:int,valid:boolean,pattern:string>>"
+
+
+def _find():
+    kind_type = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("valid", pa.bool_()), ("pattern", pa.string())]))
+
+    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows = []
+        for text in batch.column(1).to_pylist():
+            rows.append([
+                {"kind": k, "start": s, "end": e, "valid": v, "pattern": f"{k}|{votes(text, k, s, e, v)}|{min((e - s) // 8, 3)}"}
+                for k, s, e, v in candidates(text)
+            ])
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, kind_type)], names=["doc_id", "candidates"])
+
+    return step
+
+
+def estimate(counts: dict[str, int], rounds: int = 40) -> dict[str, float]:
+    """EM over vote patterns, then a logistic classifier on its soft labels.
+
+    ``counts``: how often each pattern ``kind|votes|length class`` occurs.
+    Returns the classifier's probability for each pattern.
+    """
+    if not counts:
+        return {}
+    keys = sorted(counts)
+    weight = np.array([counts[k] for k in keys], float)
+    kind = np.array([KINDS.index(k.split("|")[0]) for k in keys])
+    vote = np.array([["-0+".index(c) for c in k.split("|")[1]] for k in keys])
+    length = np.array([int(k.split("|")[2]) for k in keys])
+    y = 1 / (1 + np.exp(-(vote - 1).sum(1).astype(float)))  # majority vote to begin with
+    for _ in range(rounds):
+        prior = np.array([(0.5 + (weight * y)[kind == k].sum()) / (1 + weight[kind == k].sum()) for k in range(len(KINDS))])
+        odds = np.log(prior / (1 - prior))[kind]
+        for j in range(vote.shape[1]):
+            seen = [np.array([0.5 + (weight * p)[vote[:, j] == v].sum() for v in range(3)]) for p in (y, 1 - y)]
+            rate = [s / s.sum() for s in seen]
+            effect = np.log(rate[0] / rate[1])
+            effect[1] = 0.0  # an abstention says nothing
+            effect[0], effect[2] = min(effect[0], 0.0), max(effect[2], 0.0)
+            odds += effect[vote[:, j]]
+        y = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
+    columns = [np.ones(len(keys))] + [(kind == k).astype(float) for k in range(len(KINDS))] + [(vote[:, j] == v).astype(float) for j in range(vote.shape[1]) for v in (0, 2)] + [(length == v).astype(float) for v in range(4)]
+    x = np.stack(columns, 1)
+    w = np.zeros(x.shape[1])
+    for _ in range(30):  # Newton steps with a ridge
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        h = (x * (weight * p * (1 - p))[:, None]).T @ x + np.eye(len(w))
+        w += np.linalg.solve(h, x.T @ (weight * (y - p)) - w)
+    return dict(zip(keys, 1 / (1 + np.exp(-np.clip(x @ w, -30, 30))), strict=True))
+
+
+def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """One row a document: doc_id, base and added: arrays of spans (kind, start, end, probability).
+
+    ``base`` holds what the base rules accept, ``added`` the candidates of the
+    further kinds with a probability of ``threshold`` or more that overlap no
+    base span. Offsets are code points, ends exclusive.
+    """
+    source = texts_of(docs, id_col, text_col)
+    id_type = dict(source.dtypes)["doc_id"]
+    found = cut(per_batch(source, _find, FOUND.format(id=id_type)))
+    counts = found.select(F.explode("candidates").alias("c")).groupBy("c.pattern").count()
+    chance = {r["pattern"]: r["count"] for r in counts.collect()}  # at most kinds x 3^6 x 4 rows
+    chance = estimate(chance)
+    span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("probability", pa.float64())]))
+
+    def classify():
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            base_rows, added_rows = [], []
+            for cands in batch.column(1).to_pylist():
+                base, added, taken = [], [], []
+                for c in cands:
+                    if c["kind"] in BASE_KINDS and c["valid"]:
+                        base.append({"kind": c["kind"], "start": c["start"], "end": c["end"], "probability": chance[c["pattern"]]})
+                        taken.append((c["start"], c["end"]))
+                for c in cands:
+                    if c["kind"] in ADDED_KINDS and chance[c["pattern"]] >= threshold and not any(c["start"] < e and s < c["end"] for s, e in taken):
+                        added.append({"kind": c["kind"], "start": c["start"], "end": c["end"], "probability": chance[c["pattern"]]})
+                        taken.append((c["start"], c["end"]))
+                order = lambda c: (KINDS.index(c["kind"]), c["start"])
+                base_rows.append(sorted(base, key=order))
+                added_rows.append(sorted(added, key=order))
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(base_rows, span), pa.array(added_rows, span)], names=["doc_id", "base", "added"])
+
+        return step
+
+    kind = "array<struct<kind:string,start:int,end:int,probability:double>>"
+    return per_batch(found, classify, f"doc_id {id_type}, base {kind}, added {kind}")
+
+
+def digest_columns(found: DataFrame) -> DataFrame:
+    """The digest columns of the query from :func:`find_personal_data`."""
+    text = lambda c: F.concat_ws(":", c["kind"], c["start"].cast("string"), c["end"].cast("string"))
+    joined = lambda *a: F.array_join(F.transform(F.concat(*map(F.col, a)), text), ",")
+    n = lambda k: F.size(F.filter("base", lambda c: c["kind"] == k)).cast("long").alias(f"n_{k}")
+    return found.select(
+        "doc_id",
+        *[n(k) for k in BASE_KINDS],
+        F.sha2(joined("base"), 256).alias("base_sha256"),
+        joined("base", "added").alias("spans"),
+        F.size("added").cast("long").alias("n_added"),
+    )
+
+
+def empty_digest() -> str:
+    return hashlib.sha256(b"").hexdigest()
