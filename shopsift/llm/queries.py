@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, exact_dedup, language, licenses, near_dedup, pii, rans, warc
+from . import bpe, decontam, exact_dedup, language, licenses, lm, near_dedup, pii, rans, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,10 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(_table(spark, sf_dir, "documents")).drop("historical")
 
 
+def op5_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_texts(_table(spark, sf_dir, "documents"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).drop("n_split")
 
@@ -51,7 +55,7 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumns(joined).drop("places")
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_warc, op3_token_ids, op4_exact_dedup, op6_byte_bpe, op7_decontamination, op8_near_dedup, op9_language, op10_licenses)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_warc, op3_token_ids, op4_exact_dedup, op5_context_mixing, op6_byte_bpe, op7_decontamination, op8_near_dedup, op9_language, op10_licenses)}
 
 SQL = {
     "op4_exact_dedup": r"""
