@@ -12,8 +12,11 @@ shares no bucket.
 Documents with equal sets are one class, and only one row a class goes on. In a
 bucket of few classes all pairs are candidates, in a larger one the pairs with
 its smallest class. Candidates are confirmed on full sets. Then pairs of
-different components that share a larger bucket remain: each is confirmed too,
-so nothing is capped; pairs within a component could add nothing.
+different components that share a larger bucket remain; pairs within a component
+could add nothing. Of them, those that agree in so few of ``LONG`` coordinates
+that similarity 0.8 would be five standard deviations off are dropped, as the
+sketch's concentration allows (one in 3e6 pairs at the threshold), and all others
+are confirmed, each once, in the first bucket that they share; nothing is capped.
 
 Defined results: null or blank texts have an empty set, size 0, and are linked
 with nothing; a text of fewer words than a shingle has one shingle; rows that
@@ -38,8 +41,9 @@ SHINGLE = 5
 SIMILARITY = 80  # in hundredths
 BINS, ROWS = 128, 4
 FEW = 4
+LONG, SLICES = 1024, 4
 MEMO = 400_000
-SEEDS = (np.arange(1, 2 * BINS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+SEEDS = (np.arange(1, 2 * LONG + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 NONE = np.uint64(2**64 - 1)
 
 
@@ -72,21 +76,35 @@ def shingles(text: str, size: int, memo: WordHashes) -> np.ndarray:
     return np.unique(out)
 
 
-def sketch(items: np.ndarray) -> np.ndarray:
-    """The fast similarity sketch of a set that is not empty."""
-    out = np.full(BINS, NONE)
-    step = max(1, 2 * BINS // len(items))
-    for lo in range(0, BINS, step):
-        rounds = np.arange(lo, min(BINS, lo + step), dtype=np.uint64)
+def sketch(items: np.ndarray, bins: int = BINS) -> np.ndarray:
+    """The fast similarity sketch of a set that is not empty; ``bins`` is a power of two."""
+    out = np.full(bins, NONE)
+    step = max(1, 2 * bins // len(items))
+    for lo in range(0, bins, step):
+        rounds = np.arange(lo, min(bins, lo + step), dtype=np.uint64)
         x = mix(items[None, :] ^ SEEDS[rounds.astype(np.int64), None])
-        np.minimum.at(out, (x & np.uint64(BINS - 1)).reshape(-1).astype(np.int64), ((rounds[:, None] << np.uint64(54)) | (x >> np.uint64(10))).reshape(-1))
+        np.minimum.at(out, (x & np.uint64(bins - 1)).reshape(-1).astype(np.int64), ((rounds[:, None] << np.uint64(53)) | (x >> np.uint64(11))).reshape(-1))
         if out.max() != NONE:
             return out
     for b in np.flatnonzero(out == NONE):
-        out[b] = (np.uint64(BINS + b) << np.uint64(54)) | (mix(items ^ SEEDS[BINS + b]) >> np.uint64(10)).min()
+        out[b] = (np.uint64(bins + b) << np.uint64(53)) | (mix(items ^ SEEDS[bins + b]) >> np.uint64(11)).min()
     return out
 
 
+def sliced(items: np.ndarray) -> np.ndarray:
+    """The lowest ``SLICES`` bits of each of ``LONG`` coordinates: by bit, 64 coordinates a word."""
+    low = sketch(items, LONG)
+    return np.concatenate([np.packbits(((low >> np.uint64(i)) & np.uint64(1)).astype(np.uint8)).view(np.int64) for i in range(SLICES)])
+
+
+def may_agree(x: str, y: str, similarity: int) -> str:
+    """SQL: ``x`` and ``y``, as :func:`sliced` gives them, differ in no more coordinates than the similarity allows."""
+    words = LONG // 64
+    differ = " + ".join("bit_count(" + " | ".join(f"({x}[{i * words + w}] ^ {y}[{i * words + w}])" for i in range(SLICES)) + ")" for w in range(words))
+    rate = (1 - similarity / 100) * (1 - 0.5**SLICES)
+    return f"{differ} <= {int(LONG * rate + 5 * (LONG * rate * (1 - rate)) ** 0.5)}"
+
+
 def bands(items: np.ndarray) -> np.ndarray:
     rows = sketch(items).reshape(-1, ROWS)
     keys = np.arange(1, len(rows) + 1, dtype=np.uint64)
@@ -131,6 +149,16 @@ def sets_of(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
     return source.mapInArrow(read, "node long, items array<long>").filter(F.size("items") > 0)
 
 
+def with_slices(sets: DataFrame) -> DataFrame:
+    """(node, slices) of (node, items)."""
+
+    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+        got = [sliced(np.array(x.as_py(), np.int64).view(np.uint64)) for x in batch.column(1)]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.list_(pa.int64()))], names=["node", "slices"])
+
+    return per_batch(sets.select("node", "items"), lambda: step, "node long, slices array<long>")
+
+
 def confirm(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     """The pairs (a, b) whose full sets are as similar as asked."""
     left = sets.select(F.col("node").alias("a"), F.col("items").alias("x"))
@@ -172,9 +200,9 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: int = S
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = cut(sketched(docs, shingle))
     classes = cut(rows.filter("n_shingles > 0").groupBy("sig").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")))
-    keys = classes.filter("node IS NOT NULL").select("node", "n", F.explode("bands").alias("key"))
+    keys = classes.filter("node IS NOT NULL").select("node", "n", F.posexplode("bands").alias("band", "key"))
     buckets = cut(keys.groupBy("key").agg(F.count("*").alias("many"), F.min(F.struct("node", "n")).alias("first")).filter("many > 1"))
-    members = cut(keys.join(buckets, "key").select("key", "node", "n", "many", "first"))
+    members = cut(keys.join(buckets, "key").select("key", "band", "node", "n", "many", "first"))
     sets = cut(sets_of(docs, members.select("node").distinct(), shingle))
 
     few = members.filter(f"many <= {FEW}")
@@ -185,15 +213,18 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: int = S
     found = cut(components(links))
 
     # What the stars left: pairs of different components within a larger bucket.
-    labelled = members.filter(f"many > {FEW}").select("key", "node", "n").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    labelled = cut(labelled)
+    labelled = members.filter(f"many > {FEW}").select("key", "band", "node", "n").join(found, "node", "left")
+    labelled = cut(labelled.withColumn("component", F.coalesce("component", "node")))
     parts = labelled.groupBy("key", "component").agg(F.count("*").alias("size"))
     largest = parts.groupBy("key").agg(F.max(F.struct("size", "component"))["component"].alias("major"), F.count("*").alias("parts")).filter("parts > 1").select("key", "major")
     open_rows = cut(labelled.join(largest, "key"))
-    minor = open_rows.filter("component != major").select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-    others = open_rows.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-    rest = minor.join(others, "key").filter("ca != cb").filter(fits(similarity)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = cut(confirm(rest.join(pairs, ["a", "b"], "left_anti"), sets, similarity))
+    inside = cut(with_slices(sets.join(open_rows.select("node").distinct(), "node", "left_semi")).join(classes.select("node", "bands"), "node"))
+    open_rows = open_rows.join(inside, "node")
+    x = open_rows.filter("component != major").select("key", "band", F.col("node").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"), F.col("slices").alias("sa"), F.col("bands").alias("ba"))
+    y = open_rows.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"), (F.col("component") == F.col("major")).alias("is_major"), F.col("slices").alias("sb"), F.col("bands").alias("bb"))
+    new = f"ca != cb AND (is_major OR a < b) AND {fits(similarity)} AND {may_agree('sa', 'sb', similarity)} AND NOT arrays_overlap(slice(ba, 1, band), slice(bb, 1, band))"
+    rest = x.withColumnRenamed("key", "kx").join(y.withColumnRenamed("key", "ky"), F.expr(f"kx = ky AND {new}")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    more = cut(confirm(rest.distinct(), sets, similarity))
     if not more.isEmpty():
         found = cut(components(links.unionByName(more)))
 
