@@ -34,7 +34,7 @@ from .common import per_batch, texts_of
 #: Unicode's White_Space.
 WHITE = "\t\n\x0b\x0c\r \x85\xa0                　"
 PIECES = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
-MEMO = 400_000  # pieces that a task remembers
+MEMO = 1_000_000  # pieces that a worker remembers
 
 
 @functools.cache
@@ -181,12 +181,18 @@ class PieceEncoder:
         return out
 
 
+@functools.cache
+def worker_encoder(path: str, pattern: str | None = None) -> PieceEncoder:
+    """The encoder of a worker process: tasks that follow one another share its memo."""
+    return PieceEncoder(load_ranks_tokenizer(path, pattern) if pattern else load_json_tokenizer(path))
+
+
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, ids array<int>, n_bytes: each whole text by the ranks at ``path``."""
     source = texts_of(docs, id_col, text_col)
 
     def make():
-        encoder = PieceEncoder(load_ranks_tokenizer(path, pattern))
+        encoder = worker_encoder(path, pattern)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             texts = batch.column(1).to_pylist()

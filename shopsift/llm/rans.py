@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import PieceEncoder, load_json_tokenizer
+from .bpe import worker_encoder
 from .common import cut, new_folder
 
 MAGIC = b"RANSID01"
@@ -219,7 +219,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col: s
     ordered = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = PieceEncoder(load_json_tokenizer(tokenizer))
+        encoder = worker_encoder(tokenizer)
         partition, number, end = TaskContext.get().partitionId(), 0, struct.pack("<I", end_id)
         docs, raws, size = [], [], 0
 
