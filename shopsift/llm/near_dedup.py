@@ -41,7 +41,8 @@ SHINGLE = 5
 SIMILARITY = 80  # in hundredths
 BINS, ROWS = 128, 4
 FEW = 4
-LONG, SLICES = 1024, 4
+LONG, SLICES = 1024, 2
+SMALL_ITEMS = 2_000_000  # shingles of the sets that may be broadcast
 MEMO = 400_000
 SEEDS = (np.arange(1, 2 * LONG + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 NONE = np.uint64(2**64 - 1)
@@ -160,9 +161,19 @@ def with_slices(sets: DataFrame) -> DataFrame:
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are as similar as asked."""
+    """The pairs (a, b) whose full sets are as similar as asked.
+
+    Sets are broadcast only if those needed have ``SMALL_ITEMS`` shingles at
+    most; beyond that pairs and sets meet by two shuffles.
+    """
+    pairs = cut(pairs)
+    needed = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    sets = cut(sets.join(needed, "node", "left_semi"))
+    small = (sets.agg(F.sum(F.size("items"))).first()[0] or 0) <= SMALL_ITEMS
     left = sets.select(F.col("node").alias("a"), F.col("items").alias("x"))
     right = sets.select(F.col("node").alias("b"), F.col("items").alias("y"))
+    if small:
+        left, right = F.broadcast(left), F.broadcast(right)
     both = pairs.join(left, "a").join(right, "b").withColumn("common", F.size(F.array_intersect("x", "y")))
     return both.filter(100 * F.col("common") >= similarity * (F.size("x") + F.size("y") - F.col("common"))).select("a", "b")
 
