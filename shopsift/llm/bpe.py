@@ -34,7 +34,7 @@ from .common import per_batch, texts_of
 #: Unicode's White_Space.
 WHITE = "\t\n\x0b\x0c\r \x85\xa0                　"
 PIECES = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
-MEMO = 1_000_000  # pieces that a worker remembers
+MEMO = 500_000  # pieces that a worker remembers
 
 
 @functools.cache
