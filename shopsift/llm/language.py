@@ -246,7 +246,17 @@ def learn(docs: DataFrame, may_learn: Column, sample: int = SAMPLE, text_col: st
     key = F.xxhash64(text_col, F.lit(17))
     piece = F.substring(F.col(text_col), F.pmod(key, F.greatest(n - PIECE, F.lit(1))).cast("int") + 1, F.lit(PIECE))
     rows = docs.filter(may_learn & F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
-    rows = rows.select(F.col(lang_col).cast("string").alias("lang"), key.alias("key"), piece.alias("piece")).orderBy("key", "piece", "lang").limit(sample).collect()
+    rows = rows.select(F.col(lang_col).cast("string").alias("lang"), key.alias("key"), piece.alias("piece"))
+    # Each task sends its smallest keys to the driver. A bound on keys leaves about four times the sample over all tasks; the few
+    # corpora where it leaves less than the sample (most rows alike) go without it, so the sample is the same either way.
+    smallest = lambda found: found.orderBy("key", "piece", "lang").limit(sample).collect()
+    n_rows, whole = rows.count(), rows
+    if n_rows > 4 * sample:
+        rows = smallest(whole.filter(F.col("key") < 2**64 * 4 * sample // n_rows - 2**63))
+    else:
+        rows = []
+    if len(rows) < sample:
+        rows = smallest(whole)
     langs = sorted({r["lang"] for r in rows})
     if not langs:
         return [], None
