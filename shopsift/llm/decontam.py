@@ -118,14 +118,15 @@ def proximity(docs: DataFrame, phrases: DataFrame, slack: int = 5) -> DataFrame:
     ``phrases``: (wid, terms). Of overlapping spans each start is given with its shortest span.
     """
     source = keyed(docs)
-    wanted = phrases.select("wid", F.explode(F.array_distinct("terms")).alias("term"), F.size(F.array_distinct("terms")).alias("need"), F.size("terms").alias("n"))
-    index = postings(source, wanted.select("term").distinct())
+    wanted = phrases.select("wid", F.explode(F.array_distinct("terms")).alias("term"), F.size(F.array_distinct("terms")).alias("need"), F.size("terms").alias("n")).distinct()
+    index = postings(source.dropDuplicates(["k", "h"]), wanted.select("term").distinct())
     lists = index.join(wanted, "term")
     complete = lists.groupBy("k", "h", "wid").agg(F.count_distinct("term").alias("have"), F.first("need").alias("need")).filter("have = need").select("k", "h", "wid")
     lists = lists.join(complete, ["k", "h", "wid"], "left_semi")
-    # Each term's next place at or after this one; the span must hold all of them.
+    # A span's places are no more than its words, so the longest phrase and ``slack`` bound the rows of the frame.
+    widest = (phrases.agg(F.max(F.size("terms"))).first()[0] or 0) + slack
     after = Window.partitionBy("k", "h", "wid").orderBy("pos").rowsBetween(0, Window.unboundedFollowing)
-    ends = lists.withColumn("next", F.collect_list(F.struct("pos", "term")).over(after.rowsBetween(0, 64)))
+    ends = lists.withColumn("next", F.collect_list(F.struct("pos", "term")).over(after.rowsBetween(0, widest)))
     near = ends.withColumn("near", F.filter("next", lambda c: c["pos"] < F.col("pos") + F.col("n") + slack))
     firsts = F.transform(F.array_distinct(F.transform("near", lambda c: c["term"])), lambda t: F.array_min(F.transform(F.filter("near", lambda c: c["term"] == t), lambda c: c["pos"])))
     spans = near.filter(F.size(F.array_distinct(F.transform("near", lambda c: c["term"]))) == F.col("need"))

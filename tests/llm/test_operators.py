@@ -148,6 +148,11 @@ def test_proximity(spark):
     phrases = spark.createDataFrame([("p", ["red", "big", "house"])], "wid string, terms array<string>")
     got = decontam.proximity(docs, phrases, slack=4).collect()
     assert [(r.doc_id, r.start, r.end) for r in got] == [(1, 0, 6)]
+    # A phrase of 90 words whose last word comes at the end; repeated rows and phrases change nothing.
+    long = ["red"] * 89 + ["house"]
+    docs = spark.createDataFrame([(1, " ".join(long))] * 2, "doc_id long, text string")
+    got = decontam.proximity(docs, spark.createDataFrame([("p", long)] * 2, "wid string, terms array<string>"), slack=0).collect()
+    assert sorted((r.start, r.end) for r in got) == [(i, 90) for i in range(89)]
 
 
 def test_near_dedup(spark, sf):
