@@ -7,9 +7,9 @@ positions that belong to letters. Gates and candidates use the cheap squashing
 functions x / (1 + |x|), shifted and scaled to (0, 1) for gates. The network is
 trained in numpy by backpropagation through time with Adam.
 
-It learns from at most ``SAMPLE`` labelled rows, those with the smallest hashes
-of their keys, of each a piece of ``PIECE`` characters; the caller says which
-rows may be learned from. Prediction reads whole texts: a text is cut into
+Every language with a labelled row is a class. Of each language it learns from
+at most ``SAMPLE`` distinct texts, those with the smallest hashes, of each a
+piece of ``PIECE`` characters; the caller says which rows may be learned from. Prediction reads whole texts: a text is cut into
 segments of ``SPAN`` bytes, which a task runs in lockstep, so its time follows
 its length alone.
 
@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SAMPLE = 1600
@@ -178,7 +178,9 @@ def train(samples: list[tuple[bytes, int]], classes: int, steps: int = 260, lane
     rng = np.random.default_rng(seed)
     p = initial(classes)
     m, v = ({k: np.zeros_like(a) for k, a in p.items()} for _ in range(2))
-    by_class = [[s for s, y in samples if y == k] for k in range(classes)]
+    by_class: list[list[bytes]] = [[] for _ in range(classes)]
+    for s, k in samples:
+        by_class[k].append(s)
     for step in range(steps):
         y = rng.integers(0, classes, lanes)
         data = np.full((span, lanes), 32, np.uint8)
@@ -241,29 +243,39 @@ def score_texts(p: Params, texts: list[bytes]) -> np.ndarray:
 
 
 def learn(docs: DataFrame, may_learn: Column, sample: int = SAMPLE, text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], Params | None]:
-    """The learned languages, sorted, and the network; from at most ``sample`` rows of ``docs``."""
+    """The learned languages, sorted, and the network; from at most ``sample`` distinct texts of each language in ``docs``."""
     n = F.char_length(text_col)
     key = F.xxhash64(text_col, F.lit(17))
     piece = F.substring(F.col(text_col), F.pmod(key, F.greatest(n - PIECE, F.lit(1))).cast("int") + 1, F.lit(PIECE))
     rows = docs.filter(may_learn & F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
     rows = rows.select(F.col(lang_col).cast("string").alias("lang"), key.alias("key"), piece.alias("piece"))
-    # Each task sends its smallest keys to the driver. A bound on keys leaves about four times the sample over all tasks; the few
-    # corpora where it leaves less than the sample (most rows alike) go without it, so the sample is the same either way.
-    smallest = lambda found: found.orderBy("key", "piece", "lang").limit(sample).collect()
-    n_rows, whole = rows.count(), rows
-    if n_rows > 4 * sample:
-        rows = smallest(whole.filter(F.col("key") < 2**64 * 4 * sample // n_rows - 2**63))
-    else:
-        rows = []
-    if len(rows) < sample:
-        rows = smallest(whole)
-    langs = sorted({r["lang"] for r in rows})
+    # A row a language. Copies have one key, so the estimate of distinct keys tells which bound leaves about four times the sample.
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct("key").alias("n")).collect()}
+    langs = sorted(sizes)
     if not langs:
         return [], None
-    samples = [(r["piece"].encode(), langs.index(r["lang"])) for r in rows]
+    bounds = {lang: 2**64 * 4 * sample // n - 2**63 for lang, n in sizes.items() if n > 4 * sample}
+    found = _smallest(rows, {lang: bounds.get(lang, 2**63 - 1) for lang in langs}, sample)
+    # Should the estimate have been far off, the language goes without a bound, so the sample is the same either way.
+    short = [lang for lang in bounds if len(found.get(lang, ())) < sample]
+    if short:
+        found |= _smallest(rows, dict.fromkeys(short, 2**63 - 1), sample)
+    samples = [(piece.encode(), k) for k, lang in enumerate(langs) for piece in found[lang]]
     return langs, train(samples, len(langs))
 
 
+def _smallest(rows: DataFrame, bounds: dict[str, int], sample: int) -> dict[str, list[str]]:
+    """The pieces with the ``sample`` smallest distinct keys of each language, of keys up to its bound."""
+    few = rows.sparkSession.createDataFrame(list(bounds.items()), "lang string, bound long")  # a row a language
+    some = rows.join(F.broadcast(few), "lang").filter("key <= bound")
+    distinct = some.groupBy("lang", "key").agg(F.min("piece").alias("piece"))  # copies combine before the shuffle
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("key"))
+    out: dict[str, list[str]] = {}
+    for r in distinct.withColumn("place", place).filter(F.col("place") <= sample).orderBy("lang", "key").collect():
+        out.setdefault(r["lang"], []).append(r["piece"])
+    return out
+
+
 def predict(docs: DataFrame, langs: list[str], params: Params | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, lang_pred, score (the pooled probability) of every row."""
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("has_letter"))

@@ -188,6 +188,20 @@ def test_language_held_out(spark):
     assert np.mean([r.lang == r.lang_pred for r in got]) > 0.95
 
 
+def test_language_sample_has_every_language_and_no_copies(spark, monkeypatch):
+    copies = [(i, "one text that all share", "en") for i in range(300)]
+    others = [(1000 + i, f"english number {i} of many", "en") for i in range(40)] + [(2000 + i, f"deutsche zahl {i}", "de") for i in range(200)]
+    docs = spark.createDataFrame([*copies, *others, (5000, "kielet ovat harvinaisia", "fi")], "doc_id long, text string, lang string")
+    seen = []
+    monkeypatch.setattr(language, "train", lambda samples, classes: seen.append(samples))
+    langs, _ = language.learn(docs, language.F.lit(True), 20)
+    assert langs == ["de", "en", "fi"] and Counter(k for _, k in seen[0]) == {0: 20, 1: 20, 2: 1}
+    assert len(set(seen[0])) == 41
+    tables = docs.selectExpr("lang", "text", "xxhash64(text, 17) AS h").distinct().orderBy("h").collect()
+    for k, lang in enumerate(langs):
+        assert [p.decode() for p, y in seen[0] if y == k] == [r.text for r in tables if r.lang == lang][:20]
+
+
 def test_gradients_match_differences():
     rng = np.random.default_rng(0)
     p = {k: v.astype(float) for k, v in language.initial(3).items()}
