@@ -6,8 +6,9 @@ coded byte by byte and each byte bit by bit. Four predictors give each bit's
 odds from counts: three by hashes of the last one, two and three bytes, learned
 from word types, and one by the whole prefix of the word, learned from tokens.
 The first four bytes' prefixes are hashed into a table of bounded size; longer
-prefixes are counted exactly where all words with the same first four bytes
-meet, so this part grows with the corpus. A mixer adds the logits with weights
+prefixes are counted exactly where all words with the same prefix meet: the
+first four bytes or, where too many words share those, as many more as make
+groups of bounded size. So this part grows with the corpus. A mixer adds the logits with weights
 that a gate picks by the prefix's count, and an adaptive map refines the sum.
 Weights and maps learn online, by gradient steps over training words whose own
 occurrence is left out of their prefix counts; then they are held fixed, so a
@@ -27,6 +28,7 @@ result.
 
 from __future__ import annotations
 
+import functools
 import itertools
 import re
 import zlib
@@ -37,7 +39,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored, texts_of
@@ -52,6 +54,8 @@ BINS = 33
 SAMPLE = 20_000
 PRIOR = np.float32(0.05)
 BUCKET_KEYS, BUCKET_TOKENS = 50_000, 400_000
+KEY_BYTES = 8  # of a group's keys beyond HEAD on average; a byte takes some 450 bytes of memory
+STEP = 2  # bytes by which a prefix with too many keys is split
 BATCH_BYTES = 8_000_000
 MOST_KEYS = 600_000  # that a task counts before it passes them on
 
@@ -310,28 +314,153 @@ def train_head(keys: list[bytes], n: np.ndarray, tables: Tables) -> Mixer:
     return Mixer().learn([(x, g, b, weight[on]) for on, x, g, b in bits(data, kind, lengths, n, tables, 0, HEAD, None)])
 
 
-def score_keys(keys: list[bytes], n: np.ndarray, tables: Tables, head: Mixer) -> np.ndarray:
-    """log10 probabilities of coded keys: all those with the same first ``HEAD`` bytes are here."""
+def tail_scores(data, kind, lengths, n, weight, begin, most: int, tables: Tables) -> np.ndarray:
+    """log10 probabilities of up to ``most`` bytes from ``begin`` (a number a row) on.
+
+    Rows are sorted by kind and bytes, and all those with the same first ``begin``
+    bytes are here. A mixer learns from the rows with a ``weight``.
+    """
+    steps, all_bits, score = [], [], np.zeros(len(data))
+    for depth in np.unique(begin).tolist():
+        at = np.flatnonzero(begin == depth)
+        for on, x, gate, bit, (rows, own, own_gate, own_bit) in bits(data[at], kind[at], lengths[at], n[at], tables, depth, depth + most, weight[at] > 0):
+            steps.append((own, own_gate, own_bit, weight[at[rows]]))
+            all_bits.append((at[on], x.astype(np.float16), gate.astype(np.uint8), bit))
+    tail = Mixer().learn(steps, 2)
+    for on, x, gate, bit in all_bits:
+        score[on] += tail.cost(x.astype(np.float32), gate.astype(np.int64), bit)
+    return score
+
+
+def in_order(data: np.ndarray, kind: np.ndarray) -> np.ndarray:
+    return np.lexsort([*(data[:, j] for j in range(data.shape[1] - 1, -1, -1)), kind])
+
+
+def score_keys(keys: list[bytes], n: np.ndarray, tables: Tables, head: Mixer, begin: np.ndarray | None = None) -> np.ndarray:
+    """log10 probabilities of coded keys' first ``HEAD`` bytes and those from ``begin`` (``HEAD`` if not given) on."""
     data, kind, lengths = matrix(keys)
-    order = np.lexsort([*(data[:, j] for j in range(data.shape[1] - 1, -1, -1)), kind])
+    order = in_order(data, kind)
     data, kind, lengths, counts = data[order], kind[order], lengths[order], n[order].astype(np.float64)
     score = np.zeros(len(keys))
     for on, x, gate, bit in bits(data, kind, lengths, counts, tables, 0, HEAD, None):
         score[on] += head.cost(x, gate, bit)
     train = (np.array([zlib.crc32(keys[i]) & 1 for i in order]) == 1) & (counts > 0)
-    weight = np.minimum(counts, 1000)
-    steps, all_bits = [], []
-    for on, x, gate, bit, (rows, own, own_gate, own_bit) in bits(data, kind, lengths, counts, tables, HEAD, data.shape[1], train):
-        steps.append((own, own_gate, own_bit, weight[rows]))
-        all_bits.append((on, x.astype(np.float16), gate.astype(np.uint8), bit))
-    tail = Mixer().learn(steps, 2)
-    for on, x, gate, bit in all_bits:
-        score[on] += tail.cost(x.astype(np.float32), gate.astype(np.int64), bit)
+    begin = np.full(len(keys), HEAD) if begin is None else begin[order]
+    score += tail_scores(data, kind, lengths, counts, np.minimum(counts, 1000) * train, begin, data.shape[1], tables)
     out = np.zeros(len(keys))
     out[order] = score
     return out
 
 
+# Groups of keys by prefix
+
+
+def path_of(key: bytes) -> bytes:
+    kind, code = coded(key)
+    return bytes([kind]) + code
+
+
+def path() -> Column:
+    """:func:`path_of` of column ``key``, null where a key is not coded."""
+    size, mark, rest = F.octet_length("key"), F.substring("key", 1, 2), F.substring("key", 3, LONGEST + 1)
+    word, gap, piece = (F.lit(bytes([k])) for k in range(3))
+    coded_ = F.when(mark == F.lit(LONG), F.concat(F.when(is_white(rest), gap).otherwise(word), rest))
+    coded_ = coded_.when(mark == F.lit(CHUNK), F.concat(piece, rest, F.when(size == LONGEST + 2, F.lit(b"")).otherwise(F.lit(b" "))))
+    short = (size > 0) & (size <= LONGEST) & (mark != F.lit(MOVE))
+    return coded_.when(short & is_white(F.col("key")), F.concat(gap, "key", F.lit(b"\0"))).when(short, F.concat(word, "key", F.lit(b" ")))
+
+
+def is_white(data: Column) -> Column:
+    return F.substring(data, 1, 1).isin(*[bytes([b]) for b in b" \t\n\x0b\x0c\r"])
+
+
+def prefix(depth: int) -> Column:
+    return F.substring("path", 1, 1 + depth)
+
+
+def large_prefixes(paths: DataFrame, most_keys: int) -> dict[int, set[bytes]]:
+    """By depth, the prefixes with more keys or bytes than a group may hold; few, since each level's hold different keys."""
+    found, depth, rows = {}, HEAD, paths
+    while depth <= LONGEST:
+        sizes = rows.groupBy(prefix(depth).alias("prefix")).agg(F.count("*").alias("many"), F.sum(F.octet_length("path") - 1 - depth).alias("tail"))
+        large = {bytes(r["prefix"]) for r in sizes.filter((F.col("many") > most_keys) | (F.col("tail") > KEY_BYTES * most_keys)).select("prefix").collect()}
+        if not large:
+            break
+        found[depth] = large
+        rows = under(paths, depth, large)
+        depth += STEP
+    return found
+
+
+def under(paths: DataFrame, depth: int, prefixes: set[bytes]) -> DataFrame:
+    few = paths.sparkSession.createDataFrame([(bytearray(p),) for p in sorted(prefixes)], "__prefix binary")
+    return paths.join(F.broadcast(few), prefix(depth) == F.col("__prefix"), "left_semi")
+
+
+def score_vocab(vocab: DataFrame, score_bucket, shared, n_keys: int, most_keys: int | None = None) -> DataFrame:
+    """Rows of ``vocab`` with base and score, by groups of keys with the same prefix.
+
+    A prefix too large for a group is split at ``STEP`` more bytes, again and again.
+    Its keys then have the scores of those bytes in common where the bytes are the
+    same, so each of the at most 256 ** ``STEP`` continuations is scored once, from
+    the counts of all its keys, and its score carried along to the group below.
+    """
+    most_keys = most_keys or BUCKET_KEYS
+    spark, schema = vocab.sparkSession, "key binary, n_train long, n_all long, base double, score double"
+    paths = vocab.withColumn("path", path())
+    total = paths.agg(F.sum(F.octet_length("path") - 1 - HEAD)).first()[0] or 0
+    buckets = max(8, -(-n_keys // most_keys), -(-total // (KEY_BYTES * most_keys)))
+    large = large_prefixes(paths.filter("path IS NOT NULL"), most_keys)
+    if not large:
+        by_prefix = paths.withColumn("bucket", F.crc32(F.coalesce(prefix(HEAD), "key")) % buckets).drop("path")
+        return by_prefix.groupBy("bucket").applyInArrow(lambda key, table: score_bucket(table, None), schema)
+
+    weight = F.when((F.crc32("key") % 2 == 1) & (F.col("n_train") > 0), F.least("n_train", F.lit(1000))).otherwise(0)
+    levels = [
+        under(paths, depth, some).groupBy(prefix(depth).alias("parent"), prefix(depth + STEP).alias("node")).agg(F.sum("n_train").alias("n"), F.sum(weight).alias("weight")).withColumn("depth", F.lit(depth))
+        for depth, some in large.items()
+    ]
+
+    def score_nodes(key: tuple, table: pa.Table) -> pa.Table:
+        logit, seen, _ = shared.value
+        tables = object.__new__(Tables)
+        tables.logit, tables.seen = logit, seen
+        nodes = table.column("node").to_pylist()
+        n, weights, begin = (np.array(table.column(c).to_pylist(), np.int64) for c in ("n", "weight", "depth"))
+        lengths = np.array([len(p) - 1 for p in nodes], np.int64)
+        wide = int(lengths.max())
+        data = np.frombuffer(b"".join(p[1:].ljust(wide, b"\0") for p in nodes), np.uint8).reshape(-1, wide)
+        kind = np.array([p[0] for p in nodes], np.uint8)
+        order = in_order(data, kind)
+        got = np.zeros(len(nodes))
+        got[order] = tail_scores(data[order], kind[order], lengths[order], n[order].astype(np.float64), weights[order].astype(np.float64), begin[order], STEP, tables)
+        return pa.table([table.column("parent"), table.column("node"), pa.array(got)], names=["parent", "node", "own"])
+
+    nodes = functools.reduce(DataFrame.unionByName, levels).withColumn("bucket", F.crc32("parent") % max(8, sum(map(len, large.values()))))
+    nodes = stored(nodes.groupBy("bucket").applyInArrow(score_nodes, "parent binary, node binary, own double"))
+    all_large = [(bytearray(p),) for some in large.values() for p in sorted(some)]
+    above = {p: 0.0 for p in large[HEAD]}
+    inner = nodes.join(F.broadcast(spark.createDataFrame(all_large, "node binary")), "node", "left_semi").collect()  # only large prefixes
+    for r in sorted(inner, key=lambda r: len(r["node"])):
+        above[bytes(r["node"])] = above[bytes(r["parent"])] + r["own"]
+    sums = spark.createDataFrame([(bytearray(p), v) for p, v in above.items()], "parent binary, above double")
+    carried = nodes.join(F.broadcast(sums), "parent").select("node", (F.col("own") + F.col("above")).alias("carried"), (F.crc32("node") % buckets).alias("bucket"))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            depths, at = [], []
+            for key, p in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                depth = HEAD
+                while p is not None and p[: 1 + depth] in large.get(depth, ()):
+                    depth += STEP
+                depths.append(depth)
+                at.append(zlib.crc32(key if p is None else p[: 1 + depth]) % buckets)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(depths, pa.int32()), pa.array(at, pa.int64())], names=["key", "n_train", "n_all", "depth", "bucket"])
+
+    placed = paths.select("key", "n_train", "n_all", "path").mapInArrow(place, "key binary, n_train long, n_all long, depth int, bucket long")
+    return placed.groupBy("bucket").cogroup(carried.groupBy("bucket")).applyInArrow(lambda key, table, carried: score_bucket(table, carried), schema)
+
+
 # Texts
 
 
@@ -430,8 +559,7 @@ def score_texts(docs: DataFrame) -> DataFrame:
     counted = source.mapInArrow(_count, "key binary, n_train long, n_all long")
     vocab = stored(counted.groupBy("key").agg(F.sum("n_train").alias("n_train"), F.sum("n_all").alias("n_all")))
 
-    white = F.substring("key", 1, 1).isin(*[bytes([b]) for b in b" \t\n\x0b\x0c\r"])
-    base = (F.octet_length("key") == 0) | ~white
+    base = (F.octet_length("key") == 0) | ~is_white(F.col("key"))
     n_base = F.when(base, F.col("n_train")).otherwise(0)
     row = vocab.agg(F.sum(n_base), F.count_if(base & (F.col("n_train") > 0)), F.sum("n_all"), F.count("*")).first()
     train_tokens, types, all_tokens, n_keys = (x or 0 for x in row)
@@ -451,23 +579,26 @@ def score_texts(docs: DataFrame) -> DataFrame:
         n = [moves.get(MOVE + key[2:3] + bytes([w]), 0) + 0.5 for w in ways]
         return float(np.log10((moves.get(key, 0) + 0.5) / sum(n)))
 
-    def score_bucket(key: tuple, table: pa.Table) -> pa.Table:
+    def score_bucket(table: pa.Table, carried: pa.Table | None) -> pa.Table:
         logit, seen, head = shared.value
         tables = object.__new__(Tables)
         tables.logit, tables.seen = logit, seen
         keys, n = table.column("key").to_pylist(), np.array(table.column("n_train").to_pylist(), float)
         score = np.zeros(len(keys))
-        use = np.array([is_coded(k) for k in keys], bool)
-        if use.any():
-            score[use] = score_keys([k for k, u in zip(keys, use, strict=True) if u], n[use], tables, head)
+        use = np.flatnonzero(np.array([is_coded(k) for k in keys], bool))
+        if len(use):
+            begin = None if carried is None else np.array(table.column("depth").to_pylist(), np.int64)[use]
+            score[use] = score_keys([keys[i] for i in use], n[use], tables, head, begin)
+            if carried is not None:
+                more = dict(zip(carried.column("node").to_pylist(), carried.column("carried").to_pylist(), strict=True))
+                for i, depth in zip(use[begin > HEAD].tolist(), begin[begin > HEAD].tolist(), strict=True):
+                    score[i] += more[path_of(keys[i])[: 1 + depth]]
         for i, k in enumerate(keys):
             if k.startswith(MOVE):
                 score[i] = move_score(k)
         return pa.table([table.column("key"), table.column("n_train"), table.column("n_all"), pa.array(np.log10((n + 0.5) / norm)), pa.array(score)], names=["key", "n_train", "n_all", "base", "score"])
 
-    buckets = max(8, -(-n_keys // BUCKET_KEYS))
-    by_prefix = vocab.withColumn("bucket", F.crc32(F.substring("key", 1, HEAD)) % buckets)
-    scored = stored(by_prefix.groupBy("bucket").applyInArrow(score_bucket, "key binary, n_train long, n_all long, base double, score double"))
+    scored = stored(score_vocab(vocab, score_bucket, shared, n_keys))
 
     common = F.col("n_all") * FREQUENT >= all_tokens
     frequent = [(bytes(r["key"]), r["n_train"], r["base"], r["score"]) for r in scored.filter(common).collect()]  # at most FREQUENT rows

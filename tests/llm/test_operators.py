@@ -126,6 +126,40 @@ def test_language_model_is_normalised():
     assert 0 < total.sum() < 1.0001
 
 
+def test_language_model_splits_large_prefixes(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    words = sorted({f"https://www.{''.join(rng.choice(list('abcdef'), rng.integers(1, 9)))}.org" for _ in range(400)} | {"x" * 60 + str(i) for i in range(90)} | {"plain", "words"})
+    text = " ".join(words)
+    docs = spark.createDataFrame([(i, text) for i in range(3)], "doc_id long, text string")
+
+    def run(most_keys):
+        found = []
+
+        def score(vocab, score_bucket, shared, n_keys):
+            def bucket(table, carried):
+                assert (carried is not None) == (most_keys == 60)
+                if carried is not None:
+                    coded = [(k, d) for k, d in zip(table.column("key").to_pylist(), table.column("depth").to_pylist()) if lm.is_coded(k)]
+                    assert max(Counter(lm.path_of(k)[: 1 + d] for k, d in coded).values(), default=0) <= most_keys
+                return score_bucket(table, carried)
+
+            out = split(vocab, bucket, shared, n_keys, most_keys).collect()
+            found.append({bytes(r["key"]): r["score"] for r in out if lm.is_coded(bytes(r["key"]))})
+            return spark.createDataFrame(out, "key binary, n_train long, n_all long, base double, score double")
+
+        split = lm.score_vocab
+        with monkeypatch.context() as m:
+            m.setattr(lm, "score_vocab", score)
+            assert all(r.score < 0 for r in lm.score_texts(docs).collect())
+        return found[0]
+
+    whole, parts = run(100_000), run(60)
+    assert whole.keys() == parts.keys() and {lm.path_of(k) for k in whole} == {bytes(r[0]) for r in spark.createDataFrame([(bytearray(k),) for k in whole], "key binary").select(lm.path()).collect()}
+    urls = [k for k in whole if k.startswith(b"https")]
+    assert sum(10 ** parts[k] for k in parts if lm.coded(k)[0] == 0) < 1.0001
+    assert np.mean([abs(whole[k] - parts[k]) for k in urls]) < 0.15 and abs(np.mean([whole[k] - parts[k] for k in urls])) < 0.1
+
+
 def test_byte_bpe(spark, sf):
     ranks = bpe.read_ranks(P.path("byte_bpe_50k.tiktoken"))
     want = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
