@@ -50,13 +50,19 @@ def numbered(df: DataFrame, by: list[str], order: list[str], name: str = "idx")
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("long"))
 
 
-def until_nothing_new(rows: DataFrame, page: str, key: str, last_page: int) -> DataFrame:
-    """The rows of the pages before the first (from 1 or 0 up) that has no key unseen on earlier pages; rows without a key always count as new."""
+def until_nothing_new(rows: DataFrame, page: str, key: str, last_page: int | None = None) -> DataFrame:
+    """The rows of the pages before the first (from 1 or 0 up) that has no key unseen on earlier pages; rows without a key always count as new.
+
+    Pages beyond ``last_page``, if it is given, are not kept.
+    """
     filled = F.coalesce(F.col(key).cast("string"), F.lit("")) != ""
     first = rows.filter(filled).groupBy(key).agg(F.min(page).alias("__first"))
-    fresh = rows.join(first, key, "left").filter(~filled | (F.col("__first") == F.col(page))).groupBy(page).agg(F.count("*").alias("__new"))
-    pages = rows.sparkSession.range(last_page + 1).select(F.col("id").alias(page))
-    stop = pages.join(fresh, page, "left").filter(F.coalesce("__new", F.lit(0)) == 0).agg(F.coalesce(F.min(page), F.lit(last_page + 1)).alias("__stop"))
+    fresh = first.select(F.col("__first").alias(page)).unionByName(rows.filter(~filled).select(page)).distinct()
+    # The first page without a new key is page 0 or follows one that has new keys.
+    after = fresh.filter(F.col(page) >= 0).select((F.col(page) + 1).alias(page)).unionByName(rows.sparkSession.range(1).select(F.col("id").alias(page)))
+    stop = after.join(fresh, page, "left_anti").agg(F.min(page).alias("__stop"))
+    if last_page is not None:
+        stop = stop.select(F.least("__stop", F.lit(last_page + 1)).alias("__stop"))
     return rows.join(F.broadcast(stop), F.col(page) < F.col("__stop")).drop("__stop")  # one row
 
 

@@ -189,8 +189,8 @@ def dedupe_documents(t):
 
 @query
 def pagination_stop(t):
-    rows = t("events").filter("event_id < 2000").select("event_id", F.expr("event_id div 20").alias("page"), F.col("user_id").alias("url"))
-    return tables.until_nothing_new(rows, "page", "url", 99).select("event_id", "page", "url")
+    rows = t("events").select("event_id", F.expr("event_id div 20").alias("page"), F.col("user_id").alias("url"))
+    return tables.until_nothing_new(rows, "page", "url").select("event_id", "page", "url")
 
 
 @query

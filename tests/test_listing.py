@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from shopsift.functions import listing
 from shopsift.operators import review, tables
+from shopsift.plans import catalogue
 from shopsift.sources.pages import RecordedPages, listings
 from shopsift.streaming.ingest import ingest_stream
 
@@ -48,6 +49,17 @@ def test_pages_stop_when_nothing_is_new(spark):
     assert sorted(tuple(r) for r in tables.until_nothing_new(df, "page", "url", 4).collect()) == [(0, "a"), (0, "a"), (0, "b")]
 
 
+def test_only_the_stop_rule_ends_the_pages(spark, tmp_path):
+    # 150 pages of 20 events with a new user each, a page without, and a page with new ones.
+    users = [e // 20 if e < 3000 else 7 if e < 3020 else e for e in range(3040)]
+    spark.createDataFrame(list(enumerate(users)), "event_id long, user_id long").write.parquet(f"{tmp_path}/events.parquet")
+    assert sorted(r.event_id for r in catalogue.QUERIES["pagination_stop"](spark, str(tmp_path)).collect()) == list(range(3000))
+    df = spark.createDataFrame([(0, "a"), (1, None), (2, "b"), (3, "a"), (4, "c")], "page long, url string")
+    assert sorted(r.page for r in tables.until_nothing_new(df, "page", "url").collect()) == [0, 1, 2]
+    assert sorted(r.page for r in tables.until_nothing_new(df.filter("page < 3"), "page", "url").collect()) == [0, 1, 2]
+    assert tables.until_nothing_new(df.filter("page > 0"), "page", "url").collect() == []
+
+
 def test_merge_keeps_columns_out_of_the_list(spark):
     a = spark.createDataFrame([(1, "a", "keep"), (2, "b", "keep")], "k int, v string, w string")
     b = spark.createDataFrame([(2, None, "new"), (3, "c", "new")], "k int, v string, w string")
