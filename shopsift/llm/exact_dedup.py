@@ -105,7 +105,7 @@ def _digests(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), 32)
 
 
-INDEX = "shard long, n long, sizes binary, bits binary, rest binary, digests binary, winners binary, points binary, counts binary"
+INDEX = "shard long, n long, sizes binary, bits binary, rest binary, digests binary, winners binary, missing binary, points binary, counts binary"
 
 
 def _build(key: tuple, table: pa.Table) -> pa.Table:
@@ -113,15 +113,16 @@ def _build(key: tuple, table: pa.Table) -> pa.Table:
     mph = PerfectHash.build(digests)
     order = np.empty(len(digests), np.int64)
     order[mph.slots(digests)] = np.arange(len(digests))
-    column = lambda n: table.column(n).to_numpy()[order].astype("<i8").tobytes()
-    values = [key[0].as_py(), len(digests), mph.sizes.astype("<i8").tobytes(), np.packbits(mph.bits, bitorder="little").tobytes(), mph.rest.tobytes(), digests[order].tobytes(), column("winner"), column("points"), column("n")]
-    types = [pa.int64(), pa.int64()] + [pa.binary()] * 7
+    column = lambda n: table.column(n).fill_null(0).to_numpy()[order].astype("<i8").tobytes()
+    missing = table.column("winner").is_null().to_numpy()[order].tobytes()
+    values = [key[0].as_py(), len(digests), mph.sizes.astype("<i8").tobytes(), np.packbits(mph.bits, bitorder="little").tobytes(), mph.rest.tobytes(), digests[order].tobytes(), column("winner"), missing, column("points"), column("n")]
+    types = [pa.int64(), pa.int64()] + [pa.binary()] * 8
     return pa.table([pa.array([v], t) for v, t in zip(values, types, strict=True)], names=[c.split()[0] for c in INDEX.split(", ")])
 
 
 def grouped(rows: DataFrame) -> DataFrame:
-    """(digest, winner, points, n) of each distinct digest."""
-    best = F.min(F.struct((-F.col("points")).alias("p"), "doc_id"))
+    """(digest, winner, points, n) of each distinct digest; a null id wins only where no other row has as many points."""
+    best = F.min(F.struct((-F.col("points")).alias("p"), F.col("doc_id").isNull().alias("none"), "doc_id"))
     return rows.groupBy("digest").agg(best.alias("best"), F.count("*").alias("n")).select("digest", F.col("best.doc_id").alias("winner"), (-F.col("best.p")).alias("points"), "n")
 
 
@@ -140,7 +141,8 @@ def build_index(history: DataFrame, shards: int) -> DataFrame:
 def _probe(key: tuple, new: pa.Table, index: pa.Table) -> pa.Table:
     shard = index.to_pylist()
     new_digests = _digests(new.column("digest")) if new.num_rows else np.zeros((0, 32), np.uint8)
-    ints = {c: new.column(c).to_numpy().astype(np.int64) for c in ("winner", "points", "n")}
+    ints = {c: new.column(c).fill_null(0).to_numpy().astype(np.int64) for c in ("winner", "points", "n")}
+    none = new.column("winner").is_null().to_numpy().astype(bool)
     if shard:
         row = shard[0]
         sizes = np.frombuffer(row["sizes"], "<i8")
@@ -148,23 +150,26 @@ def _probe(key: tuple, new: pa.Table, index: pa.Table) -> pa.Table:
         mph = PerfectHash(sizes, bits, np.frombuffer(row["rest"], np.uint8).reshape(-1, 32))
         digests = np.frombuffer(row["digests"], np.uint8).reshape(-1, 32)
         winner, points, counts = (np.frombuffer(row[c], "<i8").copy() for c in ("winners", "points", "counts"))
+        missing = np.frombuffer(row["missing"], bool).copy()
         slot = mph.slots(new_digests)
         member = slot >= 0
         member[member] = (digests[slot[member]] == new_digests[member]).all(1)
         at = slot[member]  # probes are distinct digests, so no slot comes twice
-        better = (ints["points"][member] > points[at]) | ((ints["points"][member] == points[at]) & (ints["winner"][member] < winner[at]))
+        before = (none[member] < missing[at]) | ((none[member] == missing[at]) & (ints["winner"][member] < winner[at]))
+        better = (ints["points"][member] > points[at]) | ((ints["points"][member] == points[at]) & before)
         winner[at] = np.where(better, ints["winner"][member], winner[at])
+        missing[at] = np.where(better, none[member], missing[at])
         points[at] = np.where(better, ints["points"][member], points[at])
         counts[at] += ints["n"][member]
         fresh = ~member
     else:
-        digests, winner, counts = np.zeros((0, 32), np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        digests, winner, missing, counts = np.zeros((0, 32), np.uint8), np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, np.int64)
         fresh = np.ones(len(new_digests), bool)
     all_digests = np.concatenate([digests, new_digests[fresh]])
     known = np.concatenate([np.ones(len(digests), bool), np.zeros(int(fresh.sum()), bool)])
     return pa.table({
         "digest": pa.array([d.tobytes() for d in all_digests], pa.binary()),
-        "keep_id": pa.array(np.concatenate([winner, ints["winner"][fresh]]), pa.int64()),
+        "keep_id": pa.array(np.concatenate([winner, ints["winner"][fresh]]), pa.int64(), mask=np.concatenate([missing, none[fresh]])),
         "group_size": pa.array(np.concatenate([counts, ints["n"][fresh]]), pa.int64()),
         "historical": pa.array(known, pa.bool_()),
     })
@@ -202,10 +207,19 @@ def exact_duplicates(docs: DataFrame, historical: Column | None = None, id_col:
 
 
 def keep_distinct(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, with all columns; of rows that repeat doc_id and text alike, one."""
-    found = exact_duplicates(docs)
+    """The rows of ``docs`` that stay, with all columns; of rows that repeat doc_id and text alike, one.
+
+    Of a group whose longest texts all lack an id, one of those stays.
+    """
+    found = cut(exact_duplicates(docs))
     kept = found.filter("kept").select("doc_id").distinct()
     repeated = found.filter("kept").groupBy("doc_id").count().filter("count > 1").select("doc_id")
     stay = docs.join(kept, "doc_id", "left_semi")
     once = stay.join(repeated, "doc_id", "left_anti")
-    return once.unionByName(stay.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(*docs.columns)
+    ided = once.unionByName(stay.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(*docs.columns)
+
+    without = found.filter("keep_id IS NULL").select(F.col("text_sha256").alias("__digest")).distinct()
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.filter("doc_id IS NULL").select(F.lower(F.hex(normal_digest(F.col("text")))).alias("__digest"), F.struct((-F.char_length(text)).alias("p"), text.alias("t")).alias("__order"), F.struct(*docs.columns).alias("__row"))
+    best = rows.join(without, "__digest", "left_semi").groupBy("__digest").agg(F.min_by("__row", "__order").alias("__row"))
+    return ided.unionByName(best.select(*[F.col("__row")[c].alias(c) for c in docs.columns]))

@@ -2,7 +2,7 @@
 
 import pytest
 
-from shopsift.llm import queries
+from shopsift.llm import exact_dedup, queries
 
 PASSAGE = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho"
 NAMES = """
@@ -37,3 +37,13 @@ def test_odd_rows(spark, folders, name):
     plain, clashing = ([tuple(map(str, r)) for r in queries.QUERIES[name](spark, f).collect()] for f in folders)
     assert len(plain) == (3 if name == "op2_warc" else 14)
     assert sorted(plain) == sorted(clashing)
+
+
+@pytest.mark.parametrize("old", ["doc_id IS NULL", "doc_id IS NOT NULL", "true", "false"])
+def test_null_ids_rank_last(spark, old):
+    rows = [(None, "a b"), (7, "a b"), (9, "a  b"), (3, "c"), (None, "d e"), (None, "d  e"), (4, "d e"), (None, "f"), (None, "f"), (8, "g h"), (None, "g h")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = exact_dedup.exact_duplicates(docs, exact_dedup.F.expr(old)).select("text_sha256", "keep_id", "group_size").distinct().collect()
+    assert sorted((str(r.keep_id), r.group_size) for r in got) == [("3", 1), ("8", 2), ("9", 3), ("None", 2), ("None", 3)]
+    stay = [tuple(r) for r in exact_dedup.keep_distinct(docs).collect()]
+    assert sorted(stay, key=str) == sorted([(9, "a  b"), (3, "c"), (None, "d  e"), (None, "f"), (8, "g h")], key=str)
