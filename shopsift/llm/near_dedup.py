@@ -13,10 +13,9 @@ Documents with equal sets are one class, and only one row a class goes on. In a
 bucket of few classes all pairs are candidates, in a larger one the pairs with
 its smallest class. Candidates are confirmed on full sets. Then pairs of
 different components that share a larger bucket remain; pairs within a component
-could add nothing. Of them, those that agree in so few of ``LONG`` coordinates
-that similarity 0.8 would be five standard deviations off are dropped, as the
-sketch's concentration allows (one in 3e6 pairs at the threshold), and all others
-are confirmed, each once, in the first bucket that they share; nothing is capped.
+could add nothing. They come from an exact prefix join over the sets of all
+classes in buckets of several components (:func:`residual_pairs`) and are
+confirmed likewise; nothing is capped.
 
 Defined results: null or blank texts have an empty set, size 0, and are linked
 with nothing; a text of fewer words than a shingle has one shingle; rows that
@@ -32,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, per_batch, texts_of
@@ -41,10 +40,9 @@ SHINGLE = 5
 SIMILARITY = 80  # in hundredths
 BINS, ROWS = 128, 4
 FEW = 4
-LONG, SLICES = 1024, 2
 SMALL_ITEMS = 2_000_000  # shingles of the sets that may be broadcast
 MEMO = 400_000
-SEEDS = (np.arange(1, 2 * LONG + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+SEEDS = (np.arange(1, 2 * 1024 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 NONE = np.uint64(2**64 - 1)
 
 
@@ -92,20 +90,6 @@ def sketch(items: np.ndarray, bins: int = BINS) -> np.ndarray:
     return out
 
 
-def sliced(items: np.ndarray) -> np.ndarray:
-    """The lowest ``SLICES`` bits of each of ``LONG`` coordinates: by bit, 64 coordinates a word."""
-    low = sketch(items, LONG)
-    return np.concatenate([np.packbits(((low >> np.uint64(i)) & np.uint64(1)).astype(np.uint8)).view(np.int64) for i in range(SLICES)])
-
-
-def may_agree(x: str, y: str, similarity: int) -> str:
-    """SQL: ``x`` and ``y``, as :func:`sliced` gives them, differ in no more coordinates than the similarity allows."""
-    words = LONG // 64
-    differ = " + ".join("bit_count(" + " | ".join(f"({x}[{i * words + w}] ^ {y}[{i * words + w}])" for i in range(SLICES)) + ")" for w in range(words))
-    rate = (1 - similarity / 100) * (1 - 0.5**SLICES)
-    return f"{differ} <= {int(LONG * rate + 5 * (LONG * rate * (1 - rate)) ** 0.5)}"
-
-
 def bands(items: np.ndarray) -> np.ndarray:
     rows = sketch(items).reshape(-1, ROWS)
     keys = np.arange(1, len(rows) + 1, dtype=np.uint64)
@@ -150,16 +134,6 @@ def sets_of(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
     return source.mapInArrow(read, "node long, items array<long>").filter(F.size("items") > 0)
 
 
-def with_slices(sets: DataFrame) -> DataFrame:
-    """(node, slices) of (node, items)."""
-
-    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        got = [sliced(np.array(x.as_py(), np.int64).view(np.uint64)) for x in batch.column(1)]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.list_(pa.int64()))], names=["node", "slices"])
-
-    return per_batch(sets.select("node", "items"), lambda: step, "node long, slices array<long>")
-
-
 def confirm(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     """The pairs (a, b) whose full sets are as similar as asked.
 
@@ -201,6 +175,35 @@ def components(edges: DataFrame) -> DataFrame:
     return labels.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
+def residual_pairs(sets: DataFrame, similarity: int) -> DataFrame:
+    """Pairs (a, b) of different components that may be as similar as asked; ``sets``: (node, items, component).
+
+    A prefix join, exact for the similarity. The items of a set are put in one
+    order: first those of its component alone, which no pair can share, then the
+    others from the rarest on. Two sets meet at the first item that they share,
+    and what stands from there on bounds their intersection. So an item is a key
+    only where enough of its set remains, an entry goes on only if it could reach
+    the smallest set that its item lists, and a pair only if both remainders allow
+    the similarity. An item's entries of its largest component meet the other
+    entries alone.
+    """
+    sized = sets.withColumn("n", F.size("items").cast("long"))
+    items = sized.select("node", "n", "component", F.explode("items").alias("item"))
+    shared = items.groupBy("item").agg(F.count("*").alias("df"), F.min("component").alias("least"), F.max("component").alias("most")).filter("least < most").select("item", "df")
+    own = Window.partitionBy("node")
+    # A set has as many rows as it has items, so these windows are as large as a text.
+    ranked = items.join(shared, "item").withColumns({"left": F.count("*").over(own) - F.row_number().over(own.orderBy("df", "item")) + 1})
+    entries = cut(ranked.filter(100 * F.col("left") >= similarity * F.col("n")).select("item", "node", "n", "component", "left"))
+    lists = entries.groupBy("item", "component").agg(F.count("*").alias("size"), F.min("n").alias("least"))
+    lists = lists.groupBy("item").agg(F.max(F.struct("size", "component"))["component"].alias("major"), F.min("least").alias("least"), F.count("*").alias("parts")).filter("parts > 1").drop("parts")
+    reach = f"(100 + {similarity}) * left >= {similarity} * (n + least)"
+    entries = cut(entries.join(lists, "item").filter(reach).drop("least"))
+    x = entries.filter("component != major").select(F.col("item").alias("ix"), F.col("node").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"), F.col("left").alias("la"))
+    y = entries.select(F.col("item").alias("iy"), F.col("node").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"), F.col("left").alias("lb"), (F.col("component") == F.col("major")).alias("is_major"))
+    near = f"ix = iy AND ca != cb AND (is_major OR a < b) AND (100 + {similarity}) * least(la, lb) >= {similarity} * (na + nb)"
+    return x.join(y, F.expr(near)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def fits(similarity: int) -> str:
     """Sizes that allow the similarity."""
     return f"100 * least(na, nb) >= {similarity} * greatest(na, nb)"
@@ -211,9 +214,9 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: int = S
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = cut(sketched(docs, shingle))
     classes = cut(rows.filter("n_shingles > 0").groupBy("sig").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")))
-    keys = classes.filter("node IS NOT NULL").select("node", "n", F.posexplode("bands").alias("band", "key"))
+    keys = classes.filter("node IS NOT NULL").select("node", "n", F.explode("bands").alias("key"))
     buckets = cut(keys.groupBy("key").agg(F.count("*").alias("many"), F.min(F.struct("node", "n")).alias("first")).filter("many > 1"))
-    members = cut(keys.join(buckets, "key").select("key", "band", "node", "n", "many", "first"))
+    members = cut(keys.join(buckets, "key").select("key", "node", "n", "many", "first"))
     sets = cut(sets_of(docs, members.select("node").distinct(), shingle))
 
     few = members.filter(f"many <= {FEW}")
@@ -223,19 +226,10 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: int = S
     links = cut(confirm(pairs, sets, similarity))
     found = cut(components(links))
 
-    # What the stars left: pairs of different components within a larger bucket.
-    labelled = members.filter(f"many > {FEW}").select("key", "band", "node", "n").join(found, "node", "left")
-    labelled = cut(labelled.withColumn("component", F.coalesce("component", "node")))
-    parts = labelled.groupBy("key", "component").agg(F.count("*").alias("size"))
-    largest = parts.groupBy("key").agg(F.max(F.struct("size", "component"))["component"].alias("major"), F.count("*").alias("parts")).filter("parts > 1").select("key", "major")
-    open_rows = cut(labelled.join(largest, "key"))
-    inside = cut(with_slices(sets.join(open_rows.select("node").distinct(), "node", "left_semi")).join(classes.select("node", "bands"), "node"))
-    open_rows = open_rows.join(inside, "node")
-    x = open_rows.filter("component != major").select("key", "band", F.col("node").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"), F.col("slices").alias("sa"), F.col("bands").alias("ba"))
-    y = open_rows.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"), (F.col("component") == F.col("major")).alias("is_major"), F.col("slices").alias("sb"), F.col("bands").alias("bb"))
-    new = f"ca != cb AND (is_major OR a < b) AND {fits(similarity)} AND {may_agree('sa', 'sb', similarity)} AND NOT arrays_overlap(slice(ba, 1, band), slice(bb, 1, band))"
-    rest = x.withColumnRenamed("key", "kx").join(y.withColumnRenamed("key", "ky"), F.expr(f"kx = ky AND {new}")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = cut(confirm(rest.distinct(), sets, similarity))
+    labelled = cut(members.filter(f"many > {FEW}").select("key", "node").join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component")))
+    mixed = labelled.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least < most").select("key")
+    open_nodes = labelled.join(mixed, "key", "left_semi").select("node", "component").distinct()
+    more = cut(confirm(residual_pairs(sets.join(open_nodes, "node"), similarity), sets, similarity))
     if not more.isEmpty():
         found = cut(components(links.unionByName(more)))
 
@@ -247,6 +241,13 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: int = S
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, similarity: int = SIMILARITY) -> DataFrame:
-    """The rows of ``docs`` that stay, with all columns: one document of each group."""
-    kept = near_duplicates(docs, shingle, similarity).filter("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """The rows of ``docs`` that stay, with all columns: one document of each group.
+
+    A row without an id goes by its text and ranks after all ids; rows without an
+    id that have equal texts count as one document, as rows that repeat an id do.
+    """
+    number = F.lit(1 << 62).bitwiseOR(F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND(F.lit((1 << 62) - 1)))
+    name = "__id" + "_" * max(map(len, docs.columns))
+    numbered = docs.withColumn(name, F.coalesce(F.col("doc_id").cast("long"), number))
+    kept = near_duplicates(numbered.select(F.col(name).alias("doc_id"), "text"), shingle, similarity).filter("kept").select(F.col("doc_id").alias(name)).distinct()
+    return numbered.join(kept, name, "left_semi").select(*docs.columns)
