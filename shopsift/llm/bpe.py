@@ -3,10 +3,9 @@
 The merge rules come from a table of ranks: a pair of tokens merges when its
 concatenation has a rank, lowest rank first. Texts arrive in Arrow batches. The
 pattern never joins characters across a boundary between a non-space and a
-following white-space character other than by one leading blank, so a text is
-cut there, and each piece that a task has not met before is encoded by the
-library; pieces met before come from a bounded memo. This gives the library's
-ids at a fraction of its cost.
+following white-space character other than by one leading blank, so texts are
+cut there, and the library encodes each distinct piece of some 12 MB of texts
+once. This gives the library's ids at a fraction of its cost.
 
 Decoding reverses the byte table (each byte has a printable character of its
 own in the vocabulary) and joins bytes before it decodes UTF-8, so characters
@@ -21,11 +20,14 @@ from __future__ import annotations
 
 import base64
 import functools
+import hashlib
+import itertools
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import tokenizers
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from tokenizers import Regex, Tokenizer, models, pre_tokenizers
 
@@ -34,7 +36,12 @@ from .common import per_batch, texts_of
 #: Unicode's White_Space.
 WHITE = "\t\n\x0b\x0c\r \x85\xa0                　"
 PIECES = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
-MEMO = 500_000  # pieces that a worker remembers
+#: Texts with one of these are cut by ``PIECES``; others have single blanks and line feeds between words, and no other white space.
+ODD = f"[\x01\t\x0b\x0c\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]|^$|^[ \n]|[ \n]$|[ \n][ \n]"
+#: Letters that every Unicode version since 6 has: Latin, Greek, Cyrillic, Arabic, kana, Han, Hangul.
+LETTERS = "^ ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f\u0391-\u03a1\u03a3-\u03f5\u0400-\u0481\u048a-\u0523\u0620-\u064a\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3]+[,.;:!?]*$"
+CLOSING = "[,.;:!?]+$"
+GROUP_BYTES = 12_000_000  # of texts whose distinct pieces are encoded together
 
 
 @functools.cache
@@ -82,108 +89,131 @@ def load_ranks_tokenizer(path: str, pattern: str) -> Tokenizer:
 
 @functools.cache
 def load_json_tokenizer(path: str) -> Tokenizer:
-    out = Tokenizer.from_file(path)
-    out.encode_special_tokens = True  # their strings in a text are ordinary text
-    return out
+    return Tokenizer.from_file(path)
 
 
 class PieceEncoder:
-    """Ids of texts as little-endian unsigned 32-bit bytes, by the library and a bounded memo of pieces.
+    """Ids of whole texts by the library, each distinct piece of a batch encoded once.
 
-    Words of letters alone go to the library's model as byte-alphabet strings,
-    many in one call with a line feed's token between them (no such word has
-    one). A word with closing punctuation is that word and its punctuation.
-    Everything else goes through the library's own pre-tokenizer.
+    Arrow cuts the texts and numbers the distinct pieces. Those of letters of
+    long-settled scripts, also with closing punctuation, go to the library's
+    model as byte-alphabet strings, many in one call with a line feed's token
+    between them (no such piece has one); all others go through the library's
+    own pre-tokenizer. Texts that hold an added token go to the library whole.
     """
 
-    def __init__(self, tokenizer: Tokenizer, memo: int = MEMO):
-        self.tokenizer, self.most, self.memo = tokenizer, memo, {}
+    def __init__(self, tokenizer: Tokenizer):
+        self.tokenizer = tokenizer
         self.alphabet = dict(byte_alphabet())
         self.letters = Tokenizer(tokenizer.model)
         self.letters.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.between = byte_alphabet()[10]
         self.between_id = tokenizer.token_to_id(self.between)
+        self.added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
 
-    def _words(self, words: list[str]) -> None:
-        joint = f" {self.between} "
-        for lo in range(0, len(words), 512):
-            part = words[lo : lo + 512]
-            mapped = joint.join([w.encode().decode("latin-1").translate(self.alphabet) for w in part])
+    def _letters(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(lengths, ids) of pieces of letters and closing punctuation, a NUL between the two."""
+        lengths, found = [], []
+        for lo in range(0, len(pieces), 1024):
+            joined = "\n".join(pieces.slice(lo, 1024).to_pylist()).encode().decode("latin-1").translate(self.alphabet)
+            mapped = joined.replace(self.between, f" {self.between} ").replace(self.alphabet[0], " ")
             ids = np.array(self.letters.encode_batch_fast([mapped], add_special_tokens=False)[0].ids, "<u4")
-            stops = np.flatnonzero(ids == self.between_id).tolist()
-            raw, start = ids.tobytes(), 0
-            for w, stop in zip(part, [*stops, len(ids)], strict=True):
-                self.memo[w] = raw[4 * start : 4 * stop]
-                start = stop + 1
+            stops = np.flatnonzero(ids == self.between_id)
+            lengths.append(np.diff(stops, prepend=-1, append=len(ids)) - 1)
+            found.append(np.delete(ids, stops))
+        return (np.concatenate(lengths), np.concatenate(found)) if found else (np.zeros(0, np.int64), np.zeros(0, "<u4"))
 
-    def _others(self, pieces: list[str]) -> None:
+    def _others(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        lengths, found = [], []
         for lo in range(0, len(pieces), 1024):
-            part = pieces[lo : lo + 1024]
-            found = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
-            cuts = np.searchsorted(np.array(found.word_ids, np.int64), np.arange(len(part) + 1))
-            raw = np.array(found.ids, "<u4").tobytes()
-            for i, p in enumerate(part):
-                self.memo[p] = raw[4 * cuts[i] : 4 * cuts[i + 1]]
-
-    def learn(self, pieces: set[str]) -> None:
-        """Encode the pieces that the memo lacks."""
-        memo = self.memo
-        new = [p for p in pieces if p not in memo]
-        if len(memo) + len(new) > self.most:
-            memo.clear()
-            new = list(pieces)
-        words, others, made = set(), set(), []
-        for p in new:
-            core = p.rstrip(",.;:!?")
-            if (core[1:] if core[:1] == " " else core).isalpha():
-                if core not in memo:
-                    words.add(core)
-                if len(core) < len(p):
-                    tail = p[len(core) :]
-                    made.append((p, core, tail))
-                    if tail not in memo:
-                        others.add(tail)
-            else:
-                others.add(p)
-        self._words(list(words))
-        self._others(list(others))
-        for p, core, tail in made:
-            memo[p] = memo[core] + memo[tail]
+            part = pieces.slice(lo, 1024).to_pylist()
+            got = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
+            lengths.append(np.bincount(np.array(got.word_ids, np.int64), minlength=len(part)))
+            found.append(np.array(got.ids, "<u4"))
+        return (np.concatenate(lengths), np.concatenate(found)) if found else (np.zeros(0, np.int64), np.zeros(0, "<u4"))
+
+    def _distinct(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(lengths, ids) of each of the distinct pieces, in order."""
+        plain = pc.match_substring_regex(pieces, LETTERS)
+        rows = np.asarray(plain)
+        parts = [self._letters(pc.replace_substring_regex(pieces.filter(plain), CLOSING, "\x00\\0")), self._others(pieces.filter(pc.invert(plain)))]
+        order = np.concatenate([np.flatnonzero(rows), np.flatnonzero(~rows)])
+        lengths = np.concatenate([n for n, _ in parts])
+        start = np.cumsum(lengths) - lengths
+        back = np.argsort(order)
+        return gather(np.concatenate([i for _, i in parts]), start[back], lengths[back])
 
     @staticmethod
-    def cut(text: str) -> list[str]:
-        """The text as pieces that are encoded independently: a word with one leading blank, or a run of white space."""
-        if not text:
-            return []
-        out = []
-        for i, line in enumerate(text.split("\n")):
-            words = line.split(" ")
-            # Only single blanks within the line, none at its ends: the common case, without a regular expression.
-            if "" in words or len(line.split()) != len(words):
-                return PIECES.findall(text)
-            if i:
-                out.append("\n")
-            out.append(words[0])
-            out += [" " + w for w in words[1:]]
-        return out
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cuts, pieces, size, out, first = [], set(), 0, [], 0
-        for i, text in enumerate(texts):
-            cuts.append(self.cut(text))
-            pieces.update(cuts[-1])
-            size += len(text)
-            if size > 4_000_000 or i + 1 == len(texts):
-                self.learn(pieces)
-                get = self.memo.__getitem__
-                out += [b"".join(map(get, c)) for c in cuts[first:]]
-                cuts, pieces, size, first = [], set(), 0, 0
-        return out
+    def cut(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """The texts' pieces, which are encoded independently, and how many each has.
+
+        A piece is a word with one leading blank, or white space.
+        """
+        plain = pc.invert(pc.match_substring_regex(texts, ODD))
+        some = pc.replace_substring(pc.replace_substring(texts.filter(plain), " ", "\x01 "), "\n", "\x01\n\x01")
+        words = pc.split_pattern(some, "\x01")
+        use = np.asarray(plain)
+        many = np.zeros(len(texts), np.int64)
+        many[use] = np.asarray(pc.list_value_length(words))
+        if use.all():
+            return words.flatten(), many
+        rest = [PIECES.findall(t) for t in texts.filter(pc.invert(plain)).to_pylist()]
+        many[~use] = [len(r) for r in rest]
+        both = pa.concat_arrays([words.flatten(), pa.array(itertools.chain.from_iterable(rest), pa.string())])
+        first = np.zeros(len(texts), np.int64)
+        first[use] = np.cumsum(many[use]) - many[use]
+        first[~use] = many[use].sum() + np.cumsum(many[~use]) - many[~use]
+        place = np.arange(many.sum()) + np.repeat(first - (np.cumsum(many) - many), many)
+        return both.take(pa.array(place)), many
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(how many ids each text has, all ids) of texts without nulls."""
+        lengths, ids = [np.zeros(0, np.int64)], [np.zeros(0, "<u4")]
+        for part in slices(texts, GROUP_BYTES):
+            whole = np.zeros(len(part), bool)
+            for token in self.added:
+                whole |= np.asarray(pc.match_substring(part, token))
+            if whole.any():  # one by one: an added token is not known beforehand to stand at a piece's border
+                for text, odd in zip(part, whole.tolist(), strict=True):
+                    n, own = (None, np.array(self.tokenizer.encode(text.as_py(), add_special_tokens=False).ids, "<u4")) if odd else self._encode(pa.array([text]))
+                    lengths.append(np.array([len(own)]))
+                    ids.append(own)
+                continue
+            n, own = self._encode(part)
+            lengths.append(n)
+            ids.append(own)
+        return np.concatenate(lengths), np.concatenate(ids)
+
+    def _encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        pieces, many = self.cut(texts)
+        numbered = pieces.dictionary_encode()
+        size, ids = self._distinct(numbered.dictionary)
+        start, at = np.cumsum(size) - size, np.asarray(numbered.indices)
+        size_of, ids = gather(ids, start[at], size[at])
+        total = np.concatenate([[0], np.cumsum(size_of)])
+        return np.diff(total[np.concatenate([[0], np.cumsum(many)])]), ids
+
+
+def gather(values: np.ndarray, start: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(lengths, the runs of ``values`` that begin at ``start``, one after another)."""
+    at = np.repeat(start - (np.cumsum(lengths) - lengths), lengths)
+    at += np.arange(len(at))
+    return lengths, values[at]
+
+
+def slices(texts: pa.Array, most: int) -> Iterator[pa.Array]:
+    """Runs of the texts with about ``most`` bytes at most, or one text."""
+    ends = np.cumsum(np.asarray(pc.binary_length(texts)))
+    lo = 0
+    while lo < len(texts):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + most, "right")))
+        yield texts.slice(lo, hi - lo)
+        lo = hi
 
 
 @functools.cache
 def worker_encoder(path: str, pattern: str | None = None) -> PieceEncoder:
-    """The encoder of a worker process: tasks that follow one another share its memo."""
+    """The encoder of a worker process, which its tasks share."""
     return PieceEncoder(load_ranks_tokenizer(path, pattern) if pattern else load_json_tokenizer(path))
 
 
@@ -195,11 +225,10 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
         encoder = worker_encoder(path, pattern)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            texts = batch.column(1).to_pylist()
-            raw = encoder.encode(texts)
-            ends = np.cumsum([0] + [len(r) // 4 for r in raw]).astype(np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(raw), "<i4")))
-            return pa.RecordBatch.from_arrays([batch.column(0), ids, pa.array([len(t.encode()) for t in texts], pa.int64())], names=["doc_id", "ids", "n_bytes"])
+            many, ids = encoder.encode(batch.column(1))
+            ends = np.concatenate([[0], np.cumsum(many)]).astype(np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(ids.view("<i4")))
+            return pa.RecordBatch.from_arrays([batch.column(0), ids, pc.binary_length(batch.column(1)).cast(pa.int64())], names=["doc_id", "ids", "n_bytes"])
 
         return step
 
@@ -218,73 +247,76 @@ def token_table(path: str) -> list[bytes]:
 
 
 def offsets(data: bytes, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For tokens of these byte lengths over UTF-8 ``data``: byte ends, first character and end character of each."""
+    """For tokens of these byte lengths over UTF-8 ``data``: byte ends, first character and end character of each.
+
+    A character that is split over tokens belongs to each of them.
+    """
     ends = np.cumsum(lengths)
-    starts = ends - lengths
     lead = np.concatenate([[0], np.cumsum((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)])
     # The character that a byte belongs to is the one whose lead byte came last.
-    first = np.maximum(lead[np.minimum(starts + 1, len(data))] - 1, 0)
+    first = np.maximum(lead[np.minimum(ends - lengths + 1, len(data))] - 1, 0)
     return ends, first, lead[ends]
 
 
+def decoded(ids: pa.ListArray, table: list[bytes], length: np.ndarray) -> Iterator[tuple[np.ndarray, bytes, int, int]]:
+    """For each list of ids: the ids, their bytes, the characters and how many characters are split over tokens."""
+    flat, cuts = ids.flatten().to_numpy(zero_copy_only=False), np.asarray(ids.offsets) - ids.offsets[0].as_py()
+    for lo, hi in itertools.pairwise(cuts.tolist()):
+        own = flat[lo:hi]
+        raw = b"".join(map(table.__getitem__, own.tolist()))
+        _, first, end = offsets(raw, length[own])
+        # A token that begins within a character shares it with the token before.
+        yield own, raw, int(end[-1]) if hi > lo else 0, len(np.unique(first[1:][first[1:] < end[:-1]]))
+
+
 def decode(encoded: DataFrame, path: str) -> DataFrame:
-    """doc_id, data (the decoded bytes), text (null where they are not UTF-8), n_split: tokens that begin within a character."""
-    id_type = dict(encoded.dtypes)["doc_id"]
+    """doc_id, data (the decoded bytes), text (null where they are not UTF-8), n_chars, n_split of (doc_id, ids).
+
+    ``n_split`` counts the characters that are split over tokens.
+    """
 
     def make():
         table = token_table(path)
         length = np.array([len(t) for t in table], np.int64)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            data, texts, split = [], [], []
-            ids = batch.column(1)
-            flat, cuts = ids.flatten().to_numpy(zero_copy_only=False), np.asarray(ids.offsets) - ids.offsets[0].as_py()
-            for lo, hi in zip(cuts, cuts[1:], strict=False):
-                own = flat[lo:hi]
-                raw = b"".join(map(table.__getitem__, own.tolist()))
-                data.append(raw)
-                begin = np.cumsum(length[own]) - length[own]
-                byte = np.frombuffer(raw, np.uint8)
-                split.append(int(((byte[begin] & 0xC0) == 0x80).sum()) if len(raw) else 0)
-                try:
-                    texts.append(raw.decode())
-                except UnicodeDecodeError:
-                    texts.append(None)
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(data, pa.binary()), pa.array(texts, pa.string()), pa.array(split, pa.int64())], names=["doc_id", "data", "text", "n_split"])
+            _, data, chars, split = zip(*decoded(batch.column(1), table, length), strict=True)
+            texts = [raw.decode() if _is_utf8(raw) else None for raw in data]
+            types = (pa.binary(), pa.string(), pa.int64(), pa.int64())
+            return pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, (data, texts, chars, split), types)], names=["doc_id", "data", "text", "n_chars", "n_split"])
 
         return step
 
-    return per_batch(encoded.select("doc_id", "ids"), make, f"doc_id {id_type}, data binary, text string, n_split long")
+    id_type = dict(encoded.dtypes)["doc_id"]
+    return per_batch(encoded.select("doc_id", "ids"), make, f"doc_id {id_type}, data binary, text string, n_chars long, n_split long")
+
+
+def _is_utf8(data: bytes) -> bool:
+    try:
+        data.decode()
+    except UnicodeDecodeError:
+        return False
+    return True
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256, n_split: encode, then decode the ids."""
-    source = encode(docs, path, pattern)
-    id_type = dict(source.dtypes)["doc_id"]
+    """doc_id, n_tokens, ids_sha256, decoded_sha256, n_chars, n_split: encode, then decode the ids."""
+    encoded = encode(docs, path, pattern).select("doc_id", "ids")
 
     def make():
-        import hashlib
-
         table = token_table(path)
         number = [str(i) for i in range(len(table))]
         length = np.array([len(t) for t in table], np.int64)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            rows = []
-            ids = batch.column(1)
-            flat, cuts = ids.flatten().to_numpy(zero_copy_only=False), np.asarray(ids.offsets) - ids.offsets[0].as_py()
-            for lo, hi in zip(cuts, cuts[1:], strict=False):
-                own = flat[lo:hi].tolist()
-                raw = b"".join(map(table.__getitem__, own))
-                size = length[flat[lo:hi]]
-                split = int(((np.frombuffer(raw, np.uint8)[np.cumsum(size) - size] & 0xC0) == 0x80).sum()) if raw else 0
-                rows.append((len(own), hashlib.sha256(" ".join(map(number.__getitem__, own)).encode()).hexdigest(), hashlib.sha256(raw).hexdigest(), split))
-            types = (pa.int64(), pa.string(), pa.string(), pa.int64())
-            return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True))], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_split"])
+            rows = [
+                (len(own), hashlib.sha256(" ".join(map(number.__getitem__, own.tolist())).encode()).hexdigest(), hashlib.sha256(raw).hexdigest(), chars, split)
+                for own, raw, chars, split in decoded(batch.column(1), table, length)
+            ]
+            types = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64())
+            return pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, zip(*rows, strict=True), types)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_chars", "n_split"])
 
         return step
 
-    return per_batch(source.select("doc_id", "ids"), make, f"doc_id {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string, n_split long")
-
-
-VERSION = tokenizers.__version__
+    id_type = dict(encoded.dtypes)["doc_id"]
+    return per_batch(encoded, make, f"doc_id {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string, n_chars long, n_split long")

@@ -24,15 +24,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
+
 SAMPLE = 1600
 PIECE = 600
 HIDDEN = 8
 SPAN = 128
 LANES = 2048
 UNDETERMINED = "und"
+LEAST, ENOUGH = 0.8, 200  # certainty below which a text of so many letters is in none of the learned languages
 Params = dict[str, np.ndarray]
 
 
@@ -201,7 +205,7 @@ def train(samples: list[tuple[bytes, int]], classes: int, steps: int = 260, lane
 
 
 def label_positions(p: Params, segments: np.ndarray, spans: np.ndarray) -> np.ndarray:
-    """Summed log-probabilities of the letter positions of each segment: segments x classes.
+    """Summed log-probabilities of the letter positions of each segment, and of each position's best label at last: segments x (classes + 1).
 
     ``segments``: steps x lanes of bytes, blank beyond each lane's ``spans``.
     """
@@ -214,14 +218,19 @@ def label_positions(p: Params, segments: np.ndarray, spans: np.ndarray) -> np.nd
     # States lie within (-1, 1), which bounds the logits, so exp needs no shift.
     norm = np.exp(logits) @ np.ones(classes, np.float32)
     np.log(norm, out=norm)
+    best = logits[:, 0].copy()
+    for k in range(1, classes):
+        np.maximum(best, logits[:, k], out=best)
     norm *= mask.reshape(-1)
     logits *= mask.reshape(-1, 1)
-    return logits.reshape(*segments.shape, classes).sum(0) - norm.reshape(segments.shape).sum(0)[:, None]
+    best *= mask.reshape(-1)
+    total = np.concatenate([logits.reshape(*segments.shape, classes).sum(0), best.reshape(segments.shape).sum(0)[:, None]], 1)
+    return total - norm.reshape(segments.shape).sum(0)[:, None]
 
 
 def score_texts(p: Params, texts: list[bytes]) -> np.ndarray:
-    """Summed log-probabilities of each text's letter positions: texts x classes."""
-    total = np.zeros((len(texts), len(p["c"])))
+    """Summed log-probabilities of each text's letter positions, and of their best labels at last: texts x (classes + 1)."""
+    total = np.zeros((len(texts), len(p["c"]) + 1))
     sizes = np.array([len(t) for t in texts], np.int64)
     data = np.frombuffer(b"".join(texts), np.uint8)
     begin = np.cumsum(sizes) - sizes
@@ -276,38 +285,53 @@ def _smallest(rows: DataFrame, bounds: dict[str, int], sample: int) -> dict[str,
     return out
 
 
+def labeller(langs: list[str], params: Params | None):
+    """An Arrow function of (text, has_letter).
+
+    It gives lang_pred, the most probable language; score, its pooled
+    probability; n_letters, the text's bytes in letters; certainty, the geometric
+    mean over those of the probability that each position gives to its own label.
+    """
+    kind = pa.struct([("lang_pred", pa.string()), ("score", pa.float64()), ("n_letters", pa.int64()), ("certainty", pa.float64())])
+
+    def label(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for texts, flags in columns:
+            use = np.flatnonzero(np.array(flags.to_pylist(), bool) & (params is not None))
+            names, scores, many, certain = np.full(len(texts), UNDETERMINED, object), np.zeros(len(texts)), np.zeros(len(texts), np.int64), np.zeros(len(texts))
+            for some in _runs(texts, use):
+                data = [texts[i].as_py().encode() for i in some.tolist()]
+                got = score_texts(params, data)
+                # Neighbouring positions say much the same, so their sum is scaled down before it is a probability.
+                p = np.exp(_log_softmax(got[:, :-1] / 16))
+                names[some], scores[some] = np.array(langs, object)[p.argmax(1)], p.max(1)
+                many[some] = [np.count_nonzero(letters(np.frombuffer(d, np.uint8))) for d in data]
+                certain[some] = np.exp(got[:, -1] / many[some])
+            yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores), pa.array(many), pa.array(certain)], fields=list(kind))
+
+    label.__annotations__ = {"columns": Iterator[tuple[pa.Array, pa.Array]], "return": Iterator[pa.Array]}
+    # Else the optimizer would run the network once for each use of its result.
+    return F.arrow_udf(label, "lang_pred string, score double, n_letters long, certainty double").asNondeterministic()
+
+
+def has_letter(text_col: str = "text") -> Column:
+    return F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
+
+
 def predict(docs: DataFrame, langs: list[str], params: Params | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, lang_pred, score (the pooled probability) of every row."""
-    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("has_letter"))
-
-    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in _slices(whole):
-                texts = batch.column(1).to_pylist()
-                use = np.array(batch.column(2).to_pylist(), bool) & (params is not None)
-                names, scores = np.full(len(texts), UNDETERMINED, object), np.zeros(len(texts))
-                if use.any():
-                    got = score_texts(params, [texts[i].encode() for i in np.flatnonzero(use)])
-                    # Neighbouring positions say much the same, so their sum is scaled down before it is a probability.
-                    p = np.exp(_log_softmax(got / 16))
-                    names[use] = np.array(langs, object)[p.argmax(1)]
-                    scores[use] = p.max(1)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores)], names=["doc_id", "lang_pred", "score"])
-
-    return source.mapInArrow(label, f"doc_id {dict(source.dtypes)['doc_id']}, lang_pred string, score double")
-
-
-def _slices(batch: pa.RecordBatch, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch with about ``most`` bytes of text at most, or one row."""
-    sizes = [len(t) if t else 0 for t in batch.column(1).to_pylist()]
-    lo, total = 0, 0
-    for i, size in enumerate(sizes):
-        if i > lo and total + size > most:
-            yield batch.slice(lo, i - lo)
-            lo, total = i, 0
-        total += size
-    if lo < len(sizes):
-        yield batch.slice(lo)
+    bounded_batches(docs.sparkSession)
+    found = docs.select(F.col(id_col).alias("doc_id"), labeller(langs, params)(F.col(text_col), has_letter(text_col)).alias("found"))
+    return found.select("doc_id", "found.lang_pred", "found.score")
+
+
+def _runs(texts: pa.Array, use: np.ndarray, most: int = 2_000_000) -> Iterator[np.ndarray]:
+    """Runs of the rows ``use`` with about ``most`` bytes of text at most, or one row."""
+    sizes = np.asarray(pc.fill_null(pc.binary_length(texts), 0)).astype(np.int64)[use]
+    lo, ends = 0, np.cumsum(sizes)
+    while lo < len(use):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + most, "right")))
+        yield use[lo:hi]
+        lo = hi
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -321,27 +345,20 @@ def identify(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, with all columns, whose text has a language: null texts and texts without letters go."""
+def keep_identified(docs: DataFrame, least: float = LEAST, enough: int = ENOUGH) -> DataFrame:
+    """The rows of ``docs``, with all columns, whose text is found to be in a language.
+
+    Texts that are ``und`` go (null, or without a letter), and so do those of
+    ``enough`` letters whose positions are sure of their labels by less than
+    ``least``, such as encoded data and unknown languages; texts that mix learned
+    languages stay, and of shorter texts too little is known.
+    Where no row has a language to learn from, every text with a letter stays.
+    """
     langs, params = learn(docs, ~held_out())
-    columns = docs.columns
-    schema = docs.schema
-
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, flag = columns.index("text"), len(columns)
-        for whole in batches:
-            texts = whole.column(at).to_pylist()
-            use = np.array(whole.column(flag).to_pylist(), bool) & (params is not None)
-            rows = np.flatnonzero(use)
-            ok = np.zeros(len(texts), bool)
-            lo, total = 0, 0
-            for i, row in enumerate(rows):
-                total += len(texts[row])
-                if total > 4_000_000 or i + 1 == len(rows):
-                    got = score_texts(params, [texts[r].encode() for r in rows[lo : i + 1]])
-                    ok[rows[lo : i + 1]] = np.exp(_log_softmax(got / 16)).max(1) >= 1 / len(langs)
-                    lo, total = i + 1, 0
-            yield whole.filter(pa.array(ok)).select(columns)
-
-    flagged = docs.withColumn("__has_letter", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
-    return flagged.mapInArrow(keep, schema)
+    if params is None:
+        return docs.filter(has_letter())
+    bounded_batches(docs.sparkSession)
+    name = "__found" + "_" * max(map(len, docs.columns))
+    found = docs.withColumn(name, labeller(langs, params)(F.col("text"), has_letter()))
+    got = F.col(name)
+    return found.filter((got["lang_pred"] != UNDETERMINED) & ((got["certainty"] >= least) | (got["n_letters"] < enough))).select(*docs.columns)

@@ -41,7 +41,7 @@ SIMILARITY = 80  # in hundredths
 BINS, ROWS = 128, 4
 FEW = 4
 SMALL_ITEMS = 2_000_000  # shingles of the sets that may be broadcast
-MEMO = 400_000
+MEMO = 200_000
 SEEDS = (np.arange(1, 2 * 1024 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 NONE = np.uint64(2**64 - 1)
 

@@ -12,7 +12,8 @@ Coders of all blocks advance in lockstep as numpy vectors. Documents are dealt
 to range partitions by doc_id and files are rows of Spark's text sink with a
 file each; the number of partitions follows the texts' total length.
 
-Defined results: a null text is empty and has the end id alone; rows that
+Defined results: a null text is empty and has the end id alone; an added token
+that a text spells out has its own id, as in the library's plain call; rows that
 repeat a doc_id stand one after another, ordered by text; a null doc_id comes
 first; an empty table writes no file and gives an empty result.
 """
@@ -220,24 +221,24 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col: s
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_encoder(tokenizer)
-        partition, number, end = TaskContext.get().partitionId(), 0, struct.pack("<I", end_id)
-        docs, raws, size = [], [], 0
+        partition, number, end = TaskContext.get().partitionId(), 0, np.array([end_id], "<u4")
+        docs, runs, size = [], [], 0
 
         def close() -> pa.RecordBatch:
-            lengths = np.array([len(r) // 4 for r in raws], np.int64)
-            data = make_file(partition, number, docs, lengths, np.frombuffer(b"".join(raws), "<u4"))
+            lengths = np.array([len(r) + 1 for r in runs], np.int64)
+            data = make_file(partition, number, docs, lengths, np.concatenate([x for r in runs for x in (r, end)]))
             return pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], names=["value"])
 
         for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                part = batch.slice(lo, 500)
-                for doc, raw in zip(part.column(0).to_pylist(), encoder.encode(part.column(1).to_pylist()), strict=True):
-                    if size and size + len(raw) // 4 + 1 > FILE_TOKENS:
-                        yield close()
-                        docs, raws, size, number = [], [], 0, number + 1
-                    docs.append(doc)
-                    raws.append(raw + end)
-                    size += len(raw) // 4 + 1
+            many, ids = encoder.encode(batch.column(1))
+            stops = np.cumsum(many).tolist()
+            for doc, lo, hi in zip(batch.column(0).to_pylist(), [0, *stops], stops, strict=False):
+                if size and size + hi - lo + 1 > FILE_TOKENS:
+                    yield close()
+                    docs, runs, size, number = [], [], 0, number + 1
+                docs.append(doc)
+                runs.append(ids[lo:hi])
+                size += hi - lo + 1
         if docs:
             yield close()
 
