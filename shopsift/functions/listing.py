@@ -119,9 +119,9 @@ def file_name(collection: Column) -> Column:
     return F.concat(F.translate(or_else(collection, "collection"), " /", "_-"), F.lit("_factory.xlsx"))
 
 
-def html_escape(text: Column) -> Column:
+def html_escape(text: Column, quotes: bool = True) -> Column:
     out = F.coalesce(text, F.lit(""))
-    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"))[: 4 if quotes else 3]:
         out = F.replace(out, F.lit(a), F.lit(b))
     return out
 
@@ -144,6 +144,14 @@ def error_kind(message: Column) -> Column:
     )
 
 
+def friendly_message(message: Column, service: str = "the scraping service") -> Column:
+    """What a user is told of an error, by :func:`error_kind`."""
+    kind = error_kind(message)
+    told = F.when(kind == "credits", f"Out of credits at {service}").when(kind == "key", f"The key of {service} is invalid or missing")
+    told = told.when(kind == "rate", "Rate limit hit — wait a few minutes and try again").when(kind == "timeout", F.concat(F.lit("Request timed out scraping "), F.substring(message, 1, 80)))
+    return told.when(kind == "network", f"Network error — could not reach the site or {service}").otherwise("Scrape failed unexpectedly — check the error log for details")
+
+
 def connection_message(message: Column) -> Column:
     low = F.lower(message)
     return (
@@ -179,6 +187,22 @@ def done_text(saved: Column, known: Column, found: Column) -> Column:
     )
 
 
+def plural(count: Column, noun: str) -> Column:
+    return F.concat(count.cast("string"), F.lit(f" {noun}"), F.when(count != 1, "s").otherwise(""))
+
+
+def run_summary(saved: Column, known: Column, sites: Column, any_failed: Column) -> Column:
+    """The text under a finished run."""
+    head = F.concat(F.when(any_failed, "⚠️ ").otherwise("✅ "), F.regexp_replace(plural(saved, "new product"), "$", " found across "), plural(sites, "site"))
+    note = F.when((saved == 0) & (known > 0), F.concat(F.lit(" Everything was already up to date — "), plural(known, "product"), F.lit(" matched existing entries.")))
+    return F.concat(head, F.coalesce(note, F.lit("")))
+
+
+def raw_price(text: Column) -> Column:
+    """A price as recorded, with a dollar sign before it."""
+    return F.concat(F.lit("$"), F.coalesce(text, F.lit("")))
+
+
 def image_extension(content_type: Column) -> Column:
     kind = F.lower(F.coalesce(content_type, F.lit("")))
     return F.when(contains_any(kind, "png", "webp"), "png").when(F.contains(kind, F.lit("gif")), "gif").otherwise("jpeg")

@@ -27,17 +27,26 @@ def last_value(df: DataFrame, keys: list[str], value: str, seq: str) -> DataFram
     return df.groupBy(*keys).agg(F.max_by(value, seq).alias(value))
 
 
-def new_only(rows: DataFrame, stored: DataFrame, key: str) -> DataFrame:
+def new_only(rows: DataFrame, stored: DataFrame, key: str | list[str]) -> DataFrame:
     """Rows whose key is filled and not stored; the stored side is reduced to its keys first."""
-    filled = rows.filter(F.col(key).isNotNull() & (F.col(key) != ""))
-    return filled.join(stored.select(key).distinct(), key, "left_anti")
+    keys = [key] if isinstance(key, str) else key
+    filled = rows
+    for k in keys:
+        filled = filled.filter(F.col(k).isNotNull() & (F.col(k) != ""))
+    return filled.join(stored.select(*keys).distinct(), keys, "left_anti")
+
 
+def merge(target: DataFrame, changes: DataFrame, keys: list[str], columns: list[str] | None = None, insert: bool = True) -> DataFrame:
+    """A new snapshot of ``target``: rows of ``changes`` update ``columns`` (all but the keys by default) or are added.
 
-def merge(target: DataFrame, changes: DataFrame, keys: list[str], columns: list[str] | None = None) -> DataFrame:
-    """A new snapshot of ``target``: rows of ``changes`` update ``columns`` (all but the keys by default) or are added."""
+    Without ``insert`` changes of other keys are ignored, and a small ``changes``
+    may be broadcast. Of changes that repeat a key the largest counts.
+    """
     update = [c for c in target.columns if c not in keys] if columns is None else columns
-    a, b = target.withColumn("__a", F.lit(True)), changes.withColumn("__b", F.lit(True))
-    both = a.alias("a").join(b.alias("b"), keys, "full_outer")
+    rest = [c for c in changes.columns if c not in keys]
+    one = changes.groupBy(*keys).agg(F.max(F.struct(*rest)).alias("__row")).select(*keys, *[F.col("__row")[c].alias(c) for c in rest])
+    a, b = target.withColumn("__a", F.lit(True)), one.withColumn("__b", F.lit(True))
+    both = a.alias("a").join(b.alias("b"), keys, "full_outer" if insert else "left")
     pick = [
         F.col(c) if c in keys else (F.when(F.col("__b") & (F.col("__a").isNull() | F.lit(c in update)), F.col(f"b.{c}")).otherwise(F.col(f"a.{c}")) if c in changes.columns else F.col(f"a.{c}")).alias(c)
         for c in target.columns
@@ -67,7 +76,10 @@ def until_nothing_new(rows: DataFrame, page: str, key: str, last_page: int | Non
 
 
 def topup(left: DataFrame, right: DataFrame, key: str, seq: list[str], fewer_than: int = 20) -> DataFrame:
-    """``left`` and, where it has fewer rows, the first rows of ``right`` with keys that it lacks."""
+    """``left`` and, where it has fewer rows, the first rows of ``right`` with keys that it lacks.
+
+    Which of the two it is decides the plan, so ``left`` is counted, up to ``fewer_than`` rows, as the plan is made.
+    """
     few = left.limit(fewer_than).count() < fewer_than
     if not few:
         return left

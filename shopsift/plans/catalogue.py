@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import listing
-from ..operators import review, tables
-from .catalogue_sql import SQL as SQL
+from ..operators import records, review, tables
+from . import catalogue_records
+from .catalogue_sql import SQL as CATALOGUE_SQL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -32,7 +33,7 @@ def site_stats(t):
 
 @query
 def site_stats_with_zero(t):
-    lines = t("lineitem").filter("l_shipdate >= timestamp_ntz'2001-06-01' AND l_shipdate < timestamp_ntz'2001-06-04'")
+    lines = t("lineitem").filter("l_returnflag = 'R' AND l_quantity >= 50")
     return t("supplier").join(_stats(lines), "s_suppkey", "left").select("s_suppkey", "s_name", F.coalesce("n", F.lit(0)).alias("total_products"), "last_scraped")
 
 
@@ -91,13 +92,13 @@ def status_update(t):
 def notes_update(t):
     rows = t("orders").select(F.col("o_orderkey").alias("id"), F.lit(None).cast("string").alias("notes"))
     notes = rows.filter("id % 11 = 0").select("id", F.concat(F.lit("note "), F.col("id").cast("string")).alias("notes"))
-    return tables.merge(rows, notes, ["id"])
+    return tables.merge(rows, notes, ["id"], insert=False)
 
 
 @query
 def toggle_active(t):
     rows = t("supplier").select("s_suppkey", F.lit(True).alias("is_active"))
-    return tables.merge(rows, rows.filter("s_suppkey % 3 = 0").select("s_suppkey", (~F.col("is_active")).alias("is_active")), ["s_suppkey"])
+    return tables.merge(rows, rows.filter("s_suppkey % 3 = 0").select("s_suppkey", (~F.col("is_active")).alias("is_active")), ["s_suppkey"], insert=False)
 
 
 def _kept(t) -> DataFrame:
@@ -130,7 +131,7 @@ def finalize_children(t):
 def finalize_status(t):
     rows = _products(t).select("id", "review_status")
     done = rows.filter("review_status = 'Kept'").select("id", F.lit("Finalized").alias("review_status"))
-    return tables.merge(rows, done, ["id"])
+    return tables.merge(rows, done, ["id"], insert=False)
 
 
 @query
@@ -183,7 +184,8 @@ def dedupe_first_wins(t):
 
 @query
 def dedupe_documents(t):
-    rows = t("documents").select("doc_id", F.trim("text").alias("body"))
+    # Digests are shuffled, not texts.
+    rows = t("documents").select("doc_id", F.sha2(F.trim("text"), 256).alias("body"))
     return rows.groupBy("body").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")).select("doc_id", "copies")
 
 
@@ -195,14 +197,13 @@ def pagination_stop(t):
 
 @query
 def topup_merge(t):
-    rows = t("part").select("p_partkey", "p_brand")
-    return tables.topup(rows.filter("p_partkey < 15"), rows.filter("p_partkey >= 15"), "p_brand", ["p_partkey"])
+    first = t("region").select(F.col("r_regionkey").cast("long").alias("key"), F.concat(F.lit("Brand#"), F.col("r_regionkey").cast("string")).alias("brand"))
+    return tables.topup(first, t("part").select(F.col("p_partkey").alias("key"), F.col("p_brand").alias("brand")), "brand", ["key"])
 
 
 @query
 def classify_keyword(t):
-    words = ["ring", "rings", "chain", "bracelet"]
-    return t("part").select("p_partkey", listing.is_jewelry(F.col("p_type"), F.col("p_brand"), F.col("p_name"), words).alias("is_jewelry"))
+    return t("part").select("p_partkey", listing.is_jewelry(F.col("p_type"), F.col("p_brand"), F.col("p_name")).alias("is_jewelry"))
 
 
 @query
@@ -313,16 +314,15 @@ def active_sites(t):
 
 @query
 def method_dispatch(t):
-    kind = F.col("s_suppkey") % 3
-    found, known = F.col("s_suppkey") % 5, F.col("s_suppkey") % 2
-    method = F.when(kind == 0, "Store").when(kind == 1, "Listing").otherwise(F.when((found == 0) & (known == 0), "Listing").otherwise("Store"))
-    return t("supplier").select("s_suppkey", method.alias("method"))
+    asked = F.when(F.col("s_suppkey") % 3 == 0, "Store").when(F.col("s_suppkey") % 3 == 1, "Listing").otherwise("Auto")
+    return t("supplier").select("s_suppkey", records.method_used(asked, F.col("s_suppkey") % 5, F.col("s_suppkey") % 2).alias("method"))
 
 
 @query
 def cascade_delete(t):
     gone = t("supplier").filter("s_suppkey % 10 = 3").select(F.col("s_suppkey").alias("l_suppkey"))
-    return t("lineitem").join(gone, "l_suppkey", "left_anti").groupBy("l_suppkey").agg(F.count("*").alias("products"))
+    _, left = records.delete_with_children(t("supplier").withColumnRenamed("s_suppkey", "l_suppkey"), t("lineitem"), gone, "l_suppkey")
+    return left.groupBy("l_suppkey").agg(F.count("*").alias("products"))
 
 
 @query
@@ -336,10 +336,14 @@ def registry_upsert(t):
 def sidebar_reinject(t):
     rows = t("region").select(F.col("r_name").alias("label"))
     labels = t("nation").filter("n_nationkey < 3").select(F.concat(F.lit("A"), "n_name").alias("label"))
-    return rows.filter(~F.col("label").isin("ASIA", "EUROPE")).unionByName(labels)
+    return records.reinject(rows, ["ASIA", "EUROPE"], labels, "Section")
 
 
 @query
 def image_fields(t):
     kind = F.when(F.col("p_size") % 4 == 0, "image/PNG").when(F.col("p_size") % 4 == 1, "image/gif").when(F.col("p_size") % 4 == 2, "image/webp").otherwise("image/x")
     return t("part").select("p_partkey", listing.image_extension(kind).alias("ext"), listing.scaled_width(F.col("p_size") * 7, F.col("p_size") % 5).alias("width"), F.base64(F.encode("p_name", "utf-8")).alias("encoded"))
+
+
+QUERIES |= catalogue_records.QUERIES
+SQL = CATALOGUE_SQL | catalogue_records.SQL

@@ -7,7 +7,7 @@ _CLEAN = r"""substr(regexp_replace(regexp_replace(url, '[?#].*$', ''), ';[^/]*$'
 
 SQL: dict[str, str] = {
     "site_stats": "SELECT s_suppkey, s_name, count(l_suppkey) AS total_products, max(l_shipdate) AS last_scraped FROM supplier LEFT JOIN lineitem ON s_suppkey = l_suppkey GROUP BY 1, 2",
-    "site_stats_with_zero": "SELECT s_suppkey, s_name, count(l_suppkey) AS total_products, max(l_shipdate) AS last_scraped FROM supplier LEFT JOIN lineitem ON s_suppkey = l_suppkey AND l_shipdate >= TIMESTAMP '2001-06-01' AND l_shipdate < TIMESTAMP '2001-06-04' GROUP BY 1, 2",
+    "site_stats_with_zero": "SELECT s_suppkey, s_name, count(l_suppkey) AS total_products, max(l_shipdate) AS last_scraped FROM supplier LEFT JOIN lineitem ON s_suppkey = l_suppkey AND l_returnflag = 'R' AND l_quantity >= 50 GROUP BY 1, 2",
     "collections_counts": "SELECT o_orderkey, o_orderdate, count(l_orderkey) AS item_count FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1, 2",
     "collection_items_priced": "SELECT l.l_orderkey, l.l_linenumber, l.l_suppkey, l.l_shipdate, l.l_partkey AS p_partkey, i.p_name, p.p_retailprice AS price_list_rate FROM lineitem l LEFT JOIN part i ON i.p_partkey = l.l_partkey LEFT JOIN part p ON p.p_partkey = l.l_partkey AND p.p_type = 'PROMO'",
     "run_log_report": "SELECT l_orderkey, l_suppkey, count(*) AS products, min(l_shipdate) AS scraped_at FROM lineitem GROUP BY 1, 2",
@@ -30,9 +30,9 @@ SQL: dict[str, str] = {
     "ingest_counters": f"WITH h AS ({_HOSTS}), k AS (SELECT DISTINCT host FROM h WHERE page_id % 5 = 0) SELECT count(*) AS urls_found, count(DISTINCT k.host) AS already_in_db, count(DISTINCT CASE WHEN k.host IS NULL THEN h.host END) AS products_saved FROM h LEFT JOIN k ON h.host = k.host",
     "dedupe_first_wins": f"SELECT host, min(page_id) AS page_id FROM ({_HOSTS}) GROUP BY host",
     "dedupe_documents": "SELECT min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY trim(text, ' ')",
-    "pagination_stop": "WITH r AS (SELECT event_id, event_id // 20 AS page, user_id AS url FROM events WHERE event_id < 2000), f AS (SELECT url, min(page) AS first FROM r GROUP BY url), n AS (SELECT r.page, count(*) AS new FROM r JOIN f ON r.url = f.url AND r.page = f.first GROUP BY r.page), s AS (SELECT coalesce(min(p.page), 100) AS stop FROM range(100) p(page) LEFT JOIN n ON n.page = p.page WHERE n.new IS NULL) SELECT event_id, page, url FROM r, s WHERE page < stop",
-    "topup_merge": "WITH l AS (SELECT p_partkey, p_brand FROM part WHERE p_partkey < 15) SELECT * FROM l UNION ALL SELECT min(p_partkey), p_brand FROM part WHERE p_partkey >= 15 AND p_brand NOT IN (SELECT p_brand FROM l) GROUP BY p_brand",
-    "classify_keyword": r"SELECT p_partkey, regexp_matches(p_type || ' ' || p_name || ' ' || p_brand, '\b(ring|rings|chain|bracelet)\b', 'i') AS is_jewelry FROM part",
+    "pagination_stop": "WITH r AS (SELECT event_id, event_id // 20 AS page, user_id AS url FROM events), f AS (SELECT DISTINCT min(page) AS page FROM r GROUP BY url), a AS (SELECT page + 1 AS page FROM f UNION SELECT 0), s AS (SELECT min(page) AS stop FROM a WHERE page NOT IN (SELECT page FROM f)) SELECT event_id, page, url FROM r, s WHERE page < stop",
+    "topup_merge": "WITH l AS (SELECT CAST(r_regionkey AS BIGINT) AS key, 'Brand#' || r_regionkey AS brand FROM region) SELECT * FROM l UNION ALL SELECT min(p_partkey), p_brand FROM part WHERE p_brand NOT IN (SELECT brand FROM l) GROUP BY p_brand",
+    "classify_keyword": r"SELECT p_partkey, regexp_matches(p_type || ' ' || p_name || ' ' || p_brand, '\b(jewelry|jewellery|ring|rings|necklace|necklaces|earring|earrings|bracelet|bracelets|bangle|bangles|anklet|anklets|pendant|pendants|brooch|brooches|chain|chains|charm|charms|cufflink|cufflinks)\b', 'i') AS is_jewelry FROM part",
     "normalize_tags": "SELECT p_partkey, replace(p_type || '_x', '_', ' ') || '|' || trim(translate(p_brand || ' - y', '-', ' ')) AS tags FROM part",
     "strip_html": r"SELECT page_id, md5(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '^\s+|\s+$', '', 'g')) AS description_md5 FROM pages",
     "url_functions": rf"SELECT page_id, regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1) AS base, {_CLEAN} AS clean, 'x' || page_id AS handle, regexp_extract(url, '^([^?#]*)', 1) || '?p=' || (page_id + 1) || regexp_extract(url, '(#.*)$', 1) AS page_url, replace(url, ',', '') AS next, 'http://a.b/products/' || page_id AS product_url, NOT regexp_matches(url, '(/collections/?$|/category/?$|/search|/cart|/account|/blogs|\?|#)') AND regexp_matches(url, '(/products/|/p/[^/]+/|\.html$|/[a-z0-9-]+-by-[a-z0-9-]+)') AS is_product FROM pages",

@@ -4,7 +4,9 @@
 ``spark.read.format("recorded_pages").load(folder)``. A page file is
 ``<site>-<page>.json``; a site is one partition, since a store's pages follow
 one another: reading ends at the first page that is missing, empty or not JSON,
-and what was read before is kept.
+and what was read before is kept. The folder is one that driver and executors
+mount alike; :func:`recorded_pages` reads the same files from any path that
+Spark reads.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ import json
 import os
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -64,6 +66,17 @@ class RecordedPages(DataSource):
         return PageReader(self.options["path"])
 
 
+def recorded_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """site, page, seq, product of the recorded pages, by the same stop rule, as a DataFrame of files."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(folder)
+    name = lambda i: F.regexp_extract("path", r"([^/]+)-([0-9]+)\.json$", i)
+    pages = files.select(name(1).alias("site"), name(2).cast("int").alias("page"), F.from_json(F.decode("content", "utf-8"), "products array<string>")["products"].alias("products"))
+    # A page counts if it and all before it have products: it is then as many pages on as its number says.
+    place = F.row_number().over(Window.partitionBy("site").orderBy("page"))
+    read = pages.filter(F.size(F.coalesce("products", F.array().cast("array<string>"))) > 0).withColumn("__place", place).filter("page = __place")
+    return read.select("site", "page", F.posexplode("products").alias("seq", "product"))
+
+
 def listings(raw: DataFrame, endpoint: str) -> DataFrame:
     """Jewelry products with an image, in the normalised columns, of raw rows (site, page, seq, product)."""
     p = F.from_json("product", PRODUCT)

@@ -6,9 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from shopsift.functions import listing
-from shopsift.operators import review, tables
+from shopsift.operators import records, review, tables
 from shopsift.plans import catalogue
-from shopsift.sources.pages import RecordedPages, listings
+from shopsift.sources.pages import RecordedPages, listings, recorded_pages
 from shopsift.streaming.ingest import ingest_stream
 
 CASES = [
@@ -81,6 +81,9 @@ def test_recorded_pages_and_incremental_ingest(spark, tmp_path):
     spark.dataSource.register(RecordedPages)
     raw = spark.read.format("recorded_pages").load(str(folder))
     assert raw.count() == 5
+    by_files = recorded_pages(spark, str(folder))
+    key = lambda r: (r.site, r.page, r.seq, json.loads(r.product)["handle"])
+    assert sorted(map(key, raw.collect())) == sorted(map(key, by_files.collect()))
     got = listings(raw, "http://a.b/products.json")
     assert sorted(r.source_product_url for r in got.collect()) == ["http://a.b/products/a"] * 2 + ["http://a.b/products/d"]
 
@@ -91,3 +94,41 @@ def test_recorded_pages_and_incremental_ingest(spark, tmp_path):
         assert ingest_stream(stream, store, str(tmp_path / "checkpoint")).awaitTermination(120)
         got.write.mode("append").parquet(landing)
     assert sorted(r.source_product_url for r in spark.read.parquet(store).collect()) == ["http://a.b/products/a", "http://a.b/products/d"]
+
+
+def test_ingest_by_site_and_url(spark, tmp_path):
+    landing, store = str(tmp_path / "landing"), str(tmp_path / "store")
+    for site in ("x", "y"):
+        spark.createDataFrame([(site, 1, i, f"u{i}") for i in range(5)], "site string, page int, seq int, source_product_url string").write.mode("append").parquet(landing)
+        stream = spark.readStream.schema("site string, page int, seq int, source_product_url string").parquet(landing)
+        assert ingest_stream(stream, store, str(tmp_path / "checkpoint"), ["site", "source_product_url"]).awaitTermination(120)
+    assert spark.read.parquet(store).count() == 10
+
+
+@pytest.mark.parametrize("given,want", [(None, ["a", "b"]), ("", ["a", "b"]), ("x", ["x"]), ('"x"', ["x"]), ('["x", "y"]', ["x", "y"]), ("[]", ["a", "b"]), (["x"], ["x"])])
+def test_site_arguments(spark, given, want):
+    assert records.site_arguments(given, ["a", "b"]) == want
+    if not isinstance(given, list):
+        got = spark.createDataFrame([(given,)], "s string").select(records.site_argument_column(F.col("s"), F.array(F.lit("a"), F.lit("b"))).alias("n"))
+        assert got.first().n == want
+
+
+def test_config_value_raises_where_none_is_set(spark):
+    rows = spark.createDataFrame([("", None)], "a string, b string")
+    with pytest.raises(Exception, match="not set"):
+        rows.select(records.config_value(F.col("a"), F.col("b"))).collect()
+
+
+def test_merge_takes_one_of_repeated_keys_and_may_only_update(spark):
+    target = spark.createDataFrame([(1, "a"), (2, "b")], "id int, v string")
+    changes = spark.createDataFrame([(1, "x"), (1, "y"), (3, "z")], "id int, v string")
+    assert sorted(map(tuple, tables.merge(target, changes, ["id"]).collect())) == [(1, "y"), (2, "b"), (3, "z")]
+    assert sorted(map(tuple, tables.merge(target, changes, ["id"], insert=False).collect())) == [(1, "y"), (2, "b")]
+
+
+def test_reinject_once(spark):
+    rows = spark.createDataFrame([("a",), ("b",)], "label string")
+    added = spark.createDataFrame([("Section",), ("c",)], "label string")
+    once = records.reinject(rows, ["b"], added, "Section")
+    assert sorted(r.label for r in once.collect()) == ["Section", "a", "c"]
+    assert sorted(r.label for r in records.reinject(once, ["c"], added, "Section").collect()) == ["Section", "a", "c"]
