@@ -1,18 +1,23 @@
 """Benchmark passages in documents by a positional inverted index, in DataFrame functions only.
 
-Postings (document, position, term) are taken of the terms that the test items
-use. A phrase is found from its rarest terms: positions, less the term's offset
-in the phrase, are intersected over its two terms with the fewest postings, and
-what remains is compared word for word with the document. Proximity queries ask
-for all terms of a phrase within a span of positions.
-
-The tables of test terms and of anchors are broadcast only if a count shows
-them to have ``SMALL`` rows at most; beyond that they are joined by a shuffle,
-as are candidates.
+The index holds postings (document, position, term) of the terms that the test
+items use; it is stored in one pass over the texts. A phrase is found from its
+rarest terms: positions of its two terms with the fewest postings, less their
+offsets in the phrase, are intersected. Where they agree the phrase may begin;
+where they differ by ``slack`` at most, its words may stand near. What remains is
+compared with the words of those documents alone: word for word for an exact
+match; for a proximity match all words of the phrase stand, in any order, in its
+length and ``slack`` words on either side.
+
+Tables of test terms, anchors, phrases and candidates are broadcast only if they
+are measured to have ``SMALL_BYTES`` at most; beyond that they are joined by a
+shuffle. A document's candidates are at most its words times the phrases that
+share its rare terms.
 
 A document is known by doc_id and a hash of its text. Defined results: null
 texts have no words; rows that repeat doc_id and text give alike rows; a null
-doc_id is kept as such; empty documents or an empty benchmark give no hits.
+doc_id is kept as such; an item without an id counts for hits, but is in no list
+of items; empty documents or an empty benchmark give no hits.
 """
 
 from __future__ import annotations
@@ -21,11 +26,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut
+from .common import cut, stored
 
-SMALL = 200_000
+SMALL_BYTES = 16 << 20
+SLACK = 5
 WINDOW = 13
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -33,11 +39,14 @@ def words(text: Column) -> Column:
     """Words after lower-casing A-Z."""
     text = F.coalesce(text, F.lit(""))
     low = F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
-    return F.regexp_extract_all(low, F.lit(WORD), F.lit(0))
+    # Splitting is several times as fast as extracting; a separator at either end leaves an empty part.
+    return F.filter(F.split(low, SEPARATOR), lambda w: w != "")
 
 
-def broadcast_if_small(df: DataFrame, most: int = SMALL) -> DataFrame:
-    return F.broadcast(df) if df.count() <= most else df
+def broadcast_if_small(df: DataFrame, most: int = SMALL_BYTES) -> DataFrame:
+    """``df`` marked for broadcast if its rows, as JSON, have ``most`` bytes at most."""
+    size = df.agg(F.sum(F.octet_length(F.to_json(F.struct(*df.columns))))).first()[0] or 0
+    return F.broadcast(df) if size <= most else df
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -47,8 +56,14 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """(k, h, pos, term) of the ``terms`` in ``docs``, as :func:`keyed` gives them."""
-    return docs.select("k", "h", F.posexplode(words(F.col("text"))).alias("pos", "term")).join(broadcast_if_small(terms), "term")
+    """(doc_id, k, h, pos, term) of the ``terms`` in ``docs``, as :func:`keyed` gives them.
+
+    Each row of ``docs`` also has a posting without a term whose position is its number of words.
+    """
+    ended = F.concat(words(F.col("text")), F.array(F.lit(None).cast("string")))
+    all_ = docs.select("doc_id", "k", "h", F.posexplode(ended).alias("pos", "term"))
+    known = broadcast_if_small(terms.select("term", F.lit(True).alias("__known")))
+    return all_.join(known, "term", "left").filter("__known OR term IS NULL").select("doc_id", "k", "h", "pos", "term")
 
 
 def windows(items: DataFrame, size: int = WINDOW) -> DataFrame:
@@ -67,23 +82,35 @@ def anchors(phrases: DataFrame, counts: DataFrame, many: int = 2) -> DataFrame:
     return places.filter((F.col("least") > 0) & (F.col("rank") <= many)).select("wid", "n", "off", "term", F.least("n", F.lit(many)).alias("need"))
 
 
-def phrase_hits(docs: DataFrame, phrases: DataFrame) -> DataFrame:
-    """Rows of ``docs`` (doc_id, k, h) with n_words and ``hits``: an array of (start, n, wid) of the phrases (wid, terms) there."""
+def phrase_hits(docs: DataFrame, phrases: DataFrame, slack: int = SLACK) -> DataFrame:
+    """Rows of ``docs`` (doc_id, k, h) with n_words, ``hits`` and ``near``: arrays of (start, n, wid) of the phrases (wid, terms) there.
+
+    ``near`` gives each phrase once, also the exact ones, with the first start of
+    its rarest terms, less their offset, around which all its words stand.
+    """
     phrases = cut(phrases.select("wid", "terms").distinct())
-    terms = cut(phrases.select(F.explode("terms").alias("term")).distinct())
-    counts = cut(postings(docs, terms).groupBy("term").count())
-    anchored = cut(anchors(phrases, counts))
-    index = cut(postings(docs, anchored.select("term").distinct()))
-    starts = index.join(broadcast_if_small(anchored), "term").select("k", "h", (F.col("pos") - F.col("off")).alias("start"), "n", "wid", "need").filter("start >= 0")
-    both = starts.groupBy("k", "h", "start", "n", "wid", "need").count().filter("count >= need")
-    # A document's candidates are at most its words times the phrases that share its rare terms.
-    candidates = cut(both.groupBy("k", "h").agg(F.collect_list(F.struct("start", "n", "wid")).alias("found")))
-    total = candidates.agg(F.coalesce(F.sum(F.size("found")), F.lit(0))).first()[0]
-    joined = docs.join(F.broadcast(candidates) if total <= SMALL else candidates, ["k", "h"], "left")
-    same = lambda w: F.filter(F.coalesce("found", F.array()), lambda c: F.md5(F.array_join(F.slice(w, c["start"] + 1, c["n"]), " ")) == c["wid"])
+    index = stored(postings(docs, phrases.select(F.explode("terms").alias("term")).distinct()), "postings")
+    anchored = cut(anchors(phrases, index.filter("term IS NOT NULL").groupBy("term").count()))
+    starts = index.join(broadcast_if_small(anchored), "term").select("k", "h", (F.col("pos") - F.col("off")).alias("start"), "off", "n", "wid", "need")
+    by = Window.partitionBy("k", "h", "wid").orderBy("start", "off")
+    close = lambda f: (f("off", 1).over(by) != F.col("off")) & (F.abs(f("start", 1).over(by) - F.col("start")) <= slack)
+    meets = (F.col("need") == 1) | F.coalesce(close(F.lag), F.lit(False)) | F.coalesce(close(F.lead), F.lit(False))
+    some = cut(starts.withColumn("meets", meets).filter("meets").select("k", "h", "start", "wid").distinct())
+    found = some.join(broadcast_if_small(phrases), "wid").groupBy("k", "h").agg(F.collect_list(F.struct("start", "wid", "terms")).alias("found"))
+    hit = lambda c: F.struct(c["start"].alias("start"), F.size(c["terms"]).alias("n"), c["wid"].alias("wid"))
+    at = lambda w, c: (c["start"] >= 0) & (F.slice(w, F.greatest(c["start"], F.lit(0)) + 1, F.size(c["terms"])) == c["terms"])
+    around = lambda w, c: F.slice(w, F.greatest(c["start"] - slack, F.lit(0)) + 1, F.size(c["terms"]) + slack + F.least(c["start"], F.lit(slack)))
+    by_words = lambda w: F.struct(
+        F.transform(F.filter("found", lambda c: at(w, c)), hit).alias("hits"),
+        F.transform(F.filter("found", lambda c: F.size(F.array_except(c["terms"], around(w, c))) == 0), hit).alias("near"),
+    )
     # One-element arrays bind a value that is used more than once, so it is computed once.
-    result = F.transform(F.array(words(F.col("text"))), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), same(w).alias("hits")))[0]
-    return joined.select("doc_id", "k", "h", F.explode(F.array(result)).alias("r")).select("doc_id", "k", "h", "r.n_words", "r.hits")
+    result = F.transform(F.array(words(F.col("text"))), by_words)[0]
+    checked = docs.join(broadcast_if_small(cut(found)), ["k", "h"]).select("k", "h", F.explode(F.array(result)).alias("r")).select("k", "h", "r.hits", "r.near")
+    checked = cut(checked.filter((F.size("hits") > 0) | (F.size("near") > 0)).dropDuplicates(["k", "h"]))
+    none = F.array().cast("array<struct<start:int,n:int,wid:string>>")
+    rows = index.filter("term IS NULL").select("doc_id", "k", "h", F.col("pos").cast("long").alias("n_words"))
+    return rows.join(broadcast_if_small(checked), ["k", "h"], "left").withColumns({c: F.coalesce(c, none) for c in ("hits", "near")})
 
 
 def covered(hits: Column) -> Column:
@@ -94,21 +121,30 @@ def covered(hits: Column) -> Column:
     return F.aggregate(spans, start, add, lambda a: a["sum"])
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, share: int = 20) -> DataFrame:
-    """One row an input row: doc_id, k, h, n_words, n_hit, n_items, items_sha256, contaminated."""
+def _set_of(hits: Column) -> Column:
+    return F.array_sort(F.array_distinct(F.transform(hits, lambda c: c["wid"])))
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, share: int = 20, slack: int = SLACK) -> DataFrame:
+    """One row an input row: doc_id, k, h, n_words, n_hit, n_items, items_sha256, contaminated, n_near.
+
+    ``n_near`` counts the items with a window whose words stand near one another.
+    """
     source = keyed(docs)
     found = cut(windows(benchmark, size))
-    hits = cut(phrase_hits(source, found))
-    # A common passage stands in many documents: its windows are first joined to items per distinct set of windows.
-    wids = hits.filter(F.size("hits") > 0).select(F.array_sort(F.array_distinct(F.transform("hits", lambda c: c["wid"]))).alias("wids"))
-    sets = wids.select("wids", F.md5(F.array_join("wids", ",")).alias("set")).dropDuplicates(["set"])
+    keyed_sets = {f"{c}_set": F.when(F.size(c) > 0, F.md5(F.array_join(_set_of(F.col(c)), ","))) for c in ("hits", "near")}
+    hits = cut(phrase_hits(source, found, slack).withColumns(keyed_sets))
+    # A common passage stands in many documents: windows are joined to items once for each distinct set of windows.
+    sets = hits.filter("near_set IS NOT NULL OR hits_set IS NOT NULL").select(F.inline(F.array(*[F.struct(F.col(f"{c}_set").alias("set"), _set_of(F.col(c)).alias("wids")) for c in ("hits", "near")])))
+    sets = sets.filter("set IS NOT NULL").dropDuplicates(["set"])
     items = sets.select("set", F.explode("wids").alias("wid")).join(found.select("wid", F.col("item_id").cast("string").alias("item")).distinct(), "wid")
     items = cut(items.groupBy("set").agg(F.array_sort(F.collect_set("item")).alias("items")))
-    key = F.when(F.size("hits") > 0, F.md5(F.array_join(F.array_sort(F.array_distinct(F.transform("hits", lambda c: c["wid"]))), ",")))
-    rows = hits.select("doc_id", "k", "h", "n_words", covered(F.col("hits")).alias("n_hit"), key.alias("set")).join(items, "set", "left").withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
+    rows = hits.select("doc_id", "k", "h", "n_words", covered(F.col("hits")).alias("n_hit"), "hits_set", "near_set")
+    rows = rows.join(items.withColumnRenamed("set", "hits_set"), "hits_set", "left").withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
+    rows = rows.join(items.select(F.col("set").alias("near_set"), F.size("items").cast("long").alias("near_items")), "near_set", "left")
     return rows.select(
         "doc_id", "k", "h", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
-        ((F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
+        ((F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"), F.coalesce("near_items", F.lit(0)).alias("n_near"),
     )
 
 
@@ -119,7 +155,7 @@ def proximity(docs: DataFrame, phrases: DataFrame, slack: int = 5) -> DataFrame:
     """
     source = keyed(docs)
     wanted = phrases.select("wid", F.explode(F.array_distinct("terms")).alias("term"), F.size(F.array_distinct("terms")).alias("need"), F.size("terms").alias("n")).distinct()
-    index = postings(source.dropDuplicates(["k", "h"]), wanted.select("term").distinct())
+    index = postings(source.dropDuplicates(["k", "h"]), wanted.select("term").distinct()).filter("term IS NOT NULL").drop("doc_id")
     lists = index.join(wanted, "term")
     complete = lists.groupBy("k", "h", "wid").agg(F.count_distinct("term").alias("have"), F.first("need").alias("need")).filter("have = need").select("k", "h", "wid")
     lists = lists.join(complete, ["k", "h", "wid"], "left_semi")

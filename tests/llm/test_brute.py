@@ -1,0 +1,128 @@
+"""Queries over whole tables at the smallest scale, against brute force in plain Python."""
+
+import hashlib
+import re
+from collections import Counter, defaultdict
+
+import pytest
+
+from shopsift.llm import decontam, near_dedup, queries
+
+SF = "/root/testdata/sf0.001"
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def lower(text):
+    return (text or "").translate({c: c + 32 for c in range(65, 91)})
+
+
+@pytest.fixture(scope="module")
+def documents(spark):
+    return {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+
+
+def rows(spark, name):
+    return {r[0]: r for r in queries.QUERIES[name](spark, SF).collect()}
+
+
+def groups(sets, similarity):
+    """The component of each document by comparing all pairs that share an item; also the number of links."""
+    root, links = {i: i for i in sets}, 0
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    having = defaultdict(list)
+    for i, items in sorted(sets.items()):
+        common = Counter(j for s in items for j in having[s])
+        for j, n in common.items():
+            if 100 * n >= similarity * (len(items) + len(sets[j]) - n):
+                links += 1
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+        for s in items:
+            having[s].append(i)
+    return {i: find(i) for i in sets}, links
+
+
+def shingle_sets(texts, size):
+    out = {}
+    for i, t in texts.items():
+        w = (t or "").encode().lower().split()
+        out[i] = {tuple(w[k : k + size]) for k in range(max(1, len(w) - size + 1))} if w else set()
+    return out
+
+
+def test_near_duplicates(spark, documents):
+    sets = shingle_sets(documents, 2)
+    want, _ = groups(sets, 80)
+    for i, r in rows(spark, "op8_near_dedup").items():
+        assert (r.n_shingles, r.component_id, r.kept) == (len(sets[i]), want[i], want[i] == i)
+
+
+@pytest.mark.parametrize("size", [2, 5])
+def test_near_duplicates_recall(spark, size):
+    """Every component of an all-pairs run over 1,000 documents, hence a recall of 1."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    want, links = groups(shingle_sets({r.doc_id: r.text for r in docs.collect()}, size), 80)
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs, size).collect()}
+    assert links > 50 and got == want
+
+
+def test_near_duplicates_around_the_threshold(spark):
+    """Families of copies with so many changed words that pairs fall on either side of the threshold, in large buckets."""
+    import random
+
+    random.seed(4)
+    texts = {}
+    for family in range(3):
+        base = [f"f{family}w{i}" for i in range(60)]
+        for n in range(60):
+            words = list(base)
+            for at in random.sample(range(60), random.randrange(0, 10)):
+                words[at] = random.choice([f"f{family}x{at}", f"u{family}{n}{at}"])
+            texts[family * 100 + n] = " ".join(words)
+    want, links = groups(shingle_sets(texts, 2), 80)
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), 2).collect()}
+    assert links > 300 and 3 < len(set(want.values())) < 180 and got == want
+
+
+
+
+def test_decontamination(spark, documents):
+    windows = defaultdict(set)
+    for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect():
+        w = WORD.findall(lower(r.text))
+        for k in range(max(1, len(w) - 12)) if w else ():
+            windows[tuple(w[k : k + 13])].add(str(r.item_id))
+    got, firsts = rows(spark, "op7_decontamination"), {w[0] for w in windows}
+    sizes = {len(w) for w in windows}
+    near = 0
+    for i, text in documents.items():
+        w = WORD.findall(lower(text))
+        found = [(k, t) for k, word in enumerate(w) if word in firsts for n in sizes if len(t := tuple(w[k : k + n])) == n and t in windows]
+        hit = {p for k, t in found for p in range(k, k + len(t))}
+        items = sorted({x for _, t in found for x in windows[t]})
+        r = got[i]
+        assert (r.n_words, r.n_hit, r.n_items, r.items_sha256) == (len(w), len(hit), len(items), hashlib.sha256(",".join(items).encode()).hexdigest())
+        assert r.contaminated == (len(hit) > 0 and 20 * len(hit) >= len(w)) and r.n_near >= r.n_items
+        near += r.n_near
+    assert near >= sum(r.n_items for r in got.values()) > 0
+
+
+def test_proximity_of_a_shuffled_passage(spark):
+    passage = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu"
+    words = passage.split()
+    texts = [(1, passage), (2, " ".join(words[1::2] + words[::2])), (3, " ".join([*words[:6], "and", "so", *words[6:]])), (4, " ".join(words[:6] + ["far"] * 30 + words[6:])), (5, "alpha nu")]
+    docs, bench = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame([("a", passage)], "item_id string, text string")
+    got = {r.doc_id: (r.n_items, r.n_near) for r in decontam.contamination(docs, bench, slack=13).collect()}
+    assert got == {1: (1, 1), 2: (0, 1), 3: (0, 1), 4: (0, 0), 5: (0, 0)}
+
+
+def test_missing_item_id(spark):
+    docs = spark.createDataFrame([(1, "one two three")], "doc_id long, text string")
+    r = decontam.contamination(docs, spark.createDataFrame([(None, "two")], "item_id string, text string")).first()
+    assert (r.n_hit, r.n_items, r.contaminated) == (1, 0, True)
