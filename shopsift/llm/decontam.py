@@ -1,9 +1,9 @@
 """Benchmark passages in documents by a positional inverted index, in DataFrame functions only.
 
-The index holds postings (document, position, term) of the terms that the test
-items use; it is stored in one pass over the texts. A phrase is found from its
-rarest terms: positions of its two terms with the fewest postings, less their
-offsets in the phrase, are intersected. Where they agree the phrase may begin;
+Postings (document, position, term) of the terms that the test items use are
+counted; the index that is stored holds the lists of each phrase's two rarest
+terms, and each document's number of words. A phrase is found from those lists:
+positions, less the terms' offsets in the phrase, are intersected. Where they agree the phrase may begin;
 where they differ by ``slack`` at most, its words may stand near. What remains is
 compared with the words of those documents alone: word for word for an exact
 match; for a proximity match all words of the phrase stand, in any order, in its
@@ -89,8 +89,10 @@ def phrase_hits(docs: DataFrame, phrases: DataFrame, slack: int = SLACK) -> Data
     its rarest terms, less their offset, around which all its words stand.
     """
     phrases = cut(phrases.select("wid", "terms").distinct())
-    index = stored(postings(docs, phrases.select(F.explode("terms").alias("term")).distinct()), "postings")
-    anchored = cut(anchors(phrases, index.filter("term IS NOT NULL").groupBy("term").count()))
+    terms = cut(phrases.select(F.explode("terms").alias("term")).distinct())
+    counts = cut(postings(docs, terms).filter("term IS NOT NULL").groupBy("term").count())
+    anchored = cut(anchors(phrases, counts))
+    index = stored(postings(docs, anchored.select("term").distinct()), "postings")
     starts = index.join(broadcast_if_small(anchored), "term").select("k", "h", (F.col("pos") - F.col("off")).alias("start"), "off", "n", "wid", "need")
     by = Window.partitionBy("k", "h", "wid").orderBy("start", "off")
     close = lambda f: (f("off", 1).over(by) != F.col("off")) & (F.abs(f("start", 1).over(by) - F.col("start")) <= slack)
@@ -106,7 +108,9 @@ def phrase_hits(docs: DataFrame, phrases: DataFrame, slack: int = SLACK) -> Data
     )
     # One-element arrays bind a value that is used more than once, so it is computed once.
     result = F.transform(F.array(words(F.col("text"))), by_words)[0]
-    checked = docs.join(broadcast_if_small(cut(found)), ["k", "h"]).select("k", "h", F.explode(F.array(result)).alias("r")).select("k", "h", "r.hits", "r.near")
+    # Only the texts of documents with candidates go on.
+    texts = docs.join(broadcast_if_small(some.select("k", "h").distinct()), ["k", "h"], "left_semi")
+    checked = texts.join(found, ["k", "h"]).select("k", "h", F.explode(F.array(result)).alias("r")).select("k", "h", "r.hits", "r.near")
     checked = cut(checked.filter((F.size("hits") > 0) | (F.size("near") > 0)).dropDuplicates(["k", "h"]))
     none = F.array().cast("array<struct<start:int,n:int,wid:string>>")
     rows = index.filter("term IS NULL").select("doc_id", "k", "h", F.col("pos").cast("long").alias("n_words"))
