@@ -5,12 +5,14 @@ public SPDX templates: ``<<beginOptional>> ... <<endOptional>>`` may be absent,
 and ``<<var;max=N>>`` stands for up to N words of any wording. Each is compiled
 to a nondeterministic automaton over words. A place in a text is accepted when
 the automaton runs through, that is when all mandatory words stand there
-exactly. A template's anchor, its longest run of mandatory words, is sought
+exactly. Notices, which name a license, and whole license texts have labels of
+their own, so a license text whose conditions are altered is not accepted as that
+license. A template's anchor, its longest run of mandatory words, is sought
 first as a plain byte string, so automata run only near an anchor.
 
 Words: A-Z lower-cased, then maximal runs of a-z, 0-9 and anything beyond ASCII.
 
-Defined results: a null text is empty; a text without words has n_words 0, no
+Defined results: a null doc_id is kept as such; a null text is empty; a text without words has n_words 0, no
 places, empty labels and score 0; repeated rows give repeated results.
 """
 
@@ -26,19 +28,49 @@ from .common import per_batch, texts_of
 #: Base phrases and their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
-TEMPLATES = {
+#: Notices, which refer to a license, and whole license texts, all in template markup.
+NOTICES = {
     "apache-2.0": "licensed under the apache license <<beginOptional>> version <<endOptional>> 2 0 <<beginOptional>> the license you may not use this file except in compliance with the license <<endOptional>>",
     "mit": "<<beginOptional>> this <<var;max=4>> is <<endOptional>> <<beginOptional>> released <<endOptional>> <<beginOptional>> licensed <<endOptional>> under the <<beginOptional>> terms of the <<endOptional>> mit license",
-    "mit-text": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files <<beginOptional>> the software <<endOptional>> to deal in the software without restriction",
     "gpl-3.0": "<<beginOptional>> this <<var;max=4>> is <<endOptional>> licensed under the <<beginOptional>> terms of the <<endOptional>> gnu general public license <<beginOptional>> as published by the free software foundation <<endOptional>> <<beginOptional>> either <<endOptional>> version 3 <<beginOptional>> of the license <<endOptional>> <<beginOptional>> or <<beginOptional>> at your option <<endOptional>> any later version <<endOptional>>",
     "cc-by-nc-4.0": "licensed under <<beginOptional>> a <<endOptional>> <<beginOptional>> creative commons <<endOptional>> cc by nc 4 0 <<beginOptional>> international <<endOptional>>",
     "cc-by-4.0": "licensed under <<beginOptional>> a <<endOptional>> <<beginOptional>> creative commons <<endOptional>> cc by 4 0 <<beginOptional>> international <<endOptional>>",
-    "bsd": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
     "all-rights-reserved": "<<beginOptional>> copyright <<var;max=10>> <<endOptional>> all rights reserved",
 }
+_DISCLAIMER = """THIS SOFTWARE IS PROVIDED BY <<var;max=12>> AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.
+IN NO EVENT SHALL <<var;max=12>> BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION)
+HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+_HOLDER = "<<beginOptional>> copyright <<var;max=20>> <<beginOptional>> all rights reserved <<endOptional>> <<endOptional>>"
+_CONDITIONS = f"""{_HOLDER} Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+<<beginOptional>> 1 <<endOptional>> Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+<<beginOptional>> 2 <<endOptional>> Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."""
+TEXTS = {
+    "mit-license": f"""<<beginOptional>> <<beginOptional>> the <<endOptional>> mit license <<endOptional>> {_HOLDER}
+Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+The above copyright notice and this permission notice <<beginOptional>> (including the next paragraph) <<endOptional>> shall be included in all copies or substantial portions of the Software.
+THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.
+IN NO EVENT SHALL <<var;max=12>> BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+    "bsd-2-clause": f"{_CONDITIONS} {_DISCLAIMER}",
+    "bsd-3-clause": f"{_CONDITIONS} <<beginOptional>> 3 <<endOptional>> Neither the name of <<var;max=12>> nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. {_DISCLAIMER}",
+    "isc-license": f"""<<beginOptional>> isc license <<endOptional>> {_HOLDER} Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
+THE SOFTWARE IS PROVIDED AS IS AND <<var;max=6>> DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.
+IN NO EVENT SHALL <<var;max=6>> BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
+    "zlib-license": f"""<<beginOptional>> zlib license <<endOptional>> {_HOLDER} This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.
+Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:
+<<beginOptional>> 1 <<endOptional>> The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.
+<<beginOptional>> 2 <<endOptional>> Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
+<<beginOptional>> 3 <<endOptional>> This notice may not be removed or altered from any source distribution.""",
+    "apache-2.0-header": """<<beginOptional>> copyright <<var;max=20>> <<endOptional>> Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+<<var;max=8>> Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and limitations under the License.""",
+    "gpl-header": """This <<var;max=8>> is free software <<beginOptional>> you can redistribute it and/or modify it <<endOptional>> under the terms of the GNU General Public License as published by the Free Software Foundation <<beginOptional>> either <<endOptional>> version <<var;max=1>> of the License
+<<beginOptional>> or (at your option) any later version <<endOptional>>. This <<var;max=8>> is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.""",
+}
+TEMPLATES = NOTICES | TEXTS
 
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-MARK = re.compile(r"<<([^>]*)>>|([^\s<]+)")
+MARK = re.compile(r"<<([^>]*)>>|((?:(?!<<).)+)", re.S)
 
 
 class Automaton:
@@ -57,14 +89,15 @@ class Automaton:
             return len(self.edges) - 1
 
         now = 0
-        for mark, word in MARK.findall(markup):
-            if word:
+        for mark, wording in MARK.findall(markup):
+            for word in wording.encode().translate(FOLD).split():
                 new = state()
-                self.edges[now].append((word.encode(), new))
+                self.edges[now].append((word, new))
                 now = new
                 if not open_at:
-                    run.append(word.encode())
+                    run.append(word)
                 before += 1
+            if not mark:
                 continue
             if run:
                 runs.append((before - len(run), len(run), run))
@@ -122,15 +155,23 @@ class Automaton:
 
     def places(self, words: list[bytes], joined: bytes):
         """Accepted places, leftmost start and then longest, not overlapping."""
-        at, done = joined.find(self.anchor), 0
-        while at >= 0:
-            word = joined.count(b" ", 0, at)  # index of the anchor's first word
+        done = 0
+        for word in word_places(joined, self.anchor):
             for start in range(max(done, word - self.before), word + 1):
                 if (end := self.accept(words, start)) > word:
                     yield start, end
                     done = end
                     break
-            at = joined.find(self.anchor, at + 1)
+
+
+def word_places(joined: bytes, sought: bytes):
+    """The indexes of the words at which ``sought`` begins, in a time that follows the text's length."""
+    at, last, word = joined.find(sought), 0, 0
+    while at >= 0:
+        word += joined.count(b" ", last, at)
+        yield word
+        last = at
+        at = joined.find(sought, at + 1)
 
 
 def scan(text: str, automata: dict[str, Automaton]) -> tuple:
@@ -142,13 +183,10 @@ def scan(text: str, automata: dict[str, Automaton]) -> tuple:
     covered: list[tuple[int, int]] = []
     for phrase, label in PHRASES.items():
         sought, n = b" " + phrase.encode() + b" ", phrase.count(" ") + 1
-        at = joined.find(sought)
-        while at >= 0:
-            i = joined.count(b" ", 0, at)
+        for i in word_places(joined, sought):
             starts.append(i)
             covered.append((i, i + n))
             base.add(label)
-            at = joined.find(sought, at + 1)
     for label, automaton in automata.items():
         for start, end in automaton.places(words, joined):
             places.append({"label": label, "start": start, "end": end})
