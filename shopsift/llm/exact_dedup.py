@@ -15,8 +15,9 @@ before it shuffles, so a text that a third of all rows share costs one row a
 task. A shard holds about ``shard_keys`` digests whatever the corpus.
 
 Defined results: null counts as the empty text; of equal texts the row with
-most code points, then the smallest doc_id, stays; rows that repeat a doc_id
-are all returned with that doc_id's fate; an empty table gives an empty result.
+most code points, then the smallest doc_id, stays, and null ids rank last; rows
+that repeat a doc_id, or have none, are all returned with that doc_id's fate; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -202,7 +203,7 @@ def exact_duplicates(docs: DataFrame, historical: Column | None = None, id_col:
     winners = look_up(rows.filter(~F.col("old")), index, shards)
     # A digest that many rows share is one key of this join; adaptive execution splits it.
     return rows.join(winners, "digest").select(
-        "doc_id", "keep_id", "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"), "historical"
+        "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"), "historical"
     )
 
 
@@ -212,8 +213,8 @@ def keep_distinct(docs: DataFrame) -> DataFrame:
     Of a group whose longest texts all lack an id, one of those stays.
     """
     found = cut(exact_duplicates(docs))
-    kept = found.filter("kept").select("doc_id").distinct()
-    repeated = found.filter("kept").groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    kept = found.filter("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+    repeated = found.filter("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id")
     stay = docs.join(kept, "doc_id", "left_semi")
     once = stay.join(repeated, "doc_id", "left_anti")
     ided = once.unionByName(stay.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(*docs.columns)

@@ -68,7 +68,31 @@ w AS (
 k AS (
   SELECT d.text_sha256, w.group_size, min(d.doc_id) AS keep_id
   FROM d JOIN w ON d.text_sha256 = w.text_sha256 AND d.points = w.most GROUP BY d.text_sha256, w.group_size)
-SELECT d.doc_id, k.keep_id, k.group_size, d.doc_id = k.keep_id AS kept, d.text_sha256
+SELECT d.doc_id, k.keep_id, k.group_size, d.doc_id IS NOT DISTINCT FROM k.keep_id AS kept, d.text_sha256
 FROM d JOIN k ON d.text_sha256 = k.text_sha256
+""",
+    "op2_warc": r"""
+WITH h AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(encode(coalesce(html, ''))) AS x FROM pages),
+f AS (SELECT x, min(page_id) AS first FROM h GROUP BY x),
+d AS (  -- five hexadecimal digits are four of base 32
+  SELECT h.*, first, list_transform(range(8), lambda g: CAST('0x' || substr(h.x, CAST(5 * g + 1 AS BIGINT), 5) AS BIGINT)) AS v FROM h JOIN f ON h.x = f.x)
+SELECT page_id, payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((v[i // 4 + 1] >> CAST(15 - 5 * (i % 4) AS BIGINT)) & 31) + 1, 1)), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM d
+""",
+    "op8_near_dedup": r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) < 2 THEN w ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS x FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+r(node, root) AS (SELECT doc_id, doc_id FROM d UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.node WHERE r.root < l.b),
+m AS (SELECT node, min(root) AS component_id FROM r GROUP BY node)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, component_id = d.doc_id AS kept
+FROM d JOIN m ON m.node = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
 """,
 }

@@ -18,9 +18,10 @@ smallest page_id is a response, others are revisits whose block keeps the HTTP
 header, with the payload's length, and refers to it.
 
 Defined results: a null html is an empty payload; a null url is
-``urn:x-unknown``; a null page_id sorts first and is written as ``none``; rows
-that repeat page_id and payload are alike responses; an empty table writes no
-archive and gives an empty result.
+``urn:x-unknown``; a null page_id ranks after all others and is written as
+``none``, so it is a response only where no page with its payload has an id; rows
+that repeat page_id and payload are alike; an empty table writes no archive and
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, new_folder
+from .common import bounded_batches, cut, new_folder
 
 DICTIONARY_MAGIC = 0x184D2A5D
 EMPTY_FRAME = "P*M\x18\x00\x00\x00\x00"  # skippable frame 0x184D2A50 of size 0
@@ -110,7 +111,10 @@ def read_frames(data: bytes) -> Iterator[bytes]:
     if len(raw) != size:
         raise ValueError("dictionary is cut off")
     if raw[:4] == struct.pack("<I", zstandard.MAGIC_NUMBER):
-        raw = zstandard.ZstdDecompressor().decompress(raw)  # a dictionary may be compressed itself
+        try:
+            raw = zstandard.ZstdDecompressor().decompress(raw)  # a dictionary may be compressed itself
+        except zstandard.ZstdError as e:
+            raise ValueError("the dictionary can't be decoded") from e
     full = raw[:4] == struct.pack("<I", FULL_DICTIONARY)
     dictionary = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_FULLDICT if full else zstandard.DICT_TYPE_RAWCONTENT)
     frames, at = zstandard.ZstdDecompressor(dict_data=dictionary), 8 + size
@@ -121,8 +125,12 @@ def read_frames(data: bytes) -> Iterator[bytes]:
         if magic >> 4 == 0x184D2A5:
             at += 8 + size
             continue
-        end = frame_end(data, at)
-        yield frames.decompress(data[at:end])
+        try:
+            end = frame_end(data, at)
+            record = frames.decompress(data[at:end])
+        except zstandard.ZstdError as e:
+            raise ValueError("a frame can't be decoded") from e
+        yield record
         at = end
 
 
@@ -172,11 +180,12 @@ def write_archives(pages: DataFrame, path: str, revisit_bytes: int = 0, archive_
     """Write a record per row of ``pages`` (page_id, url, html) to archives under ``path``."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.encode(F.coalesce(F.col("html"), F.lit("")), "utf-8").alias("payload"))
     rows = rows.withColumns({"digest": F.sha1("payload"), "size": F.octet_length("payload")})
+    bounded_batches(pages.sparkSession)
     # Groups are combined before they are shuffled, and only their digests are. The join splits a hot digest.
     firsts = cut(rows.filter(F.col("size") >= revisit_bytes).groupBy("digest", "size").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n"))
     with_first = rows.join(firsts, ["digest", "size"], "left")
     # A revisit's payload is needed for its length and digest only, which the record takes from the row.
-    records = with_first.select("page_id", "url", "payload", F.when(F.col("first") != F.col("page_id"), F.col("first")).alias("first"))
+    records = with_first.select("page_id", "url", "payload", F.when(~F.col("first").eqNullSafe(F.col("page_id")), F.col("first")).alias("first"))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         records, size = [], 0

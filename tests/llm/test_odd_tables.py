@@ -2,7 +2,7 @@
 
 import pytest
 
-from shopsift.llm import exact_dedup, queries
+from shopsift.llm import decontam, exact_dedup, language, near_dedup, queries, warc
 
 PASSAGE = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho"
 NAMES = """
@@ -47,3 +47,32 @@ def test_null_ids_rank_last(spark, old):
     assert sorted((str(r.keep_id), r.group_size) for r in got) == [("3", 1), ("8", 2), ("9", 3), ("None", 2), ("None", 3)]
     stay = [tuple(r) for r in exact_dedup.keep_distinct(docs).collect()]
     assert sorted(stay, key=str) == sorted([(9, "a  b"), (3, "c"), (None, "d  e"), (None, "f"), (8, "g h")], key=str)
+
+
+def test_null_page_id_revisits(spark):
+    pages = spark.createDataFrame([(None, "u", "same"), (5, "u", "same"), (3, "u", "same"), (None, "u", "alone")], "page_id long, url string, html string")
+    got = sorted((str(r.page_id), r.record_type, r.refers_to) for r in warc.archive_round_trip(pages).collect())
+    assert got == sorted([("None", "revisit", 3), ("5", "revisit", 3), ("3", "response", None), ("None", "response", None)])
+
+
+def test_pipeline_stages_keep_rows_without_an_id(spark):
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [(None, long), (None, long), (2, long + " more"), (None, "another text"), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(str, (r.text and r.text[-4:] for r in near_dedup.keep_one(docs).collect()))) == ["None", "more", "text"]
+    bench = spark.createDataFrame([("a", "another text")], "item_id string, text string")
+    assert decontam.keep_clean(docs, bench).count() == 4
+
+
+def test_language_stage(spark):
+    """Without languages every text with a letter stays; with them texts in none of them go."""
+    import base64
+    import random
+
+    random.seed(1)
+    docs = spark.createDataFrame([(1, "hello", None), (2, "", None), (3, None, None), (4, "12 34", None)], "doc_id long, text string, lang string")
+    assert [r.doc_id for r in language.keep_identified(docs).collect()] == [1]
+    noise = [(10**9 + i, base64.b64encode(random.randbytes(300)).decode(), None) for i in range(4)]
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    kept = [r.doc_id for r in language.keep_identified(table.unionByName(spark.createDataFrame(noise, table.schema))).select("doc_id").collect()]
+    assert len(kept) == table.filter("text rlike '[a-zA-Z]'").count() and max(kept) < 10**9

@@ -73,3 +73,14 @@ def test_sql(spark):
 
     for name, sql in queries.SQL.items():
         same(spark, SF, queries.QUERIES[name], sql)
+
+
+def test_sql_on_null_ids(spark, tmp_path):
+    """op4 where rows without an id share a group: SQL and query leave the id null only where no other row is as long."""
+    rows = [(None, "a b"), (7, "a b"), (9, "a  b"), (3, "c"), (None, "d e"), (4, "d e"), (None, None), (6, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.QUERIES["op4_exact_dedup"](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.sql(queries.SQL["op4_exact_dedup"])
+    assert sorted((tuple(r) for r in got.select(*want.columns).collect()), key=str) == sorted(want.fetchall(), key=str)
