@@ -2,17 +2,19 @@
 
 A text, A-Z lower-cased, alternates words and gaps of ASCII white space. The
 next kind (word, gap or end) has a probability of its own; words and gaps are
-coded byte by byte and each byte bit by bit. Four predictors give each bit's
-odds from counts: three by hashes of the last one, two and three bytes, learned
-from word types, and one by the whole prefix of the word, learned from tokens.
-The first four bytes' prefixes are hashed into a table of bounded size; longer
-prefixes are counted exactly where all words with the same prefix meet: the
-first four bytes or, where too many words share those, as many more as make
-groups of bounded size. So this part grows with the corpus. A mixer adds the logits with weights
-that a gate picks by the prefix's count, and an adaptive map refines the sum.
-Weights and maps learn online, by gradient steps over training words whose own
-occurrence is left out of their prefix counts; then they are held fixed, so a
-score depends on nothing but the training texts and the text.
+coded byte by byte and each byte bit by bit. A word's first byte is predicted by
+two contexts, a hash of the word before it and none, and each further byte by
+four: hashes of the last one, two and three bytes, counted over word types, and
+the whole prefix of the word, counted over tokens. The first four bytes' prefixes
+are hashed into a table of bounded size; longer prefixes are counted exactly
+where all words with the same prefix meet: the first four bytes or, where too
+many words share those, as many more as make groups of bounded size. So this part
+grows with the corpus. A mixer adds the logits with weights that a gate picks by
+the prefix's count, and an adaptive map refines the sum. All counts cover all
+training texts, and mixers learn from all training words: online, by gradient
+steps, a word's own occurrence left out of its prefix's counts. The head's mixers
+learn in tasks and are averaged by the words that each has seen. Then weights are
+held fixed, so a score depends on nothing but the training texts and the text.
 
 Jobs: count words and gaps (combined in tasks before the shuffle); collect the
 bounded tables; score each distinct word once by prefix buckets; add up texts.
@@ -51,7 +53,8 @@ FREQUENT = 100_000
 HEAD = 4  # bytes whose prefixes are hashed
 GATES = 24
 BINS = 33
-SAMPLE = 20_000
+LEARN_KEYS = 8_000  # keys of a step of the head's mixers
+CLASSES = 256  # of previous words
 PRIOR = np.float32(0.05)
 BUCKET_KEYS, BUCKET_TOKENS = 50_000, 400_000
 KEY_BYTES = 8  # of a group's keys beyond HEAD on average; a byte takes some 450 bytes of memory
@@ -59,7 +62,7 @@ STEP = 2  # bytes by which a prefix with too many keys is split
 BATCH_BYTES = 8_000_000
 MOST_KEYS = 600_000  # that a task counts before it passes them on
 
-CHUNK, LONG, MOVE = b" \x02", b" \x03", b" \x04"  # keys that are neither words nor gaps
+CHUNK, LONG, MOVE, PAIR = b" \x02", b" \x03", b" \x04", b" \x05"  # keys that are neither words nor gaps
 ODD_GAP = re.compile(rb"[\t-\r ]{2,}|[\t-\r]")
 FIRST_GAP, LAST_GAP = re.compile(rb"[\t-\r ]"), re.compile(rb"[\t-\r ]\Z")
 
@@ -113,7 +116,51 @@ def coded(key: bytes) -> tuple[int, bytes]:
 
 
 def is_coded(key: bytes) -> bool:
-    return bool(key) and not key.startswith(MOVE) and (len(key) <= LONGEST or key.startswith((LONG, CHUNK)))
+    return bool(key) and not key.startswith((MOVE, PAIR)) and (len(key) <= LONGEST or key.startswith((LONG, CHUNK)))
+
+
+# First bytes
+
+
+def first_bytes(words: list[bytes]) -> np.ndarray:
+    """For each word that one key holds: the class of the word before it, by a hash of that word's last two bytes and length, times 256 plus its first byte."""
+    n = np.fromiter(map(len, words), np.int64, len(words))
+    if not len(n):
+        return n
+    data, ends = np.frombuffer(b"".join(words), np.uint8).astype(np.int64), np.cumsum(n)
+    last = data[ends - 1] * 263 + data[np.maximum(ends - 2, ends - n)] * 71 + np.minimum(n, 4)
+    before = np.concatenate([[0], 1 + last[:-1] * 40503 % 65537 % (CLASSES - 1)])  # class 0: a text's first word
+    return (before * 256 + data[ends - n])[n <= LONGEST]
+
+
+def first_byte_scores(counts: np.ndarray) -> np.ndarray:
+    """log10 probabilities of each byte as a word's first one, for each class of the word before it: classes x 256.
+
+    ``counts``: classes x 256. Two predictors, the class's bytes and those of all
+    classes, are mixed bit by bit, by gates of the class's count.
+    """
+
+    def nodes(leaves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        logit, seen = np.zeros(leaves.shape, np.float32), np.zeros(leaves.shape, np.int64)
+        for depth in range(8):
+            parts = leaves.reshape(len(leaves), 1 << (depth + 1), -1).sum(2)
+            one, total = parts[:, 1::2], parts[:, 0::2] + parts[:, 1::2]
+            logit[:, 1 << depth : 2 << depth] = np.log((one + PRIOR) / (total - one + PRIOR))
+            seen[:, 1 << depth : 2 << depth] = log_count(total)
+        return logit, seen
+
+    own, seen = nodes(counts)
+    overall, _ = nodes(counts.sum(0, keepdims=True))
+    cls, byte = (a.reshape(-1) for a in np.mgrid[: len(counts), :256])
+    steps, node = [], np.ones(len(byte), np.int64)
+    for b in range(7, -1, -1):
+        x = np.zeros((len(byte), ORDERS + 1), np.float32)
+        x[:, 2], x[:, 3], x[:, 4] = overall[0, node], own[cls, node], 1
+        bit = (byte >> b) & 1
+        steps.append((x, seen[cls, node] * 2, bit, learning_weight(counts.reshape(-1))))
+        node = node * 2 + bit
+    mixer = Mixer().learn(steps)
+    return sum(mixer.cost(x, gate, bit) for x, gate, bit, _ in steps).reshape(len(counts), 256)
 
 
 # Counting
@@ -121,6 +168,7 @@ def is_coded(key: bytes) -> bool:
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = (Counter(), Counter())
+    firsts = np.zeros(CLASSES * 256, np.int64)
 
     def flush() -> Iterator[pa.RecordBatch]:
         for held, counter in enumerate(counts):
@@ -134,9 +182,13 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words, other = keys_of(text.as_py().encode().lower())
             counts[held].update(words)
             counts[held].update(other)
+            if not held:
+                np.add.at(firsts, first_bytes(words), 1)
             if len(counts[held]) > MOST_KEYS:
                 yield from flush()
     yield from flush()
+    pairs = np.flatnonzero(firsts)
+    yield pa.RecordBatch.from_arrays([pa.array([PAIR + int(i).to_bytes(2) for i in pairs], pa.binary()), pa.array(firsts[pairs]), pa.array(np.zeros(len(pairs), np.int64))], names=["key", "n_train", "n_all"])
 
 
 # The byte model
@@ -194,11 +246,6 @@ def matrix(keys: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return data, np.array([k for k, _ in pairs], np.uint8), lengths
 
 
-def even(keys: list[bytes]) -> np.ndarray:
-    """The types that low orders learn from; mixers learn from the others."""
-    return np.array([zlib.crc32(k) & 1 for k in keys]) == 0
-
-
 def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(ORDERS * SLOTS * 256, np.float32)
     for batch in batches:
@@ -207,12 +254,11 @@ def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         keys = [k for k, _ in pairs]
         data, kind, lengths = matrix(keys)
-        n, types = np.array([c for _, c in pairs], np.float32), even(keys)
+        n = np.array([c for _, c in pairs], np.float32)
         for j in range(data.shape[1]):
             on = np.flatnonzero(lengths > j)
             for order, s in enumerate(contexts(data[on], kind[on], j)):
-                weight = n[on] if order == 3 else types[on].astype(np.float32)
-                np.add.at(total, s * 256 + data[on, j], weight)
+                np.add.at(total, s * 256 + data[on, j], n[on] if order == 3 else np.float32(1))
     cells = np.flatnonzero(total)
     for lo in range(0, len(cells), 100_000):
         some = cells[lo : lo + 100_000]
@@ -254,6 +300,14 @@ class Mixer:
         one = np.clip(0.5 * (p + refined), 1e-6, 1 - 1e-6)
         return np.log10(np.where(bit, one, 1 - one))
 
+    def cells(self) -> np.ndarray:
+        return np.concatenate([self.w.reshape(-1), self.map.reshape(-1)])
+
+    def set_cells(self, cells: np.ndarray) -> Mixer:
+        self.w = cells[: self.w.size].reshape(self.w.shape).astype(np.float32)
+        self.map = cells[self.w.size :].reshape(self.map.shape).astype(np.float32)
+        return self
+
     def learn(self, steps: list[tuple], rounds: int = 4) -> Mixer:
         for r in range(rounds):
             for x, gate, bit, weight in steps:
@@ -308,10 +362,36 @@ def bits(data, kind, lengths, n, tables: Tables, from_byte: int, to_byte: int, l
             node = node * 2 + bit
 
 
-def train_head(keys: list[bytes], n: np.ndarray, tables: Tables) -> Mixer:
+def learning_weight(n: np.ndarray) -> np.ndarray:
+    """What a training key counts for in a mixer's steps: the bits of its count."""
+    return np.log2(1 + n)
+
+
+def train_head(keys: list[bytes], n: np.ndarray, tables: Tables, mixer: Mixer) -> None:
     data, kind, lengths = matrix(keys)
-    weight = np.minimum(n, 1000).astype(np.float64)
-    return Mixer().learn([(x, g, b, weight[on]) for on, x, g, b in bits(data, kind, lengths, n, tables, 0, HEAD, None)])
+    weight = learning_weight(n)
+    mixer.learn([(x, g, b, weight[on]) for on, x, g, b in bits(data, kind, lengths, n, tables, 0, HEAD, None)], 1)
+
+
+def head_parts(vocab: DataFrame, shared) -> DataFrame:
+    """(cell, total, mass): the head mixers that tasks learn from all training keys, cells weighted by the keys learned from."""
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mixer, mass = Mixer(), 0
+        tables = object.__new__(Tables)
+        tables.logit, tables.seen = shared.value
+        for batch in batches:
+            pairs = [(k, n) for k, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if n and is_coded(k)]
+            for lo in range(0, len(pairs), LEARN_KEYS):
+                some = pairs[lo : lo + LEARN_KEYS]
+                train_head([k for k, _ in some], np.array([n for _, n in some], np.float64), tables, mixer)
+                mass += len(some)
+        if mass:
+            cells = mixer.cells().astype(np.float64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(cells))), pa.array(cells * mass), pa.array(np.full(len(cells), mass, np.int64))], names=["cell", "total", "mass"])
+
+    parts = vocab.select("key", "n_train").mapInArrow(learn, "cell long, total double, mass long")
+    return parts.groupBy("cell").agg((F.sum("total") / F.sum("mass")).alias("value"))
 
 
 def tail_scores(data, kind, lengths, n, weight, begin, most: int, tables: Tables) -> np.ndarray:
@@ -342,11 +422,12 @@ def score_keys(keys: list[bytes], n: np.ndarray, tables: Tables, head: Mixer, be
     order = in_order(data, kind)
     data, kind, lengths, counts = data[order], kind[order], lengths[order], n[order].astype(np.float64)
     score = np.zeros(len(keys))
-    for on, x, gate, bit in bits(data, kind, lengths, counts, tables, 0, HEAD, None):
-        score[on] += head.cost(x, gate, bit)
-    train = (np.array([zlib.crc32(keys[i]) & 1 for i in order]) == 1) & (counts > 0)
+    # The first byte of a word depends on the word before it and is scored with the text.
+    inner = np.array([kind[r] != 0 or keys[i].startswith(LONG) for r, i in enumerate(order)], bool)
+    for number, (on, x, gate, bit) in enumerate(bits(data, kind, lengths, counts, tables, 0, HEAD, None)):
+        score[on] += head.cost(x, gate, bit) * (inner[on] if number < 8 else 1)
     begin = np.full(len(keys), HEAD) if begin is None else begin[order]
-    score += tail_scores(data, kind, lengths, counts, np.minimum(counts, 1000) * train, begin, data.shape[1], tables)
+    score += tail_scores(data, kind, lengths, counts, learning_weight(counts), begin, data.shape[1], tables)
     out = np.zeros(len(keys))
     out[order] = score
     return out
@@ -366,7 +447,7 @@ def path() -> Column:
     word, gap, piece = (F.lit(bytes([k])) for k in range(3))
     coded_ = F.when(mark == F.lit(LONG), F.concat(F.when(is_white(rest), gap).otherwise(word), rest))
     coded_ = coded_.when(mark == F.lit(CHUNK), F.concat(piece, rest, F.when(size == LONGEST + 2, F.lit(b"")).otherwise(F.lit(b" "))))
-    short = (size > 0) & (size <= LONGEST) & (mark != F.lit(MOVE))
+    short = (size > 0) & (size <= LONGEST) & (mark != F.lit(MOVE)) & (mark != F.lit(PAIR))
     return coded_.when(short & is_white(F.col("key")), F.concat(gap, "key", F.lit(b"\0"))).when(short, F.concat(word, "key", F.lit(b" ")))
 
 
@@ -415,7 +496,7 @@ def score_vocab(vocab: DataFrame, score_bucket, shared, n_keys: int, most_keys:
         by_prefix = paths.withColumn("bucket", F.crc32(F.coalesce(prefix(HEAD), "key")) % buckets).drop("path")
         return by_prefix.groupBy("bucket").applyInArrow(lambda key, table: score_bucket(table, None), schema)
 
-    weight = F.when((F.crc32("key") % 2 == 1) & (F.col("n_train") > 0), F.least("n_train", F.lit(1000))).otherwise(0)
+    weight = F.log2(F.col("n_train") + 1)
     levels = [
         under(paths, depth, some).groupBy(prefix(depth).alias("parent"), prefix(depth + STEP).alias("node")).agg(F.sum("n_train").alias("n"), F.sum(weight).alias("weight")).withColumn("depth", F.lit(depth))
         for depth, some in large.items()
@@ -426,7 +507,8 @@ def score_vocab(vocab: DataFrame, score_bucket, shared, n_keys: int, most_keys:
         tables = object.__new__(Tables)
         tables.logit, tables.seen = logit, seen
         nodes = table.column("node").to_pylist()
-        n, weights, begin = (np.array(table.column(c).to_pylist(), np.int64) for c in ("n", "weight", "depth"))
+        n, begin = (np.array(table.column(c).to_pylist(), np.int64) for c in ("n", "depth"))
+        weights = np.array(table.column("weight").to_pylist(), np.float64)
         lengths = np.array([len(p) - 1 for p in nodes], np.int64)
         wide = int(lengths.max())
         data = np.frombuffer(b"".join(p[1:].ljust(wide, b"\0") for p in nodes), np.uint8).reshape(-1, wide)
@@ -464,7 +546,7 @@ def score_vocab(vocab: DataFrame, score_bucket, shared, n_keys: int, most_keys:
 # Texts
 
 
-def _sum_texts(frequent, rare_buckets: int):
+def _sum_texts(frequent, rare_buckets: int, firsts: np.ndarray):
     index = {k: i for i, (k, *_) in enumerate(frequent)}
     values = np.array([[b, s, float(c > 0)] for _, c, b, s in frequent]).reshape(-1, 3)
 
@@ -475,7 +557,7 @@ def _sum_texts(frequent, rare_buckets: int):
             group = (np.cumsum(sizes) - sizes) // BATCH_BYTES
             for g in np.unique(group):
                 rows = np.flatnonzero(group == g)
-                yield _one_batch(whole.slice(int(rows[0]), len(rows)), next(number), index, values, rare_buckets)
+                yield _one_batch(whole.slice(int(rows[0]), len(rows)), next(number), index, values, rare_buckets, firsts)
 
     return run
 
@@ -484,7 +566,7 @@ NAMES = ["batch", "bucket", "doc_ids", "held", "many", "packed", "sums"]
 PARTIAL = "batch long, bucket long, doc_ids array<long>, held array<boolean>, many long, packed binary, sums binary"
 
 
-def _one_batch(batch: pa.RecordBatch, number: int, index: dict, values: np.ndarray, buckets: int) -> pa.RecordBatch:
+def _one_batch(batch: pa.RecordBatch, number: int, index: dict, values: np.ndarray, buckets: int, firsts: np.ndarray) -> pa.RecordBatch:
     """Row -1 with the texts' sums over frequent keys, and a row for each bucket of other keys."""
     n = batch.num_rows
     sums = np.zeros((n, 5))  # base, score, known, tokens, bytes
@@ -495,6 +577,7 @@ def _one_batch(batch: pa.RecordBatch, number: int, index: dict, values: np.ndarr
         at = np.fromiter(map(index.get, words, itertools.repeat(-1)), np.int64, len(words))
         known = values[at[at >= 0]]
         sums[doc, :3] = known.sum(0)
+        sums[doc, 1] += firsts[first_bytes(words)].sum()
         for key, n_key in other.items():
             i = index.get(key)
             if i is None:
@@ -568,10 +651,12 @@ def score_texts(docs: DataFrame) -> DataFrame:
     cells = vocab.mapInArrow(_cells, "cell long, n double").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()  # at most ORDERS * SLOTS * 256 rows
     moves = {r["key"]: r["n_train"] for r in vocab.filter(F.substring("key", 1, 2) == F.lit(MOVE)).collect()}  # at most 7
     tables = Tables(cells["cell"].to_numpy(np.int64), cells["n"].to_numpy(np.float32))
-    code = F.crc32("key")
-    learn = vocab.filter((code % 2 == 1) & (F.col("n_train") > 0)).select("key", "n_train", F.xxhash64("key").alias("h")).orderBy("h", "key").limit(SAMPLE).collect()
-    learn = [(bytes(r["key"]), r["n_train"]) for r in learn if is_coded(bytes(r["key"]))]
-    head = train_head([k for k, _ in learn], np.array([n for _, n in learn], float), tables) if learn else Mixer()
+    pairs = vocab.filter(F.substring("key", 1, 2) == F.lit(PAIR)).select("key", "n_train").collect()  # at most CLASSES * 256
+    first_counts = np.zeros(CLASSES * 256)
+    first_counts[[int.from_bytes(bytes(r["key"])[2:]) for r in pairs]] = [r["n_train"] for r in pairs]
+    firsts = first_byte_scores(first_counts.reshape(CLASSES, 256)).reshape(-1)
+    learned = head_parts(vocab, spark.sparkContext.broadcast((tables.logit, tables.seen))).toPandas().sort_values("cell")  # a row a cell
+    head = Mixer() if learned.empty else Mixer().set_cells(learned["value"].to_numpy())
     shared = spark.sparkContext.broadcast((tables.logit, tables.seen, head))
 
     def move_score(key: bytes) -> float:
@@ -604,7 +689,7 @@ def score_texts(docs: DataFrame) -> DataFrame:
     frequent = [(bytes(r["key"]), r["n_train"], r["base"], r["score"]) for r in scored.filter(common).collect()]  # at most FREQUENT rows
     rare_tokens = scored.filter(~common).agg(F.coalesce(F.sum("n_all"), F.lit(0))).first()[0]
     rare_buckets = max(8, -(-rare_tokens // BUCKET_TOKENS))
-    partial = stored(source.mapInArrow(_sum_texts(frequent, rare_buckets), PARTIAL))
+    partial = stored(source.mapInArrow(_sum_texts(frequent, rare_buckets, firsts), PARTIAL))
     rare = scored.filter(~common).withColumn("bucket", F.crc32("key") % rare_buckets)
     found = partial.filter("bucket >= 0").groupBy("bucket").cogroup(rare.groupBy("bucket")).applyInArrow(_look_up, "batch long, at binary, sums binary")
     total = partial.filter("bucket < 0").groupBy("batch").cogroup(found.groupBy("batch")).applyInArrow(_add_up, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, n_bytes long")

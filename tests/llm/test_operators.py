@@ -123,7 +123,21 @@ def test_language_model_is_normalised():
     keys = [bytes([a, b]) for a in range(97, 123) for b in range(97, 123)]
     tables = lm.Tables(np.zeros(0, np.int64), np.zeros(0))
     total = 10 ** lm.score_keys(keys, np.ones(len(keys)), tables, lm.Mixer())
-    assert 0 < total.sum() < 1.0001
+    assert 0 < total.reshape(26, 26).sum(1).max() < 1.0001  # of the bytes after the first
+    # Every continuation of two bytes and the end of the word: each bit's two probabilities sum to one.
+    whole = [b"a" + bytes([b]) + end for b in range(33, 127) for end in (b"", b"x")] + [b"a"]
+    assert (10 ** lm.score_keys(whole, np.ones(len(whole)), tables, lm.Mixer())).sum() < 1.0001
+    rng = np.random.default_rng(2)
+    first = 10 ** lm.first_byte_scores(rng.poisson(0.3, (lm.CLASSES, 256)).astype(float))
+    assert np.allclose(first.sum(1), 1)
+
+
+def test_language_model_reads_words_in_order(spark):
+    texts = [(i, " ".join(["red", "apples", "grow", "on", "trees"] * 20)) for i in range(10)] + [(100, " ".join(["trees", "on", "grow", "apples", "red"] * 20))]
+    held = [i for i in range(1000, 1100) if zlib.crc32(str(i).encode()) % 5 == 1][:2]
+    texts += [(held[0], "red apples grow on trees red apples grow on trees"), (held[1], "trees grow red on apples trees grow red on apples")]
+    got = {r.doc_id: r.score for r in lm.score_texts(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert got[held[0]] > got[held[1]]
 
 
 def test_language_model_splits_large_prefixes(spark, monkeypatch):
@@ -156,7 +170,12 @@ def test_language_model_splits_large_prefixes(spark, monkeypatch):
     whole, parts = run(100_000), run(60)
     assert whole.keys() == parts.keys() and {lm.path_of(k) for k in whole} == {bytes(r[0]) for r in spark.createDataFrame([(bytearray(k),) for k in whole], "key binary").select(lm.path()).collect()}
     urls = [k for k in whole if k.startswith(b"https")]
-    assert sum(10 ** parts[k] for k in parts if lm.coded(k)[0] == 0) < 1.0001
+    # A word's score is that of its bytes after the first.
+    after = Counter()
+    for k in parts:
+        if lm.coded(k)[0] == 0 and not k.startswith(lm.LONG):
+            after[k[:1]] += 10 ** parts[k]
+    assert max(after.values()) < 1.0001
     assert np.mean([abs(whole[k] - parts[k]) for k in urls]) < 0.15 and abs(np.mean([whole[k] - parts[k] for k in urls])) < 0.1
 
 
