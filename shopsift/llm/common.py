@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -69,6 +71,13 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
+def give_back() -> None:
+    """Return a worker's freed memory to the system, so that what follows in the process has it."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def per_batch(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str) -> DataFrame:
     """``mapInArrow`` with state: ``make`` runs once a task and gives the function for each batch."""
 
@@ -79,6 +88,8 @@ def per_batch(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.Re
         for batch in batches:
             if batch.num_rows:
                 yield step(batch)
+        del step
+        give_back()
 
     return df.mapInArrow(run, schema)
 

@@ -44,7 +44,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, texts_of
+from .common import give_back, stored, texts_of
 
 ORDERS = 4  # last byte, last two, last three, whole prefix
 SLOTS = 1 << 13
@@ -56,7 +56,7 @@ BINS = 33
 LEARN_KEYS = 8_000  # keys of a step of the head's mixers
 CLASSES = 256  # of previous words
 PRIOR = np.float32(0.05)
-BUCKET_KEYS, BUCKET_TOKENS = 50_000, 400_000
+BUCKET_KEYS, BUCKET_TOKENS = 30_000, 300_000
 KEY_BYTES = 8  # of a group's keys beyond HEAD on average; a byte takes some 450 bytes of memory
 STEP = 2  # bytes by which a prefix with too many keys is split
 BATCH_BYTES = 8_000_000
@@ -64,7 +64,9 @@ MOST_KEYS = 600_000  # that a task counts before it passes them on
 
 CHUNK, LONG, MOVE, PAIR = b" \x02", b" \x03", b" \x04", b" \x05"  # keys that are neither words nor gaps
 ODD_GAP = re.compile(rb"[\t-\r ]{2,}|[\t-\r]")
-FIRST_GAP, LAST_GAP = re.compile(rb"[\t-\r ]"), re.compile(rb"[\t-\r ]\Z")
+WHITE = b" \t\n\x0b\x0c\r"
+WHITES = [WHITE[i : i + 1] for i in range(len(WHITE))]
+IS_WHITE = np.isin(np.arange(256), list(WHITE)).astype(np.int8)
 
 
 def parts(key: bytes) -> list[bytes]:
@@ -72,12 +74,23 @@ def parts(key: bytes) -> list[bytes]:
     return [LONG + key[: LONGEST + 1]] + [CHUNK + key[i : i + LONGEST] for i in range(LONGEST + 1, len(key) + 1, LONGEST)]
 
 
-def keys_of(data: bytes) -> tuple[list[bytes], Counter]:
-    """The words of a lower-cased text, and counts of all its other keys; the empty key is the end."""
+def spans(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word of a text starts and ends."""
+    edges = np.flatnonzero(np.diff(IS_WHITE[np.frombuffer(data, np.uint8)], prepend=np.int8(1), append=np.int8(1)))
+    return edges[::2], edges[1::2]
+
+
+def keys_of(data: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[list[bytes], Counter]:
+    """The words of a lower-cased text, whose :func:`spans` are given, and counts of all its other keys; the empty key is the end."""
     words = data.split()
-    other = Counter(ODD_GAP.findall(data))
-    lead, trail = bool(FIRST_GAP.match(data)), bool(words) and bool(LAST_GAP.search(data))
+    lead, trail = data[:1] in WHITES, bool(words) and data[-1:] in WHITES
     gaps = max(0, len(words) - 1) + lead + trail
+    single = {c: data.count(c) for c in WHITES}
+    if sum(single.values()) == gaps:  # no gap is longer than one byte
+        del single[b" "]
+        other = Counter({c: n for c, n in single.items() if n})
+    else:
+        other = Counter(ODD_GAP.findall(data))
     single = gaps - sum(other.values())
     if single:
         other[b" "] = single
@@ -94,10 +107,9 @@ def keys_of(data: bytes) -> tuple[list[bytes], Counter]:
         for p in parts(k):
             other[p] += other[k]
         del other[k]
-    for w in words:
-        if len(w) > LONGEST:
-            for p in parts(w):
-                other[p] += 1
+    for i in np.flatnonzero(ends - starts > LONGEST).tolist():
+        for p in parts(words[i]):
+            other[p] += 1
     return words, +other
 
 
@@ -122,15 +134,15 @@ def is_coded(key: bytes) -> bool:
 # First bytes
 
 
-def first_bytes(words: list[bytes]) -> np.ndarray:
+def first_bytes(text: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """For each word that one key holds: the class of the word before it, by a hash of that word's last two bytes and length, times 256 plus its first byte."""
-    n = np.fromiter(map(len, words), np.int64, len(words))
+    n = ends - starts
     if not len(n):
         return n
-    data, ends = np.frombuffer(b"".join(words), np.uint8).astype(np.int64), np.cumsum(n)
-    last = data[ends - 1] * 263 + data[np.maximum(ends - 2, ends - n)] * 71 + np.minimum(n, 4)
+    data = np.frombuffer(text, np.uint8).astype(np.int64)
+    last = data[ends - 1] * 263 + data[np.maximum(ends - 2, starts)] * 71 + np.minimum(n, 4)
     before = np.concatenate([[0], 1 + last[:-1] * 40503 % 65537 % (CLASSES - 1)])  # class 0: a text's first word
-    return (before * 256 + data[ends - n])[n <= LONGEST]
+    return (before * 256 + data[starts])[n <= LONGEST]
 
 
 def first_byte_scores(counts: np.ndarray) -> np.ndarray:
@@ -179,16 +191,19 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for text, held in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
-            words, other = keys_of(text.as_py().encode().lower())
+            data = text.as_py().encode().lower()
+            at = spans(data)
+            words, other = keys_of(data, *at)
             counts[held].update(words)
             counts[held].update(other)
             if not held:
-                np.add.at(firsts, first_bytes(words), 1)
+                firsts += np.bincount(first_bytes(data, *at), minlength=len(firsts))
             if len(counts[held]) > MOST_KEYS:
                 yield from flush()
     yield from flush()
     pairs = np.flatnonzero(firsts)
     yield pa.RecordBatch.from_arrays([pa.array([PAIR + int(i).to_bytes(2) for i in pairs], pa.binary()), pa.array(firsts[pairs]), pa.array(np.zeros(len(pairs), np.int64))], names=["key", "n_train", "n_all"])
+    give_back()
 
 
 # The byte model
@@ -312,7 +327,7 @@ class Mixer:
         for r in range(rounds):
             for x, gate, bit, weight in steps:
                 if len(bit):
-                    self.step(x, gate, bit, weight, 0.6 / (1 + r))
+                    self.step(x.astype(np.float32, copy=False), gate.astype(np.int64, copy=False), bit, weight, 0.6 / (1 + r))
         return self
 
 
@@ -404,9 +419,10 @@ def tail_scores(data, kind, lengths, n, weight, begin, most: int, tables: Tables
     for depth in np.unique(begin).tolist():
         at = np.flatnonzero(begin == depth)
         for on, x, gate, bit, (rows, own, own_gate, own_bit) in bits(data[at], kind[at], lengths[at], n[at], tables, depth, depth + most, weight[at] > 0):
-            steps.append((own, own_gate, own_bit, weight[at[rows]]))
+            steps.append((own.astype(np.float16), own_gate.astype(np.uint8), own_bit, weight[at[rows]].astype(np.float32)))
             all_bits.append((at[on], x.astype(np.float16), gate.astype(np.uint8), bit))
-    tail = Mixer().learn(steps, 2)
+    tail = Mixer().learn(steps, 1)
+    del steps
     for on, x, gate, bit in all_bits:
         score[on] += tail.cost(x.astype(np.float32), gate.astype(np.int64), bit)
     return score
@@ -424,12 +440,19 @@ def score_keys(keys: list[bytes], n: np.ndarray, tables: Tables, head: Mixer, be
     score = np.zeros(len(keys))
     # The first byte of a word depends on the word before it and is scored with the text.
     inner = np.array([kind[r] != 0 or keys[i].startswith(LONG) for r, i in enumerate(order)], bool)
-    for number, (on, x, gate, bit) in enumerate(bits(data, kind, lengths, counts, tables, 0, HEAD, None)):
-        score[on] += head.cost(x, gate, bit) * (inner[on] if number < 8 else 1)
+    # Keys that begin alike have the same head, which is scored once.
+    new = np.ones(len(keys), bool)
+    new[1:] = (data[1:, :HEAD] != data[:-1, :HEAD]).any(1) | (kind[1:] != kind[:-1]) | (inner[1:] != inner[:-1]) | (np.minimum(lengths[1:], HEAD) != np.minimum(lengths[:-1], HEAD))
+    one = np.flatnonzero(new)
+    heads = np.zeros(len(one))
+    for number, (on, x, gate, bit) in enumerate(bits(data[one, :HEAD], kind[one], lengths[one], counts[one], tables, 0, HEAD, None)):
+        heads[on] += head.cost(x, gate, bit) * (inner[one[on]] if number < 8 else 1)
+    score += heads[np.cumsum(new) - 1]
     begin = np.full(len(keys), HEAD) if begin is None else begin[order]
     score += tail_scores(data, kind, lengths, counts, learning_weight(counts), begin, data.shape[1], tables)
     out = np.zeros(len(keys))
     out[order] = score
+    give_back()
     return out
 
 
@@ -573,11 +596,12 @@ def _one_batch(batch: pa.RecordBatch, number: int, index: dict, values: np.ndarr
     keys, docs, times = [], [], []
     for doc, text in enumerate(batch.column(1).to_pylist()):
         data = text.encode().lower()
-        words, other = keys_of(data)
+        where = spans(data)
+        words, other = keys_of(data, *where)
         at = np.fromiter(map(index.get, words, itertools.repeat(-1)), np.int64, len(words))
         known = values[at[at >= 0]]
         sums[doc, :3] = known.sum(0)
-        sums[doc, 1] += firsts[first_bytes(words)].sum()
+        sums[doc, 1] += firsts[first_bytes(data, *where)].sum()
         for key, n_key in other.items():
             i = index.get(key)
             if i is None:
@@ -607,7 +631,7 @@ def _look_up(key: tuple, rows: pa.Table, vocab: pa.Table) -> pa.Table:
     index = {k: i for i, k in enumerate(columns[0])}
     base_key = np.array([is_base(k) for k in columns[0]], float)
     values = np.stack([np.array(columns[2]) * base_key, np.array(columns[3]), (np.array(columns[1]) > 0) * base_key], 1) if columns[0] else np.zeros((0, 3))
-    batches, ats, sums = [], [], []
+    batches, ats, sums, words = [], [], [], []
     unpack = zstandard.ZstdDecompressor().decompress
     for batch, many, packed in zip(*(rows.column(c).to_pylist() for c in ("batch", "many", "packed")), strict=True):
         data = unpack(packed)
@@ -619,6 +643,8 @@ def _look_up(key: tuple, rows: pa.Table, vocab: pa.Table) -> pa.Table:
         batches.append(batch)
         ats.append(ids.astype("<i4").tobytes())
         sums.append(np.stack([np.bincount(place, got[:, i], len(ids)) for i in range(3)], 1).tobytes())
+    del index, columns, words
+    give_back()
     return pa.table([pa.array(batches, pa.int64()), pa.array(ats, pa.binary()), pa.array(sums, pa.binary())], names=["batch", "at", "sums"])
 
 
