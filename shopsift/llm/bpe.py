@@ -41,7 +41,7 @@ ODD = f"[\x01\t\x0b\x0c\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u30
 #: Letters that every Unicode version since 6 has: Latin, Greek, Cyrillic, Arabic, kana, Han, Hangul.
 LETTERS = "^ ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f\u0391-\u03a1\u03a3-\u03f5\u0400-\u0481\u048a-\u0523\u0620-\u064a\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3]+[,.;:!?]*$"
 CLOSING = "[,.;:!?]+$"
-GROUP_BYTES = 12_000_000  # of texts whose distinct pieces are encoded together
+GROUP_BYTES = 16_000_000  # of texts whose distinct pieces are encoded together
 
 
 @functools.cache
@@ -196,8 +196,10 @@ class PieceEncoder:
 
 def gather(values: np.ndarray, start: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(lengths, the runs of ``values`` that begin at ``start``, one after another)."""
-    at = np.repeat(start - (np.cumsum(lengths) - lengths), lengths)
-    at += np.arange(len(at))
+    ends = np.cumsum(lengths)
+    small = np.int32 if len(values) < 2**31 and (len(ends) == 0 or ends[-1] < 2**31) else np.int64
+    at = np.repeat((start - (ends - lengths)).astype(small), lengths)
+    at += np.arange(len(at), dtype=small)
     return lengths, values[at]
 
 

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import worker_encoder
-from .common import cut, new_folder
+from .common import bounded_batches, cut, give_back, new_folder
 
 MAGIC = b"RANSID01"
 SCALE = 18
@@ -39,7 +39,7 @@ LOW = np.uint64(1 << 31)
 LANES, STEPS, EVERY = 256, 1024, 256
 BLOCK = LANES * STEPS
 FILE_TOKENS = 16 * BLOCK
-PARTITION_CHARS = 24_000_000
+PARTITION_BYTES = 16_000_000
 
 
 def frequency_table(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -212,11 +212,26 @@ class IdFile:
         return np.concatenate(out) if out else np.zeros(0, "<u4")
 
 
+def gathered(batches: Iterator[pa.RecordBatch], most: int = PARTITION_BYTES) -> Iterator[tuple[list, pa.Array]]:
+    """Ids and texts of batches of (id, text), several at a time, of about ``most`` bytes."""
+    names, texts, size = [], [], 0
+    for batch in batches:
+        names += batch.column(0).to_pylist()
+        texts.append(batch.column(1))
+        size += batch.column(1).nbytes
+        if size >= most:
+            yield names, pa.concat_arrays(texts)
+            names, texts, size = [], [], 0
+    if names:
+        yield names, pa.concat_arrays(texts)
+
+
 def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encode every text, append ``end_id`` and write files under ``path`` in ascending order of doc_id."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     chars = rows.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
-    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-chars // PARTITION_CHARS))
+    # A task encodes its distinct pieces once, so there are no more tasks than the texts' size and the cluster ask for.
+    parts = max(rows.sparkSession.sparkContext.defaultParallelism, -(-chars // PARTITION_BYTES))
     ordered = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,10 +244,10 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col: s
             data = make_file(partition, number, docs, lengths, np.concatenate([x for r in runs for x in (r, end)]))
             return pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], names=["value"])
 
-        for batch in batches:
-            many, ids = encoder.encode(batch.column(1))
+        for names, texts in gathered(batches):
+            many, ids = encoder.encode(texts)
             stops = np.cumsum(many).tolist()
-            for doc, lo, hi in zip(batch.column(0).to_pylist(), [0, *stops], stops, strict=False):
+            for doc, lo, hi in zip(names, [0, *stops], stops, strict=False):
                 if size and size + hi - lo + 1 > FILE_TOKENS:
                     yield close()
                     docs, runs, size, number = [], [], 0, number + 1
@@ -241,7 +256,9 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col: s
                 size += hi - lo + 1
         if docs:
             yield close()
+        give_back()
 
+    bounded_batches(rows.sparkSession)
     files = ordered.mapInArrow(build, "value binary").select(F.col("value").cast("string").alias("value"))
     files.write.option("maxRecordsPerFile", 1).text(path)
 
