@@ -23,6 +23,7 @@ import functools
 import hashlib
 import itertools
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,8 +40,8 @@ PIECES = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 #: Texts with one of these are cut by ``PIECES``; others have single blanks and line feeds between words, and no other white space.
 ODD = f"[\x01\t\x0b\x0c\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]|^$|^[ \n]|[ \n]$|[ \n][ \n]"
 #: Letters that every Unicode version since 6 has: Latin, Greek, Cyrillic, Arabic, kana, Han, Hangul.
-LETTERS = "^ ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f\u0391-\u03a1\u03a3-\u03f5\u0400-\u0481\u048a-\u0523\u0620-\u064a\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3]+[,.;:!?]*$"
-CLOSING = "[,.;:!?]+$"
+LETTERS = "^ ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f\u0391-\u03a1\u03a3-\u03f5\u0400-\u0481\u048a-\u0523\u0620-\u064a\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3]+[!-/:-@\\[-`{-~]*$"
+CLOSING = "[!-/:-@\\[-`{-~]+$"
 GROUP_BYTES = 16_000_000  # of texts whose distinct pieces are encoded together
 
 
@@ -97,8 +98,8 @@ class PieceEncoder:
 
     Arrow cuts the texts and numbers the distinct pieces. Those of letters of
     long-settled scripts, also with closing punctuation, go to the library's
-    model as byte-alphabet strings, many in one call with a line feed's token
-    between them (no such piece has one); all others go through the library's
+    model as byte-alphabet strings, many in one call with bytes between them that
+    UTF-8 never has and that no merge takes; all others go through the library's
     own pre-tokenizer. Texts that hold an added token go to the library whole.
     """
 
@@ -106,18 +107,22 @@ class PieceEncoder:
         self.tokenizer = tokenizer
         self.alphabet = dict(byte_alphabet())
         self.letters = Tokenizer(tokenizer.model)
-        self.letters.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
-        self.between = byte_alphabet()[10]
-        self.between_id = tokenizer.token_to_id(self.between)
+        joined = Counter(itertools.chain.from_iterable(map(set, tokenizer.get_vocab())))
+        never = [c for b in (0xFF, 0xFE, 0xC0, 0xC1, *range(0xF5, 0xFE)) if joined[c := self.alphabet[b]] == 1]
+        if len(never) < 2:
+            raise ValueError("the vocabulary merges bytes that UTF-8 never has")
+        self.between, self.within = never[:2]
+        self.between_id, self.within_id = map(tokenizer.token_to_id, never[:2])
         self.added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
 
     def _letters(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(lengths, ids) of pieces of letters and closing punctuation, a NUL between the two."""
         lengths, found = [], []
-        for lo in range(0, len(pieces), 1024):
-            joined = "\n".join(pieces.slice(lo, 1024).to_pylist()).encode().decode("latin-1").translate(self.alphabet)
-            mapped = joined.replace(self.between, f" {self.between} ").replace(self.alphabet[0], " ")
+        for lo in range(0, len(pieces), 128):
+            joined = "\n".join(pieces.slice(lo, 128).to_pylist()).encode().decode("latin-1").translate(self.alphabet)
+            mapped = joined.replace(self.alphabet[10], self.between).replace(self.alphabet[0], self.within)
             ids = np.array(self.letters.encode_batch_fast([mapped], add_special_tokens=False)[0].ids, "<u4")
+            ids = ids[ids != self.within_id]
             stops = np.flatnonzero(ids == self.between_id)
             lengths.append(np.diff(stops, prepend=-1, append=len(ids)) - 1)
             found.append(np.delete(ids, stops))
