@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, exact_dedup, language, licenses, lm, near_dedup, pii, rans, warc
+from . import bpe, decontam, exact_dedup, fim, language, licenses, lm, near_dedup, pii, quality, rans, variants, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,7 +55,25 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumns(joined).drop("places")
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_warc, op3_token_ids, op4_exact_dedup, op5_context_mixing, op6_byte_bpe, op7_decontamination, op8_near_dedup, op9_language, op10_licenses)}
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digest_columns(fim.fill_in_middle(_table(spark, sf_dir, "documents"), seed=42, rate=50, spm=80))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.spelling_variants(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_pii, op2_warc, op3_token_ids, op4_exact_dedup, op5_context_mixing, op6_byte_bpe, op7_decontamination, op8_near_dedup, op9_language, op10_licenses,
+        op11_quality, op12_fill_in_middle, op13_spelling_variants,
+    )
+}
 
 SQL = {
     "op4_exact_dedup": r"""
@@ -94,5 +112,21 @@ r(node, root) AS (SELECT doc_id, doc_id FROM d UNION SELECT l.b, r.root FROM r J
 m AS (SELECT node, min(root) AS component_id FROM r GROUP BY node)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, component_id = d.doc_id AS kept
 FROM d JOIN m ON m.node = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
+""",
+    "op12_fill_in_middle": r"""
+WITH t AS (
+  SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS x,
+         regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u FROM documents),
+h AS (
+  SELECT *, len(u) AS n, CAST('0x' || substr(x, 1, 8) AS BIGINT) % (len(u) + 1) AS a, CAST('0x' || substr(x, 9, 8) AS BIGINT) % (len(u) + 1) AS b,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR CAST('0x' || substr(x, 17, 8) AS BIGINT) % 100 >= 50 THEN 'plain'
+              WHEN CAST('0x' || substr(x, 25, 8) AS BIGINT) % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM t),
+p AS (
+  SELECT doc_id, n, form, text, coalesce(array_to_string(u[1:least(a, b)], ''), '') AS prefix, coalesce(array_to_string(u[least(a, b) + 1:greatest(a, b)], ''), '') AS middle,
+         coalesce(array_to_string(u[greatest(a, b) + 1:n], ''), '') AS suffix FROM h)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM p
 """,
 }

@@ -31,6 +31,7 @@ def sf(spark, tmp_path_factory):
     rows = [(i, t, ["en", "fr", None][i % 3], "src", 0, "clash") for i, t in TEXTS.items()]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, term string").write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame([("a", PASSAGE), ("b", None), ("c", "one"), ("d", "")], "item_id string, text string").write.parquet(f"{folder}/benchmark.parquet")
+    spark.createDataFrame([(1, 1), (6, 0), (9, None)], "doc_id long, quality int").write.parquet(f"{folder}/labels.parquet")
     spark.createDataFrame([(3, "http://a.b/ x", "<p>é</p>"), (1, None, "<p>é</p>"), (2, "u", None), (4, "u", LONG)], "page_id long, url string, html string").write.parquet(f"{folder}/pages.parquet")
     return folder
 
@@ -41,6 +42,7 @@ def empty(spark, tmp_path_factory):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
     spark.createDataFrame([], "page_id long, url string, html string").write.parquet(f"{folder}/pages.parquet")
+    spark.createDataFrame([], "doc_id long, quality int").write.parquet(f"{folder}/labels.parquet")
     return folder
 
 
