@@ -22,8 +22,9 @@ def or_else(value: Column, default) -> Column:
 
 
 def strip(value: Column) -> Column:
-    """Without white space at either end."""
-    return F.regexp_replace(value, r"^\s+|\s+$", "")
+    """Without white space at either end, no-break spaces and others beyond ASCII included."""
+    space = r"[\s\x{1c}-\x{1f}\x{85}\p{Z}]+"
+    return F.regexp_replace(value, f"^{space}|{space}$", "")
 
 
 def contains_any(value: Column, *needles: str) -> Column:
@@ -187,12 +188,19 @@ def done_text(saved: Column, known: Column, found: Column) -> Column:
     )
 
 
+def progress_line(status: Column, saved: Column, known: Column, found: Column, seconds: Column, log: Column) -> Column:
+    """The line under a site: its error, its result, how far it is, or that it waits. The texts are fixed values."""
+    time = F.concat(F.lit("("), duration_text(seconds), F.lit(")"))
+    running = F.when(found > 0, F.concat(F.format_string("%d new saved so far · %d scanned ", saved, found), time)).otherwise(F.concat(F.lit("Scanning site… "), time))
+    return F.when(status == "Failed", or_else(log, "Unknown error")).when(status == "Done", done_text(saved, known, found)).when(status == "Running", running).otherwise("Waiting in queue…")
+
+
 def plural(count: Column, noun: str) -> Column:
     return F.concat(count.cast("string"), F.lit(f" {noun}"), F.when(count != 1, "s").otherwise(""))
 
 
 def run_summary(saved: Column, known: Column, sites: Column, any_failed: Column) -> Column:
-    """The text under a finished run."""
+    """The text under a finished run; its wording is a fixed value."""
     head = F.concat(F.when(any_failed, "⚠️ ").otherwise("✅ "), F.regexp_replace(plural(saved, "new product"), "$", " found across "), plural(sites, "site"))
     note = F.when((saved == 0) & (known > 0), F.concat(F.lit(" Everything was already up to date — "), plural(known, "product"), F.lit(" matched existing entries.")))
     return F.concat(head, F.coalesce(note, F.lit("")))

@@ -7,15 +7,13 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.listing import or_else
-from .tables import new_only
+from ..functions.listing import friendly_message, or_else, page_url, retry_class
+from .tables import merge, new_only, numbered
 
 #: Fixed value: categories of a site that is added without any.
 DEFAULT_CATEGORIES = "Jewellery, Accessories"
 #: The keys of a normalised listing item besides its image.
 ITEM_KEYS = ("product_name", "product_source_url", "price", "sku", "description", "category")
-LISTING_ITEM = "struct<product_name:string,product_image_url:string,images:array<string>,product_source_url:string,price:string,sku:string,description:string,category:string>"
-LISTING_PAGE = f"success boolean, data struct<json:struct<products:array<{LISTING_ITEM}>>>"
 
 
 def site_arguments(sites: str | list[str] | None, configured: list[str]) -> list[str]:
@@ -77,15 +75,30 @@ def reinject(rows: DataFrame, labels: list[str], added: DataFrame, section: str
     return old.drop("__has").unionByName(changed.join(F.broadcast(has), ~F.col("__has")).drop("__has"))
 
 
-def collection_headers(requests: DataFrame, named: DataFrame, today: str) -> DataFrame:
-    """(collection, finalized_on, created) of each request that names a product, even if none of those is kept.
+def taken_products(products: DataFrame, requests: DataFrame, named: DataFrame) -> DataFrame:
+    """(collection, id): which request takes each kept product; a request takes those that it names, or all kept where it names none.
 
-    ``requests``: collection; ``named``: (collection, kept). A request without
-    names makes no collection: its header is null and its count 0.
+    ``products``: id, review_status; ``requests``: collection; ``named``:
+    (collection, id). Requests come in the order of their names, and what one has
+    taken is kept no longer; so a product goes to the first that asks for it.
     """
-    counts = named.groupBy("collection").agg(F.count_if("kept").alias("created"))
-    made = requests.join(counts, "collection", "left")
-    return made.select("collection", F.when(F.col("created").isNotNull(), F.lit(today).cast("date")).alias("finalized_on"), F.coalesce("created", F.lit(0)).alias("created"))
+    by_name = named.join(requests.select("collection").distinct(), "collection", "left_semi").groupBy("id").agg(F.min("collection").alias("collection"))
+    first = requests.join(named, "collection", "left_anti").agg(F.min("collection").alias("__first"))  # one row
+    kept = products.filter("review_status = 'Kept'").select("id").join(by_name, "id", "left").join(F.broadcast(first))
+    return kept.select(F.least("collection", "__first").alias("collection"), "id").filter("collection IS NOT NULL")
+
+
+def collection_headers(products: DataFrame, requests: DataFrame, named: DataFrame, today: str) -> DataFrame:
+    """(collection, finalized_on, created) of each request, by :func:`taken_products`.
+
+    A request with names makes a collection even if none of them is kept; one
+    without names makes none if no product is left, its date is null then.
+    """
+    counts = taken_products(products, requests, named).groupBy("collection").agg(F.count("*").alias("created"))
+    names = named.select("collection").distinct().withColumn("__named", F.lit(True))
+    made = requests.select("collection").distinct().join(counts, "collection", "left").join(names, "collection", "left")
+    has = F.col("created").isNotNull() | F.col("__named").isNotNull()
+    return made.select("collection", F.when(has, F.lit(today).cast("date")).alias("finalized_on"), F.coalesce("created", F.lit(0)).alias("created"))
 
 
 def with_price(items: DataFrame, prices: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -121,26 +134,53 @@ def method_used(method: Column, found: Column, known: Column) -> Column:
 
 def page_table(sites: DataFrame, url: str, most: int = 30) -> DataFrame:
     """A row for each site and page number from 1 to ``most``, the listing reader's limit."""
-    return sites.withColumn("page", F.explode(F.sequence(F.lit(1), F.lit(most)))).withColumn("page_url", F.concat(F.regexp_replace(url, r"[?#].*$", ""), F.lit("?p="), F.col("page").cast("string")))
+    pages = sites.withColumn("page", F.explode(F.sequence(F.lit(1), F.lit(most))))
+    return pages.withColumn("page_url", page_url(F.col(url), F.col("page")))
 
 
 def listing_pages(responses: DataFrame) -> DataFrame:
-    """(site, page, error, products) of recorded responses (site, page, status, body).
+    """(site, page, error, products) of recorded responses (site, page, status, body), products as an array of variants.
 
-    A status beyond 299 or a body without success is an error with no products, so
-    failures are rows of the result; a page without products has an empty list.
+    A status of 400 or more, a body that is no JSON or one without success is an
+    error with no products, so failures are rows of the result; a page without
+    products has an empty list.
     """
-    p = F.from_json("body", LISTING_PAGE)
-    failed = F.when(F.col("status") >= 300, F.concat(F.lit("HTTP "), F.col("status").cast("string"), F.lit(": "), F.substring("body", 1, 300))).when(~F.coalesce(p["success"], F.lit(False)), F.concat(F.lit("Scrape failed: "), "body"))
-    none = F.array().cast(f"array<{LISTING_ITEM}>")
-    return responses.select("site", "page", failed.alias("error"), F.when(failed.isNull(), F.coalesce(p["data"]["json"]["products"], none)).otherwise(none).alias("products"))
+    body = F.try_parse_json("body")
+    success = F.coalesce(F.try_variant_get(body, "$.success", "boolean"), F.lit(False))
+    failed = F.when(F.col("status") >= 400, F.concat(F.lit("HTTP "), F.col("status").cast("string"), F.lit(": "), F.substring("body", 1, 300))).when(~success, F.concat(F.lit("Scrape failed: "), F.coalesce("body", F.lit(""))))
+    none = F.array().cast("array<variant>")
+    found = F.coalesce(F.try_variant_get(body, "$.data.json.products", "array<variant>"), none)
+    return responses.select("site", "page", failed.alias("error"), F.when(failed.isNull(), found).otherwise(none).alias("products"))
 
 
 def normalised_items(pages: DataFrame) -> DataFrame:
-    """Each item of ``pages`` (site, page, products) with its seven keys filled by defaults; items that are null are left out."""
-    items = pages.select("site", "page", F.posexplode(F.filter("products", lambda x: x.isNotNull())).alias("seq", "item"))
-    image = or_else(F.coalesce(F.get("item.images", 0), F.col("item.product_image_url")), "")
-    return items.select("site", "page", "seq", image.alias("product_image_url"), *[or_else(F.col(f"item.{k}"), "").alias(k) for k in ITEM_KEYS])
+    """Each item of ``pages`` (site, page, products) with its seven keys filled by defaults.
+
+    Items are read one by one as variants, so one of an odd shape costs no other:
+    an object or list in place of a text stays as its JSON. Items that are null,
+    empty or no objects are left out.
+    """
+    items = pages.select("site", "page", F.posexplode("products").alias("seq", "item"))
+    items = items.filter(F.to_json("item").startswith("{") & (F.to_json("item") != "{}"))
+    value = lambda path: F.try_variant_get("item", path, "string")
+    many = F.size(F.coalesce(F.try_variant_get("item", "$.images", "array<variant>"), F.array().cast("array<variant>"))) > 0
+    image = F.when(many, value("$.images[0]")).otherwise(value("$.product_image_url"))
+    return items.select("site", "page", "seq", or_else(image, "").alias("product_image_url"), *[or_else(value(f"$.{k}"), "").alias(k) for k in ITEM_KEYS])
+
+
+def listing_runs(pages: DataFrame, sites: DataFrame) -> DataFrame:
+    """(site, status, log, last_page): how the run over each site ends, of ``pages`` (site, page, error, ...).
+
+    A page whose error is of credits ends the run as Failed, with nothing saved.
+    Any other error counts as a page without products, on which reading stops as
+    it does at a missing one, and the run is Done; ``last_page`` is the last page
+    before that, 0 if there is none.
+    """
+    bad = F.col("error").isNotNull()
+    first = pages.groupBy("site").agg(F.min(F.when(bad, F.struct("page", "error"))).alias("bad"), F.max("page").alias("most"))
+    credits = retry_class(F.col("bad.error")) == "abort"
+    ended = first.select("site", F.when(credits, "Failed").otherwise("Done").alias("status"), F.when(credits, friendly_message(F.col("bad.error"))).alias("log"), F.when(credits, 0).otherwise(F.coalesce(F.col("bad.page") - 1, "most")).cast("long").alias("last_page"))
+    return sites.select("site").distinct().join(ended, "site", "left").select("site", F.coalesce("status", F.lit("Done")).alias("status"), "log", F.coalesce("last_page", F.lit(0).cast("long")).alias("last_page"))
 
 
 def list_view(rows: DataFrame, sort_field: str = "creation", descending: bool = True, page_length: int = 20) -> DataFrame:
@@ -148,7 +188,38 @@ def list_view(rows: DataFrame, sort_field: str = "creation", descending: bool =
     return rows.orderBy(F.desc(sort_field) if descending else F.asc(sort_field), "name").limit(page_length)
 
 
-def retry_waits(spark, step: int, attempts: int) -> DataFrame:
-    """(attempt, seconds): the linear waits after each failed attempt."""
-    n = F.col("id")
-    return spark.range(attempts).select((n + 1).alias("attempt"), (F.lit(step) * (n + 1)).alias("seconds"))
+def retry_waits(failures: DataFrame, message: str, step: int = 10, attempts: int = 3) -> DataFrame:
+    """``failures`` with a row for each attempt and the seconds waited after it: ``step`` more each time where the error is one to wait for, else one attempt and no wait."""
+    waits = retry_class(F.col(message)) == "wait"
+    rows = failures.withColumn("attempt", F.explode(F.sequence(F.lit(1), F.when(waits, attempts).otherwise(1))))
+    return rows.withColumn("seconds", F.when(waits, F.col("attempt") * step).otherwise(0))
+
+
+def lookup(parameters: DataFrame, logs: DataFrame, argument: str, by: list[str]) -> DataFrame:
+    """A row for each entry of a JSON map (site to log's name) in column ``argument``, with that log's columns; (by, site, log_name, status, ...).
+
+    ``logs``: name, status and what else a log has. A name that has no log is a
+    row with the status Failed. Text that is no JSON map has no entries. Entries
+    are spread and joined, so a map may be as large as a row can be.
+    """
+    entries = parameters.select(*by, F.explode(F.from_json(argument, "map<string,string>")).alias("site", "log_name"))
+    had = entries.join(logs.withColumnRenamed("name", "log_name"), "log_name", "left")
+    return had.withColumn("status", F.coalesce("status", F.lit("Failed"))).select(*by, "site", "log_name", *[c for c in logs.columns if c != "name"])
+
+
+def sync_registry(registry: DataFrame, row: DataFrame, key: str, runtime: list[str], legacy: DataFrame) -> DataFrame:
+    """The registry without the ``legacy`` keys and with ``row`` inserted, or updated in all columns but the ``runtime`` ones."""
+    left = registry.join(legacy.select(key).distinct(), key, "left_anti").select(*registry.columns)
+    return merge(left, row, [key], [c for c in row.columns if c != key and c not in runtime])
+
+
+def factory_sheet(children: DataFrame, items: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """The six columns of a collection's sheet after ``by``: row, style_number, product_name, description, image, product_url.
+
+    ``children``: ``by``, item, item_name, product_url and the ``order`` columns;
+    ``items``: item, image, description. The image's cell holds its URL, as it
+    does where an image cannot be put in; values that are missing are empty.
+    """
+    rows = numbered(children.join(items, "item", "left"), by, order, "row")
+    cells = {"style_number": "item", "product_name": "item_name", "description": "description", "image": "image", "product_url": "product_url"}
+    return rows.select(*by, "row", *[or_else(F.col(c).cast("string"), "").alias(k) for k, c in cells.items()])

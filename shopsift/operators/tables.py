@@ -32,47 +32,70 @@ def new_only(rows: DataFrame, stored: DataFrame, key: str | list[str]) -> DataFr
     keys = [key] if isinstance(key, str) else key
     filled = rows
     for k in keys:
-        filled = filled.filter(F.col(k).isNotNull() & (F.col(k) != ""))
+        filled = filled.filter(F.col(k).isNotNull() & (F.col(k).cast("string") != ""))
     return filled.join(stored.select(*keys).distinct(), keys, "left_anti")
 
 
-def merge(target: DataFrame, changes: DataFrame, keys: list[str], columns: list[str] | None = None, insert: bool = True) -> DataFrame:
+def merge(target: DataFrame, changes: DataFrame, keys: list[str], columns: list[str] | None = None, insert: bool = True, seq: str | None = None) -> DataFrame:
     """A new snapshot of ``target``: rows of ``changes`` update ``columns`` (all but the keys by default) or are added.
 
     Without ``insert`` changes of other keys are ignored, and a small ``changes``
-    may be broadcast. Of changes that repeat a key the largest counts.
+    may be broadcast. Of changes that repeat a key the last by the column ``seq``
+    counts, or the largest where there is no such column.
     """
     update = [c for c in target.columns if c not in keys] if columns is None else columns
-    rest = [c for c in changes.columns if c not in keys]
-    one = changes.groupBy(*keys).agg(F.max(F.struct(*rest)).alias("__row")).select(*keys, *[F.col("__row")[c].alias(c) for c in rest])
+    rest = [c for c in changes.columns if c not in keys and c != seq]
+    best = F.max(F.struct(*([seq] if seq else []), *rest)) if seq or rest else F.lit(None)
+    one = changes.groupBy(*keys).agg(best.alias("__row")).select(*keys, *[F.col("__row")[c].alias(c) for c in rest])
     a, b = target.withColumn("__a", F.lit(True)), one.withColumn("__b", F.lit(True))
     both = a.alias("a").join(b.alias("b"), keys, "full_outer" if insert else "left")
     pick = [
-        F.col(c) if c in keys else (F.when(F.col("__b") & (F.col("__a").isNull() | F.lit(c in update)), F.col(f"b.{c}")).otherwise(F.col(f"a.{c}")) if c in changes.columns else F.col(f"a.{c}")).alias(c)
+        F.col(c) if c in keys else (F.when(F.col("__b") & (F.col("__a").isNull() | F.lit(c in update)), F.col(f"b.{c}")).otherwise(F.col(f"a.{c}")) if c in rest else F.col(f"a.{c}")).alias(c)
         for c in target.columns
     ]
     return both.select(*pick)
 
 
+def fold_updates(updates: DataFrame, keys: list[str], seq: list[str]) -> DataFrame:
+    """(keys, columns): of each key and column the last value that is not null by ``seq``; a column never set is null.
+
+    ``updates`` is a log to which sparse updates are only appended; folding it
+    gives what applying them one after the other would. The maximum of a struct
+    combines before the shuffle, so a key with a third of all updates costs a row
+    a task, and folds of parts may be folded again if they keep ``seq``.
+    """
+    values = [c for c in updates.columns if c not in keys and c not in seq]
+    last = [F.max(F.when(F.col(c).isNotNull(), F.struct(*seq, c))).alias(c) for c in values]
+    return updates.groupBy(*keys).agg(*last).select(*keys, *[F.col(c)[c].alias(c) for c in values])
+
+
 def numbered(df: DataFrame, by: list[str], order: list[str], name: str = "idx") -> DataFrame:
     """Rows numbered from 1 within each parent."""
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("long"))
 
 
-def until_nothing_new(rows: DataFrame, page: str, key: str, last_page: int | None = None) -> DataFrame:
-    """The rows of the pages before the first (from 1 or 0 up) that has no key unseen on earlier pages; rows without a key always count as new.
+def until_nothing_new(rows: DataFrame, page: str, key: str, last_page: int | None = None, by: list[str] | None = None, start: int = 0) -> DataFrame:
+    """What a reader keeps that goes on from page to page until one has nothing new: rows whose key no earlier page had, and rows without a key.
 
-    Pages beyond ``last_page``, if it is given, are not kept.
+    Reading begins at page ``start`` and stops at the first page, missing ones
+    too, without such rows; a key repeated within its first page stays repeated.
+    With ``by``, each of its groups (such as a site) is read on its own. Pages
+    beyond ``last_page``, if it is given, are not kept.
     """
+    by = by or []
     filled = F.coalesce(F.col(key).cast("string"), F.lit("")) != ""
-    first = rows.filter(filled).groupBy(key).agg(F.min(page).alias("__first"))
-    fresh = first.select(F.col("__first").alias(page)).unionByName(rows.filter(~filled).select(page)).distinct()
-    # The first page without a new key is page 0 or follows one that has new keys.
-    after = fresh.filter(F.col(page) >= 0).select((F.col(page) + 1).alias(page)).unionByName(rows.sparkSession.range(1).select(F.col("id").alias(page)))
-    stop = after.join(fresh, page, "left_anti").agg(F.min(page).alias("__stop"))
+    first = rows.filter(filled & (F.col(page) >= start)).groupBy(*by, key).agg(F.min(page).alias("__first"))
+    fresh = first.select(*by, F.col("__first").alias(page)).unionByName(rows.filter(~filled & (F.col(page) >= start)).select(*by, page)).distinct()
+    # The first page without a new key is the first of all or follows one that has new keys.
+    begin = fresh.select(*by).distinct().withColumn(page, F.lit(start)) if by else rows.sparkSession.range(1).select(F.lit(start).alias(page))
+    after = fresh.select(*by, (F.col(page) + 1).alias(page)).unionByName(begin)
+    stop = after.join(fresh, [*by, page], "left_anti").groupBy(*by).agg(F.min(page).alias("__stop"))
     if last_page is not None:
-        stop = stop.select(F.least("__stop", F.lit(last_page + 1)).alias("__stop"))
-    return rows.join(F.broadcast(stop), F.col(page) < F.col("__stop")).drop("__stop")  # one row
+        stop = stop.withColumn("__stop", F.least("__stop", F.lit(last_page + 1)))
+    read = rows.join(stop, by) if by else rows.join(F.broadcast(stop))  # one row
+    read = read.filter((F.col(page) >= start) & (F.col(page) < F.col("__stop"))).drop("__stop")
+    new = read.filter(filled).join(first, [*by, key]).filter(F.col(page) == F.col("__first"))
+    return new.select(*rows.columns).unionByName(read.filter(~filled).select(*rows.columns))
 
 
 def topup(left: DataFrame, right: DataFrame, key: str, seq: list[str], fewer_than: int = 20) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import listing
 from ..operators import records, review, tables
-from . import catalogue_records
+from . import catalogue_flows, catalogue_records
 from .catalogue_sql import SQL as CATALOGUE_SQL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -142,10 +142,11 @@ def ensure_dimensions(t):
 
 @query
 def factory_sheet(t):
-    lines = t("lineitem").join(t("part").select(F.col("p_partkey").alias("l_partkey"), "p_name"), "l_partkey", "left")
-    rows = lines.select("l_orderkey", "l_partkey", "l_linenumber", "l_suppkey", "l_shipdate", "l_extendedprice", listing.or_else(F.col("p_name"), "").alias("product_name"))
-    order = ["l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice"]
-    return tables.numbered(rows, ["l_orderkey"], order, "row").select("l_orderkey", "row", F.col("l_partkey").cast("string").alias("style_number"), "product_name")
+    url = F.concat(F.lit("http://s"), F.col("l_suppkey"), F.lit("/p/"), F.col("l_partkey"))
+    items = t("part").select(F.col("p_partkey").alias("item"), F.concat(F.lit("http://i/"), F.col("p_partkey"), F.lit(".png")).alias("image"), F.col("p_type").alias("description"), "p_name")
+    order = ["l_linenumber", "item", "l_suppkey", "l_shipdate", "l_extendedprice"]
+    children = t("lineitem").select("l_orderkey", F.col("l_partkey").alias("item"), "l_linenumber", "l_suppkey", "l_shipdate", "l_extendedprice", url.alias("product_url"))
+    return records.factory_sheet(children, items.withColumnRenamed("p_name", "item_name"), ["l_orderkey"], order)
 
 
 @query
@@ -247,8 +248,10 @@ def normalise_product(t):
 
 @query
 def images_topup(t):
-    found = listing.images_topup(F.array(F.lit("https://a.b/0.png")), F.concat(F.lit("![x](https://a.b/"), F.col("page_id").cast("string"), F.lit(".JPG?w=1) ![y](https://a.b/0.png) https://c.d/e.gif")))
-    return t("pages").select("page_id", F.array_join(found, " ").alias("images"))
+    # The page's links stand for its images, the first of them as one that is known already.
+    markdown = F.regexp_replace("html", '<a href="/([^"]*)">', "![](https://a.b/$1.JPG?w=1) ")
+    first = F.concat(F.lit("https://a.b/"), F.regexp_extract("html", '<a href="/([^"]*)">', 1), F.lit(".JPG?w=1"))
+    return t("pages").select("page_id", F.array_join(listing.images_topup(F.array(first), markdown), " ").alias("images"))
 
 
 @query
@@ -286,10 +289,12 @@ def progress_missing_log(t):
 
 @query
 def badge_text(t):
-    status = F.when(F.col("event_type") == "error", "Failed").when(F.col("user_id") % 3 == 0, "Done").otherwise("Running")
-    text = F.when(F.col("user_id") % 2 == 0, "Rate limit hit").when(F.col("user_id") % 5 == 0, "out of CREDITS").otherwise("timed out")
-    n = F.col("user_id") % 3
-    return t("events").select("event_id", listing.badge_text(status, text).alias("badge"), listing.done_text(n, F.col("user_id") % 2, n + 1).alias("line"))
+    user = F.col("user_id")
+    status = F.when(F.col("event_type") == "error", "Failed").when(user % 3 == 0, "Done").when(F.col("event_type") == "signup", "Queued").otherwise("Running")
+    text = F.when(user % 2 == 0, "Rate limit hit").when(user % 5 == 0, "out of CREDITS").when(user % 7 == 0, "").otherwise("timed out")
+    n = user % 3
+    line = listing.progress_line(status, n, user % 2, user % 4, F.floor("value"), text)
+    return t("events").select("event_id", listing.badge_text(status, text).alias("badge"), listing.done_text(n, user % 2, n + 1).alias("done"), line.alias("line"))
 
 
 @query
@@ -321,15 +326,17 @@ def method_dispatch(t):
 @query
 def cascade_delete(t):
     gone = t("supplier").filter("s_suppkey % 10 = 3").select(F.col("s_suppkey").alias("l_suppkey"))
-    _, left = records.delete_with_children(t("supplier").withColumnRenamed("s_suppkey", "l_suppkey"), t("lineitem"), gone, "l_suppkey")
-    return left.groupBy("l_suppkey").agg(F.count("*").alias("products"))
+    parents, left = records.delete_with_children(t("supplier").withColumnRenamed("s_suppkey", "l_suppkey"), t("lineitem"), gone, "l_suppkey")
+    counts = left.groupBy("l_suppkey").agg(F.count("*").alias("products"))
+    return parents.select("l_suppkey", "s_name").join(counts, "l_suppkey", "full_outer")
 
 
 @query
 def registry_upsert(t):
-    target = t("nation").select("n_nationkey", "n_name", F.col("n_regionkey").alias("status"))
-    changes = t("nation").filter("n_nationkey % 2 = 0").select(F.col("n_nationkey") + 10, F.upper("n_name"), F.lit(-1)).toDF("n_nationkey", "n_name", "status")
-    return tables.merge(target, changes, ["n_nationkey"], ["n_name"])
+    registry = t("nation").select("n_nationkey", "n_name", F.col("n_regionkey").alias("status"))
+    rows = t("nation").filter("n_nationkey % 2 = 0").select(F.col("n_nationkey") + 10, F.upper("n_name"), F.lit(-1)).toDF("n_nationkey", "n_name", "status")
+    legacy = t("region").select((F.col("r_regionkey") * 3).alias("n_nationkey"))
+    return records.sync_registry(registry, rows, "n_nationkey", ["status"], legacy)
 
 
 @query
@@ -345,5 +352,5 @@ def image_fields(t):
     return t("part").select("p_partkey", listing.image_extension(kind).alias("ext"), listing.scaled_width(F.col("p_size") * 7, F.col("p_size") % 5).alias("width"), F.base64(F.encode("p_name", "utf-8")).alias("encoded"))
 
 
-QUERIES |= catalogue_records.QUERIES
-SQL = CATALOGUE_SQL | catalogue_records.SQL
+QUERIES |= catalogue_records.QUERIES | catalogue_flows.QUERIES
+SQL = CATALOGUE_SQL | catalogue_records.SQL | catalogue_flows.SQL

@@ -29,24 +29,44 @@ def text(c: str):
     return F.col(c).cast("string")
 
 
-@query("""SELECT p_brand AS site, 1 AS page, p_name AS product_name, CASE WHEN p_size > 25 THEN 'i' || p_size WHEN p_size > 10 THEN 'alt' ELSE '' END AS product_image_url,
-'http://' || p_partkey AS product_source_url, CASE WHEN p_size % 2 = 0 THEN CAST(p_size AS VARCHAR) ELSE '' END AS price, '' AS sku, p_type AS description, '' AS category FROM part WHERE p_size % 7 <> 0""")
+def _listing_responses(t):
+    """A response a page: its links as items, each fourth one empty, null, or of an odd shape; pages of some lengths are failures."""
+    item = lambda h, i: (
+        F.when(i % 4 == 1, "{}").when(i % 4 == 2, "null")
+        .when(i % 4 == 3, F.concat(F.lit('{"product_name":{"odd":"'), h, F.lit('"},"product_image_url":"alt","images":[],"price":7,"category":null}')))
+        .otherwise(F.concat(F.lit('{"product_name":"'), h, F.lit('","images":["i1","i2"],"product_image_url":"alt","product_source_url":"/'), h, F.lit('","price":"5.50"}')))
+    )
+    items = F.array_join(F.transform(F.regexp_extract_all("html", F.lit(r'<a href="/([^"\\]*)"'), F.lit(1)), item), ",")
+    size = F.char_length("html")
+    body = F.when(size % 11 == 3, '{"success":false}').when(size % 11 == 4, "no JSON").when(size % 11 == 5, '{"success":true}').otherwise(F.concat(F.lit('{"success":true,"data":{"json":{"products":['), items, F.lit("]}}}")))
+    status = F.when(size % 13 == 1, 503).when(size % 13 == 2, 402).when(size % 13 == 3, 302).otherwise(200)
+    return t("pages").select(F.regexp_extract("url", "^[a-z]+://([^/]*)", 1).alias("site"), F.col("page_id").alias("page"), status.alias("status"), body.alias("body"))
+
+
+@query(r"""WITH p AS (SELECT regexp_extract(url, '^[a-z]+://([^/]*)', 1) AS site, page_id AS page, regexp_extract_all(html, '<a href="/([^"\\]*)"', 1) AS h FROM pages WHERE length(html) % 11 NOT IN (3, 4, 5) AND length(html) % 13 NOT IN (1, 2)),
+i AS (SELECT site, page, h, unnest(range(len(h))) AS seq FROM p)
+SELECT site, page, CAST(seq AS INTEGER) AS seq, CASE WHEN seq % 4 = 0 THEN h[seq + 1] ELSE '{"odd":"' || h[seq + 1] || '"}' END AS product_name, CASE WHEN seq % 4 = 0 THEN 'i1' ELSE 'alt' END AS product_image_url,
+CASE WHEN seq % 4 = 0 THEN '/' || h[seq + 1] ELSE '' END AS product_source_url, CASE WHEN seq % 4 = 0 THEN '5.50' ELSE '7' END AS price, '' AS sku, '' AS description, '' AS category FROM i WHERE seq % 4 IN (0, 3)""")
 def listing_page_products(t):
-    part = t("part")
-    images = F.when(F.col("p_size") > 25, F.array(F.concat(F.lit("i"), text("p_size")), F.lit("j")))
-    item = F.struct(F.col("p_name").alias("product_name"), images.alias("images"), F.when(F.col("p_size") > 10, "alt").alias("product_image_url"), F.concat(F.lit("http://"), text("p_partkey")).alias("product_source_url"), F.when(F.col("p_size") % 2 == 0, text("p_size")).alias("price"), F.col("p_type").alias("description"))
-    # A response a part keeps each page small; every seventh size is a page whose list holds null alone.
-    body = F.concat(F.lit('{"success":true,"data":{"json":{"products":['), F.when(F.col("p_size") % 7 != 0, F.concat(F.lit("null,"), F.to_json(item))).otherwise("null"), F.lit("]}}}"))
-    pages = records.listing_pages(part.select(F.col("p_brand").alias("site"), F.lit(1).alias("page"), F.lit(200).alias("status"), body.alias("body")))
-    return records.normalised_items(pages).drop("seq")
+    return records.normalised_items(records.listing_pages(_listing_responses(t)))
 
 
-@query("""SELECT p_partkey AS page, CASE p_size % 3 WHEN 0 THEN 'HTTP 503: no' WHEN 1 THEN 'Scrape failed: {"success":false}' END AS error FROM part""")
+@query("""WITH p AS (SELECT page_id, length(html) % 11 AS a, length(html) % 13 AS b, html FROM pages)
+SELECT page_id AS page, CASE WHEN b = 1 OR b = 2 THEN CASE b WHEN 1 THEN 'HTTP 503: ' ELSE 'HTTP 402: ' END || CASE a WHEN 3 THEN '{"success":false}' WHEN 4 THEN 'no JSON' WHEN 5 THEN '{"success":true}' ELSE '{"success":true,"' END
+WHEN a = 3 THEN 'Scrape failed: {"success":false}' WHEN a = 4 THEN 'Scrape failed: no JSON' END AS error FROM p""")
 def listing_page_errors(t):
-    kind = F.col("p_size") % 3
-    body = F.when(kind == 0, "no").when(kind == 1, '{"success":false}').otherwise('{"success":true}')
-    rows = t("part").select(F.col("p_brand").alias("site"), F.col("p_partkey").alias("page"), F.when(kind == 0, 503).otherwise(200).alias("status"), body.alias("body"))
-    return records.listing_pages(rows).select("page", "error")
+    # Long bodies differ beyond their first words.
+    return records.listing_pages(_listing_responses(t)).select("page", F.regexp_replace("error", r'^(HTTP \d+: \{"success":true,").*$', "$1").alias("error"))
+
+
+@query(r"""WITH RECURSIVE p AS (SELECT page_id % 32 AS site, page_id // 32 + 1 AS page, length(html) AS z FROM pages),
+e AS (SELECT site, page, CASE WHEN z % 13 = 2 THEN 'credits' WHEN z % 13 = 1 OR z % 11 IN (3, 4) THEN 'other' END AS bad FROM p),
+r AS (SELECT site, page, bad FROM e WHERE page = 1 UNION ALL SELECT e.site, e.page, e.bad FROM r JOIN e ON e.site = r.site AND e.page = r.page + 1 WHERE r.bad IS NULL)
+SELECT site, CASE WHEN bool_or(bad = 'credits') THEN 'Failed' ELSE 'Done' END AS status, CASE WHEN bool_or(bad = 'credits') THEN 'Out of credits at the scraping service' END AS log,
+CASE WHEN bool_or(bad = 'credits') THEN 0 ELSE max(page) - count(bad) END AS last_page FROM r GROUP BY site""")
+def listing_runs(t):
+    pages = records.listing_pages(_listing_responses(t)).select((F.col("page") % 32).alias("site"), (F.floor(F.col("page") / 32) + 1).alias("page"), "error")
+    return records.listing_runs(pages, pages)
 
 
 @query("""WITH r AS (SELECT l_suppkey AS site, l_partkey AS url, l_shipdate FROM lineitem), k AS (SELECT DISTINCT l_suppkey AS site, l_partkey AS url FROM lineitem WHERE l_linestatus = 'F')
@@ -81,11 +101,15 @@ def json_lines(t):
     return t("part").select(F.to_json(F.struct("p_partkey", "p_name", "p_brand")).alias("line"))
 
 
-@query("""SELECT c_custkey AS collection, CASE WHEN count(o_orderkey) > 0 THEN DATE '2024-05-01' END AS finalized_on, count(*) FILTER (o_orderstatus = 'F') AS created
-FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey""")
+@query("""WITH u AS (SELECT min(c_custkey) AS first FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)),
+k AS (SELECT least(o_custkey, coalesce(first, o_custkey)) AS collection FROM orders, u WHERE o_orderstatus = 'F')
+SELECT c_custkey AS collection, CASE WHEN count(k.collection) > 0 OR c_custkey IN (SELECT o_custkey FROM orders) THEN DATE '2024-05-01' END AS finalized_on, count(k.collection) AS created
+FROM customer LEFT JOIN k ON k.collection = c_custkey GROUP BY c_custkey""")
 def collection_headers(t):
-    named = t("orders").select(F.col("o_custkey").alias("collection"), (F.col("o_orderstatus") == "F").alias("kept"))
-    return records.collection_headers(t("customer").select(F.col("c_custkey").alias("collection")), named, "2024-05-01")
+    # Each customer asks for a collection of its own orders; one without orders names nothing, and so asks for all that are kept still.
+    products = t("orders").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderstatus") == "F", "Kept").otherwise("Pending").alias("review_status"))
+    named = t("orders").select(F.col("o_custkey").alias("collection"), F.col("o_orderkey").alias("id"))
+    return records.collection_headers(products, t("customer").select(F.col("c_custkey").alias("collection")), named, "2024-05-01")
 
 
 @query("SELECT n_name, CASE WHEN n_regionkey = 1 AND n_nationkey % 2 = 0 THEN 1 ELSE CAST(n_nationkey % 2 AS BIGINT) END AS issingle FROM nation")
@@ -135,10 +159,12 @@ def drill_through(t):
     return t("lineitem").filter("l_orderkey = 11").select("l_partkey", "l_suppkey", "l_shipdate")
 
 
-@query("""SELECT page_id, 'T' || page_id AS title, 'https://a.b/' || page_id || '.png' AS images FROM pages WHERE page_id % 4 <> 0""")
+@query(r"""WITH p AS (SELECT page_id, trim(regexp_extract(html, '<title>([^<]*)</title>', 1)) AS title, list_distinct(list_transform(regexp_extract_all(html, '<a href="/([a-z]+)">', 1), lambda h: 'https://a.b/' || h || '.png')) AS d,
+list_transform(regexp_extract_all(html, '<a href="/([a-z]+)">', 1), lambda h: 'https://a.b/' || h || '.png') AS l FROM pages WHERE page_id % 4 <> 0)
+SELECT page_id, title, coalesce((SELECT string_agg(url, ' ' ORDER BY i) FROM (SELECT url, min(i) AS i FROM (SELECT unnest(l) AS url, unnest(range(len(l))) AS i) GROUP BY url ORDER BY i LIMIT 5)), '') AS images FROM p WHERE title <> ''""")
 def page_extraction(t):
-    title = F.when(F.col("page_id") % 4 != 0, F.concat(F.lit("T"), text("page_id")))
-    markdown = F.concat(F.lit("![x](https://a.b/"), text("page_id"), F.lit(".png)"))
+    title = F.when(F.col("page_id") % 4 != 0, F.trim(F.regexp_extract("html", "<title>([^<]*)</title>", 1)))
+    markdown = F.array_join(F.transform(F.regexp_extract_all("html", F.lit('<a href="/([a-z]+)">'), F.lit(1)), lambda h: F.concat(F.lit("![x](https://a.b/"), h, F.lit(".png)"))), " ")
     rows = t("pages").select("page_id", title.alias("title"), F.array_join(listing.images_topup(F.array().cast("array<string>"), markdown), " ").alias("images"))
     return rows.filter(F.coalesce("title", F.lit("")) != "")
 
@@ -171,10 +197,14 @@ def run_summary(t):
     return runs.select("user_id", listing.run_summary(F.col("saved"), F.col("known"), F.col("sites"), F.col("failed")).alias("summary"))
 
 
-@query("SELECT n + 1 AS attempt, 10 * (n + 1) AS seconds FROM range(3) r(n) UNION ALL SELECT n + 1, 60 * (n + 1) FROM range(4) r(n)")
+@query("""SELECT event_id, n AS attempt, CASE WHEN user_id % 30 <> 2 AND (user_id % 30 = 29 OR user_id % 4 = 0) THEN step * n ELSE 0 END AS seconds
+FROM (SELECT *, CASE WHEN event_id % 2 = 0 THEN 10 ELSE 60 END AS step, CASE WHEN event_id % 2 = 0 THEN 3 ELSE 4 END AS most FROM events WHERE event_type = 'error'), range(1, 5) r(n)
+WHERE n <= CASE WHEN user_id % 30 <> 2 AND (user_id % 30 = 29 OR user_id % 4 = 0) THEN most ELSE 1 END""")
 def retry_waits(t):
-    spark = t("region").sparkSession
-    return records.retry_waits(spark, 10, 3).unionByName(records.retry_waits(spark, 60, 4))
+    message = F.concat(F.lit("HTTP "), (F.lit(400) + F.col("user_id") % 30).cast("string"), F.when(F.col("user_id") % 4 == 0, " Read timed out").otherwise(""))
+    failures = t("events").filter("event_type = 'error'").withColumn("message", message)
+    page, discovery = (failures.filter(F.col("event_id") % 2 == k) for k in (0, 1))
+    return records.retry_waits(page, "message", 10, 3).unionByName(records.retry_waits(discovery, "message", 60, 4)).select("event_id", "attempt", "seconds")
 
 
 @query("""WITH t AS (SELECT event_id, event_type || ' HTTP ' || (400 + user_id % 30) || CASE user_id % 4 WHEN 0 THEN ' Read timed out' WHEN 1 THEN ' Connection refused' ELSE '' END AS m FROM events)
@@ -202,7 +232,7 @@ def ensure_groups(t):
     return records.ensure_groups(brands.filter("p_size <= 1").select("name"), brands.select("name"), "All")
 
 
-@query("SELECT page_id, n AS page, regexp_replace(url, '[?#].*$', '') || '?p=' || n AS page_url FROM pages, range(1, 31) r(n)")
+@query("SELECT page_id, n AS page, regexp_extract(url, '^([^?#]*)', 1) || '?p=' || n || regexp_extract(url, '(#.*)$', 1) AS page_url FROM pages, range(1, 31) r(n)")
 def listing_page_urls(t):
     return records.page_table(t("pages").select("page_id", "url"), "url").select("page_id", "page", "page_url")
 
