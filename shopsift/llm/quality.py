@@ -35,10 +35,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, give_back, stored
+from .common import bounded_batches, cut, give_back, stored
 
 BUCKETS = 1 << 18
 SAMPLE = 1500
+#: Labels that are sent to every task, some 16 MB.
+FEW = 1_000_000
 FOLDS = 3
 #: The hinge loss's weight, and rounds of coordinate descent.
 COST, ROUNDS = 1.0, 12
@@ -191,32 +193,54 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text, k in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
             have[k, features(text.as_py().encode())] += 1
     at = np.flatnonzero(have.any(0))
-    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(have[1, at]), pa.array(have[0, at])], names=["bucket", "ones", "zeros"])
+    yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(have[1, at]), pa.array(have[0, at])], names=["bucket", "ones", "zeros"])
     give_back()
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, text, label) of the texts that have a label."""
+    """(id, text, label) of the texts that have a label.
+
+    Up to ``FEW`` labels, which are counted, go to every task; of more, texts are
+    joined by a shuffle and written once.
+    """
     one = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id"))
-    one = one.agg((F.avg(F.col(label_col).cast("int")) >= 0.5).cast("int").alias("label"))
+    one = cut(one.agg((F.avg(F.col(label_col).cast("int")) >= 0.5).cast("int").alias("label")))
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return rows.join(one, "id")
+    return rows.join(F.broadcast(one), "id") if one.count() <= FEW else stored(rows.join(one, "id"), "labelled")
+
+
+def _smallest(keyed: DataFrame, sample: int) -> list[tuple[int, int]]:
+    """The ``sample`` smallest distinct keys of each label."""
+    # Keys are spread evenly, so the estimate of their number tells a bound below which about four times the sample is.
+    sizes = {r["label"]: r["n"] for r in keyed.groupBy("label").agg(F.approx_count_distinct("key").alias("n")).collect()}  # two rows
+    bounds = {k: 2**64 * 4 * sample // n - 2**63 for k, n in sizes.items() if n > 4 * sample}
+    place = F.row_number().over(Window.partitionBy("label").orderBy("key"))
+    out: list[tuple[int, int]] = []
+    for k in sizes:
+        own = keyed.filter(F.col("label") == k)
+        for bound in (bounds.get(k), None):  # should the estimate have been far off, the label goes without a bound
+            keys = own.filter(F.col("key") <= bound) if bound is not None else own
+            found = keys.select("label", "key").distinct().withColumn("place", place).filter(F.col("place") <= sample).select("label", "key").collect()
+            if len(found) == sample or bound is None:
+                break
+        out += [tuple(r) for r in found]
+    return out
 
 
 def learn(rows: DataFrame, sample: int = SAMPLE) -> Model | float:
     """The model from (text, label) rows; a constant score where no two classes are labelled."""
     bounded_batches(rows.sparkSession)
-    rows = stored(rows.select("text", "label"), "labelled")
-    counts = rows.mapInArrow(_counts, "bucket long, ones long, zeros long").groupBy("bucket").agg(F.sum("ones").alias("ones"), F.sum("zeros").alias("zeros")).collect()  # BUCKETS rows at most
+    rows = rows.select("text", "label")
+    counts = rows.mapInArrow(_counts, "bucket int, ones long, zeros long").groupBy("bucket").agg(F.sum("ones").alias("ones"), F.sum("zeros").alias("zeros")).toArrow()  # BUCKETS rows at most
     p, q = np.ones(BUCKETS), np.ones(BUCKETS)
-    for r in counts:
-        p[r["bucket"]] += r["ones"]
-        q[r["bucket"]] += r["zeros"]
-    key = F.xxhash64("text", F.lit(29))
-    # Copies have one key; the smallest keys of each class are found by a minimum that combines before the shuffle.
-    distinct = rows.groupBy("label", key.alias("key")).agg(F.min("text").alias("text"))
-    place = F.row_number().over(Window.partitionBy("label").orderBy("key"))
-    chosen = [(r["text"], r["label"]) for r in distinct.withColumn("place", place).filter(F.col("place") <= sample).orderBy("key", "label").collect()]
+    at = counts["bucket"].to_numpy()
+    p[at] += counts["ones"].to_numpy()
+    q[at] += counts["zeros"].to_numpy()
+    # Copies have one key. Keys alone are shuffled; then the texts of those that are chosen are read.
+    keyed = rows.withColumn("key", F.xxhash64("text", F.lit(29)))
+    few = rows.sparkSession.createDataFrame(_smallest(keyed, sample), "label int, key long")
+    texts = keyed.join(F.broadcast(few), ["label", "key"]).groupBy("label", "key").agg(F.min("text").alias("text"))
+    chosen = [(r["text"], r["label"]) for r in texts.orderBy("key", "label").collect()]
     classes = {k for _, k in chosen}
     if len(classes) < 2:
         return float(classes.pop()) if classes else 0.5

@@ -184,3 +184,17 @@ def test_quality_of_held_out_texts(spark):
     got = queries.QUERIES["op11_quality"](spark, sf)
     rows = got.join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").filter("held_out").collect()
     assert np.mean([r.predicted == r.quality for r in rows]) > 0.95 and all(0 <= r.score <= 1 for r in rows)
+
+
+def test_many_labels_are_joined_by_a_shuffle(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, f"good text {k}" if k % 2 else f"bad!!! text {k}") for k in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, quality int")
+    few = [tuple(r) for r in quality.score_quality(docs, labels).collect()]
+    monkeypatch.setattr(quality, "FEW", 3)
+    assert sorted(few) == sorted(tuple(r) for r in quality.score_quality(docs, labels).collect())
+
+
+def test_smallest_keys(spark):
+    rows = spark.range(5000).selectExpr("CAST(id % 2 AS INT) AS label", "xxhash64(id div 3) AS key").repartition(4)
+    want = [(k, x) for k in (0, 1) for x in sorted({r.key for r in rows.collect() if r.label == k})[:100]]
+    assert sorted(quality._smallest(rows, 100)) == want
