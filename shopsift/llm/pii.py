@@ -49,7 +49,7 @@ EXTRA = {
     "iban": re.compile(r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b"),
     # Keys with a known beginning, private-key headers, values that are assigned to a telling name, and bare digests.
     "secret": re.compile(
-        r"\b(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|sk[-_][A-Za-z0-9_-]{20,}|xox[abp]-[A-Za-z0-9-]{10,}|eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,})"
+        r"\b(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|sk[-_][A-Za-z0-9_-]{20,}|xox[abp]-[A-Za-z0-9-]{10,}|(?<!-)eyJ[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,})"
         r"|-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"
         r"|(?<=[=:\s\"'])(?<![0-9A-Za-z+/_.-])[0-9A-Za-z+/_-]{16,}(?=[\"'\s.,;!%$&*#|]|$)"
     ),

@@ -169,7 +169,7 @@ def test_licenses(spark, documents):
     assert "mit-license" in labels[-1] and "mit-license" not in labels[-3] and "bsd-3-clause" in labels[-2] and "bsd-2-clause" not in labels[-2]
 
 
-@pytest.mark.parametrize("line", ["cc by all rights reserved ", "mail a@b.org or +1 (017) 555-1234, host 10.0.0.1 ", "Dr Anna Smith paid 4111 1111 1111 1111 "])
+@pytest.mark.parametrize("line", ["cc by all rights reserved ", "mail a@b.org or +1 (017) 555-1234, host 10.0.0.1 ", "Dr Anna Smith paid 4111 1111 1111 1111 ", "-eyJabcdefghij", "eyJabcdefghij.", "_eyJ-", "sk-", "xoxa-", "+1((", "AB12 CDEF ", "a at ", "1-", "123-", "-----BEGIN A ", "=abcdefghijklmnop/"])
 def test_time_follows_length(line):
     """5 MB of one line repeated, against half of it."""
     import time
