@@ -13,8 +13,8 @@ grows with the corpus. A mixer adds the logits with weights that a gate picks by
 the prefix's count, and an adaptive map refines the sum. All counts cover all
 training texts, and mixers learn from all training words: online, by gradient
 steps, a word's own occurrence left out of its prefix's counts. The head's mixers
-learn in tasks and are averaged by the words that each has seen. Then weights are
-held fixed, so a score depends on nothing but the training texts and the text.
+learn in shards by a hash of the words and are averaged by the words that each has
+seen. Then weights are held fixed, so a score depends on nothing but the training texts and the text.
 
 Jobs: count words and gaps (combined in tasks before the shuffle); collect the
 bounded tables; score each distinct word once by prefix buckets; add up texts.
@@ -54,6 +54,7 @@ HEAD = 4  # bytes whose prefixes are hashed
 GATES = 24
 BINS = 33
 LEARN_KEYS = 8_000  # keys of a step of the head's mixers
+HEAD_KEYS = 100_000  # of a shard that one head mixer learns from
 CLASSES = 256  # of previous words
 PRIOR = np.float32(0.05)
 BUCKET_KEYS, BUCKET_TOKENS = 30_000, 300_000
@@ -388,24 +389,29 @@ def train_head(keys: list[bytes], n: np.ndarray, tables: Tables, mixer: Mixer) -
     mixer.learn([(x, g, b, weight[on]) for on, x, g, b in bits(data, kind, lengths, n, tables, 0, HEAD, None)], 1)
 
 
-def head_parts(vocab: DataFrame, shared) -> DataFrame:
-    """(cell, total, mass): the head mixers that tasks learn from all training keys, cells weighted by the keys learned from."""
+def head_parts(vocab: DataFrame, shared, n_keys: int) -> DataFrame:
+    """(cell, value): the head mixers learned from all training keys, averaged by the keys that each has learned from.
 
-    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mixer, mass = Mixer(), 0
+    A mixer learns from the keys of a shard, of which their hash and the number of
+    keys alone decide, in the order of another hash; so the result is the same
+    however rows are dealt to tasks.
+    """
+    shards = max(1, -(-n_keys // HEAD_KEYS))
+
+    def learn(table: pa.Table) -> pa.Table:
         tables = object.__new__(Tables)
-        tables.logit, tables.seen = shared.value
-        for batch in batches:
-            pairs = [(k, n) for k, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if n and is_coded(k)]
-            for lo in range(0, len(pairs), LEARN_KEYS):
-                some = pairs[lo : lo + LEARN_KEYS]
-                train_head([k for k, _ in some], np.array([n for _, n in some], np.float64), tables, mixer)
-                mass += len(some)
-        if mass:
-            cells = mixer.cells().astype(np.float64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(cells))), pa.array(cells * mass), pa.array(np.full(len(cells), mass, np.int64))], names=["cell", "total", "mass"])
-
-    parts = vocab.select("key", "n_train").mapInArrow(learn, "cell long, total double, mass long")
+        tables.logit, tables.seen = shared.value[:2]
+        pairs = sorted((zlib.crc32(k), k, n) for k, n in zip(table.column("key").to_pylist(), table.column("n_train").to_pylist(), strict=True) if is_coded(k))
+        mixer = Mixer()
+        for lo in range(0, len(pairs), LEARN_KEYS):
+            some = pairs[lo : lo + LEARN_KEYS]
+            train_head([k for _, k, _ in some], np.array([n for *_, n in some], np.float64), tables, mixer)
+        cells = mixer.cells().astype(np.float64)
+        give_back()
+        return pa.table({"cell": np.arange(len(cells)), "total": cells * len(pairs), "mass": np.full(len(cells), len(pairs), np.int64)})
+
+    keys = vocab.filter("n_train > 0").select("key", "n_train", F.pmod(F.xxhash64("key", F.lit(3)), F.lit(shards)).alias("shard"))
+    parts = keys.groupBy("shard").applyInArrow(learn, "cell long, total double, mass long").filter("mass > 0")
     return parts.groupBy("cell").agg((F.sum("total") / F.sum("mass")).alias("value"))
 
 
@@ -681,7 +687,7 @@ def score_texts(docs: DataFrame) -> DataFrame:
     first_counts = np.zeros(CLASSES * 256)
     first_counts[[int.from_bytes(bytes(r["key"])[2:]) for r in pairs]] = [r["n_train"] for r in pairs]
     firsts = first_byte_scores(first_counts.reshape(CLASSES, 256)).reshape(-1)
-    learned = head_parts(vocab, spark.sparkContext.broadcast((tables.logit, tables.seen))).toPandas().sort_values("cell")  # a row a cell
+    learned = head_parts(vocab, spark.sparkContext.broadcast((tables.logit, tables.seen)), n_keys).toPandas().sort_values("cell")  # a row a cell
     head = Mixer() if learned.empty else Mixer().set_cells(learned["value"].to_numpy())
     shared = spark.sparkContext.broadcast((tables.logit, tables.seen, head))
 

@@ -274,3 +274,19 @@ def test_licenses(spark, sf):
     assert (got[14].n_base, got[14].base_labels, got[14].first_word) == (3, "cc-by,gpl,reserved", 2) and "cc-by-4.0" in got[14].labels
     assert (got[2].n_words, got[2].first_word, got[2].labels) == (0, None, "")
     assert licenses.scan("nothing here", {})[1] == 0 and pii.luhn("4111111111111111")
+
+
+def test_scores_are_the_same_on_any_partitioning(spark):
+    """4 partitions, and 32 without adaptive execution."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    one = {r.doc_id: r.score for r in lm.score_texts(docs).collect()}
+    names = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")
+    before = [spark.conf.get(k) for k in names]
+    try:
+        for k, v in zip(names, ("32", "false"), strict=True):
+            spark.conf.set(k, v)
+        other = {r.doc_id: r.score for r in lm.score_texts(docs.repartition(7)).collect()}
+    finally:
+        for k, v in zip(names, before, strict=True):
+            spark.conf.set(k, v)
+    assert one.keys() == other.keys() and all(math.isclose(one[k], other[k], rel_tol=1e-6) for k in one)
