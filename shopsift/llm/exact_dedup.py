@@ -208,19 +208,25 @@ def exact_duplicates(docs: DataFrame, historical: Column | None = None, id_col:
 
 
 def keep_distinct(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, with all columns; of rows that repeat doc_id and text alike, one.
+    """The rows of ``docs`` that stay, with all columns: of equal texts one row.
 
-    Of a group whose longest texts all lack an id, one of those stays.
+    It is the one with most code points, then the smallest doc_id, a null id last;
+    of rows that repeat that id with an equal text, the longest and then smallest
+    text. Rows are known by id and digest together, so those that share an id but
+    not the text stay or go each for itself.
     """
-    found = cut(exact_duplicates(docs))
-    kept = found.filter("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    repeated = found.filter("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id")
-    stay = docs.join(kept, "doc_id", "left_semi")
-    once = stay.join(repeated, "doc_id", "left_anti")
-    ided = once.unionByName(stay.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(*docs.columns)
-
-    without = found.filter("keep_id IS NULL").select(F.col("text_sha256").alias("__digest")).distinct()
-    text = F.coalesce("text", F.lit(""))
-    rows = docs.filter("doc_id IS NULL").select(F.lower(F.hex(normal_digest(F.col("text")))).alias("__digest"), F.struct((-F.char_length(text)).alias("p"), text.alias("t")).alias("__order"), F.struct(*docs.columns).alias("__row"))
-    best = rows.join(without, "__digest", "left_semi").groupBy("__digest").agg(F.min_by("__row", "__order").alias("__row"))
-    return ided.unionByName(best.select(*[F.col("__row")[c].alias(c) for c in docs.columns]))
+    kept = cut(exact_duplicates(docs).filter("kept").groupBy("text_sha256", "doc_id").count())
+    mark = "__" + "_" * max(map(len, docs.columns))
+    digest, own = f"{mark}digest", f"{mark}own"
+    winners = kept.select(F.unhex("text_sha256").alias(digest), F.col("doc_id").alias(own), "count")
+    rows = docs.withColumn(digest, normal_digest(F.col("text")))
+    same = lambda some: (rows[digest] == some[digest]) & rows["doc_id"].cast("long").eqNullSafe(some[own])
+    once = winners.filter("count = 1")
+    stay = rows.join(once, same(once), "left_semi").select(*docs.columns)
+    several = winners.filter("count > 1")
+    if several.isEmpty():
+        return stay
+    row = F.struct(*docs.columns).alias(f"{mark}row")
+    order = F.struct((-F.char_length(F.coalesce("text", F.lit("")))).alias("p"), F.coalesce("text", F.lit("")).alias("t"), F.to_json(F.struct(*docs.columns)).alias("j"))
+    best = rows.join(several, same(several), "left_semi").groupBy(digest).agg(F.min_by(row, order).alias(f"{mark}row"))
+    return stay.unionByName(best.select(*[F.col(f"{mark}row")[c].alias(c) for c in docs.columns]))

@@ -243,11 +243,21 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: int = S
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, similarity: int = SIMILARITY) -> DataFrame:
     """The rows of ``docs`` that stay, with all columns: one document of each group.
 
-    A row without an id goes by its text and ranks after all ids; rows without an
-    id that have equal texts count as one document, as rows that repeat an id do.
+    A row without an id, or with one that other texts have too, goes by id and
+    text together and ranks after all other ids. Rows that repeat both count as
+    one document.
     """
-    number = F.lit(1 << 62).bitwiseOR(F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND(F.lit((1 << 62) - 1)))
+    text = F.coalesce("text", F.lit(""))
+    number = F.lit(1 << 62).bitwiseOR(F.xxhash64(text, F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).bitwiseAND(F.lit((1 << 62) - 1)))
     name = "__id" + "_" * max(map(len, docs.columns))
-    numbered = docs.withColumn(name, F.coalesce(F.col("doc_id").cast("long"), number))
+    # Hashes alone are shuffled to find ids of several texts.
+    each = docs.filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias(name)).agg(F.min(F.xxhash64(text)).alias("a"), F.max(F.xxhash64(text)).alias("b"))
+    shared = cut(each.filter("a <> b").select(name))
+    own = F.col("doc_id").cast("long")
+    if shared.isEmpty():
+        numbered = docs.withColumn(name, F.coalesce(own, number))
+    else:
+        both = docs.join(shared.withColumn(f"{name}s", F.lit(True)), docs["doc_id"] == shared[name], "left")
+        numbered = both.select(*[docs[c] for c in docs.columns], F.when(F.col(f"{name}s"), number).otherwise(F.coalesce(own, number)).alias(name))
     kept = near_duplicates(numbered.select(F.col(name).alias("doc_id"), "text"), shingle, similarity).filter("kept").select(F.col("doc_id").alias(name)).distinct()
     return numbered.join(kept, name, "left_semi").select(*docs.columns)

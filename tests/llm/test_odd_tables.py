@@ -78,3 +78,44 @@ def test_language_stage(spark):
     table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
     kept = [r.doc_id for r in language.keep_identified(table.unionByName(spark.createDataFrame(noise, table.schema))).select("doc_id").collect()]
     assert len(kept) == table.filter("text rlike '[a-zA-Z]'").count() and max(kept) < 10**9
+
+
+def kept_rows(df):
+    return sorted(map(str, (tuple(r) for r in df.collect())))
+
+
+@pytest.mark.parametrize(
+    "rows,want",
+    [
+        ([(1, "alpha"), (1, "beta")], [(1, "alpha"), (1, "beta")]),
+        ([(0, "x"), (1, "x"), (1, "y")], [(0, "x"), (1, "y")]),
+        ([(1, "a b"), (1, "a  b"), (2, "a b")], [(1, "a  b")]),
+        ([(1, "a"), (1, "a"), (None, "a"), (None, "b"), (None, "b"), (3, None), (4, "")], [(1, "a"), (None, "b"), (3, None)]),
+        ([], []),
+    ],
+)
+def test_exact_dedup_stage_goes_by_id_and_text(spark, rows, want):
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("digest", exact_dedup.F.lit("clash"))
+    assert kept_rows(exact_dedup.keep_distinct(docs).drop("digest")) == sorted(map(str, want))
+
+
+def test_near_dedup_stage_goes_by_id_and_text(spark):
+    words = [f"w{i}" for i in range(80)]
+    one, near, other = " ".join(words), " ".join(words + ["more"]), " ".join(f"x{i}" for i in range(50))
+    keep = lambda rows: kept_rows(near_dedup.keep_one(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert keep([(1, one), (1, other)]) == sorted(map(str, [(1, one), (1, other)]))
+    # Ids of several texts rank last, so of the two near texts the one with an id of its own stays.
+    assert keep([(1, one), (1, other), (5, near)]) == sorted(map(str, [(1, other), (5, near)]))
+    assert keep([(2, one), (5, near), (None, other)]) == sorted(map(str, [(2, one), (None, other)]))
+    assert keep([]) == []
+
+
+def test_pipeline_on_odd_tables(spark, folders, tmp_path):
+    import corpus_pipeline
+
+    plain, clashing = (kept_rows(corpus_pipeline.run(spark, f)) for f in folders)
+    assert plain == clashing and plain
+    empty = tmp_path / "empty"
+    for name in ("documents", "benchmark"):
+        spark.read.parquet(f"{folders[0]}/{name}.parquet").limit(0).write.parquet(f"{empty}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(empty)).collect() == []
