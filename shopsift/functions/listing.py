@@ -146,7 +146,7 @@ def error_kind(message: Column) -> Column:
 
 
 def friendly_message(message: Column, service: str = "the scraping service") -> Column:
-    """What a user is told of an error, by :func:`error_kind`."""
+    """What a user is told of an error, by :func:`error_kind`; our own wording."""
     kind = error_kind(message)
     told = F.when(kind == "credits", f"Out of credits at {service}").when(kind == "key", f"The key of {service} is invalid or missing")
     told = told.when(kind == "rate", "Rate limit hit — wait a few minutes and try again").when(kind == "timeout", F.concat(F.lit("Request timed out scraping "), F.substring(message, 1, 80)))
@@ -154,6 +154,7 @@ def friendly_message(message: Column, service: str = "the scraping service") ->
 
 
 def connection_message(message: Column) -> Column:
+    """What a failed connection test says; the texts are fixed values."""
     low = F.lower(message)
     return (
         F.when(contains_any(message, "401") | contains_any(low, "unauthorized"), "Invalid API key (401 Unauthorized)")
@@ -174,12 +175,14 @@ def duration_text(seconds: Column) -> Column:
 
 
 def badge_text(status: Column, message: Column) -> Column:
+    """The word on a site's badge; a fixed value each."""
     low = F.lower(F.coalesce(message, F.lit("")))
     failed = F.when(F.contains(low, F.lit("credit")), "No Credits").when(F.contains(low, F.lit("rate limit")), "Rate Limited").when(contains_any(low, "timed out", "timeout"), "Timed Out").otherwise("Failed")
     return F.when(status == "Failed", failed).when(status.isin("Done", "Running"), status).otherwise("Queued")
 
 
 def done_text(saved: Column, known: Column, found: Column) -> Column:
+    """The line of a finished site; the texts are fixed values."""
     return (
         F.when((saved == 0) & (known == 0) & (found == 0), "No products found on this site")
         .when((known > 0) & (saved == 0), F.format_string("%d already in DB — all up to date", known))
@@ -203,7 +206,8 @@ def run_summary(saved: Column, known: Column, sites: Column, any_failed: Column)
     """The text under a finished run; its wording is a fixed value."""
     head = F.concat(F.when(any_failed, "⚠️ ").otherwise("✅ "), F.regexp_replace(plural(saved, "new product"), "$", " found across "), plural(sites, "site"))
     note = F.when((saved == 0) & (known > 0), F.concat(F.lit(" Everything was already up to date — "), plural(known, "product"), F.lit(" matched existing entries.")))
-    return F.concat(head, F.coalesce(note, F.lit("")))
+    warning = F.when(any_failed, F.lit(" One or more sites had issues — see the cards below for details."))
+    return F.concat(head, F.coalesce(note, F.lit("")), F.coalesce(warning, F.lit("")))
 
 
 def raw_price(text: Column) -> Column:

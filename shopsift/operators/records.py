@@ -183,6 +183,11 @@ def listing_runs(pages: DataFrame, sites: DataFrame) -> DataFrame:
     return sites.select("site").distinct().join(ended, "site", "left").select("site", F.coalesce("status", F.lit("Done")).alias("status"), "log", F.coalesce("last_page", F.lit(0).cast("long")).alias("last_page"))
 
 
+def dump_json(rows: DataFrame, path: str) -> None:
+    """A file of JSON lines for each task, values that are null as null."""
+    rows.select(F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}).alias("value")).write.text(path)
+
+
 def list_view(rows: DataFrame, sort_field: str = "creation", descending: bool = True, page_length: int = 20) -> DataFrame:
     """The first page of a list as its view shows it, ties by name."""
     return rows.orderBy(F.desc(sort_field) if descending else F.asc(sort_field), "name").limit(page_length)

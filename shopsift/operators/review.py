@@ -38,6 +38,11 @@ def page_count(products: DataFrame, status: str = "", page_size: int = 24) -> Da
     return counts.select("total", F.ceil(F.col("total") / page_size).cast("long").alias("pages"))
 
 
+def status_error(status: Column) -> Column:
+    """What is wrong with a status that a row is to be set to, null if nothing is."""
+    return F.when(F.coalesce(status.isin(*STATUSES), F.lit(False)), F.lit(None)).otherwise(F.concat(F.lit("Invalid status: "), F.coalesce(status, F.lit("none"))))
+
+
 def set_status(products: DataFrame, ids: DataFrame, status: str) -> DataFrame:
     """A new snapshot with the status of the ``ids`` set."""
     if status not in STATUSES:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import listing
 from ..operators import records, review, tables
+from ..shared import new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -98,7 +99,11 @@ def add_sites(t):
 
 @query("SELECT to_json({'p_partkey': p_partkey, 'p_name': p_name, 'p_brand': p_brand}) AS line FROM part")
 def json_lines(t):
-    return t("part").select(F.to_json(F.struct("p_partkey", "p_name", "p_brand")).alias("line"))
+    """The lines of the dump as they were written."""
+    part = t("part")
+    path = new_folder(part.sparkSession, "dump")
+    records.dump_json(part.select("p_partkey", "p_name", "p_brand"), path)
+    return part.sparkSession.read.text(path).select(F.col("value").alias("line"))
 
 
 @query("""WITH u AS (SELECT min(c_custkey) AS first FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)),
@@ -174,10 +179,9 @@ def price_modal(t):
     return t("part").select("p_partkey", listing.raw_price(F.concat(text("p_size"), F.lit(".5"))).alias("shown"))
 
 
-@query("SELECT p_partkey, 'run-1' AS scrape_id, TIMESTAMP '2024-05-01 10:00:00' AS scraped_at, 32 AS id_length FROM part")
+@query("""SELECT p_partkey, 'run-1' AS scrape_id, TIMESTAMP '2024-05-01 10:00:00' AS scraped_at, substr(sha256('run-1|{"p_partkey":' || p_partkey || ',"p_name":"' || p_name || '"}'), 1, 32) AS id FROM part""")
 def run_stamps(t):
-    rows = records.with_run(t("part").select("p_partkey", "p_name"), "run-1", "2024-05-01 10:00:00")
-    return rows.select("p_partkey", "scrape_id", "scraped_at", F.length("id").alias("id_length"))
+    return records.with_run(t("part").select("p_partkey", "p_name"), "run-1", "2024-05-01 10:00:00").select("p_partkey", "scrape_id", "scraped_at", "id")
 
 
 @query("""SELECT s_suppkey, CASE s_suppkey % 6 WHEN 1 THEN s_name WHEN 2 THEN 'a|b' WHEN 3 THEN 'one' ELSE 'x|y|z' END AS names FROM supplier""")
@@ -190,7 +194,8 @@ def site_arguments(t):
 
 @query("""WITH r AS (SELECT user_id, count(*) FILTER (event_type = 'purchase') AS saved, count(*) FILTER (event_type = 'click') AS known, count(DISTINCT event_type) AS sites, bool_or(event_type = 'error') AS failed FROM events GROUP BY 1)
 SELECT user_id, CASE WHEN failed THEN '⚠️ ' ELSE '✅ ' END || saved || ' new product' || CASE WHEN saved <> 1 THEN 's' ELSE '' END || ' found across ' || sites || ' site' || CASE WHEN sites <> 1 THEN 's' ELSE '' END
-|| CASE WHEN saved = 0 AND known > 0 THEN ' Everything was already up to date — ' || known || ' product' || CASE WHEN known <> 1 THEN 's' ELSE '' END || ' matched existing entries.' ELSE '' END AS summary FROM r""")
+|| CASE WHEN saved = 0 AND known > 0 THEN ' Everything was already up to date — ' || known || ' product' || CASE WHEN known <> 1 THEN 's' ELSE '' END || ' matched existing entries.' ELSE '' END
+|| CASE WHEN failed THEN ' One or more sites had issues — see the cards below for details.' ELSE '' END AS summary FROM r""")
 def run_summary(t):
     kind = F.col("event_type")
     runs = t("events").groupBy("user_id").agg(F.count_if(kind == "purchase").alias("saved"), F.count_if(kind == "click").alias("known"), F.count_distinct(kind).alias("sites"), F.bool_or(kind == "error").alias("failed"))
@@ -220,9 +225,11 @@ def html_escape_without_quotes(t):
     return t("pages").select("page_id", F.md5(listing.html_escape(F.col("html"), quotes=False)).alias("escaped_md5"))
 
 
-@query("SELECT p_partkey, p_name AS decoded FROM part")
+@query("SELECT page_id, md5(base64(encode(html))) AS encoded_md5, md5(html) AS decoded_md5 FROM pages")
 def base64_round_trip(t):
-    return t("part").select("p_partkey", F.decode(F.unbase64(F.base64(F.encode("p_name", "utf-8"))), "utf-8").alias("decoded"))
+    # Spark breaks no lines here, as its base64 takes the session's setting for that.
+    encoded = F.regexp_replace(F.base64(F.encode("html", "utf-8")), r"\r\n", "")
+    return t("pages").select("page_id", F.md5(encoded).alias("encoded_md5"), F.md5(F.decode(F.unbase64(encoded), "utf-8")).alias("decoded_md5"))
 
 
 @query("""WITH s AS (SELECT DISTINCT p_brand AS name FROM part WHERE p_size <= 1), m AS (SELECT DISTINCT p_brand AS name FROM part WHERE p_brand <> '' AND p_brand NOT IN (SELECT name FROM s))
@@ -238,12 +245,13 @@ def listing_page_urls(t):
 
 
 @query("""SELECT o_orderkey AS id, o_orderpriority AS categories, CASE o_orderstatus WHEN 'P' THEN 'Pending' WHEN 'F' THEN 'Kept' ELSE 'Skipped' END AS review_status, c_name AS product_name, '' AS sku, 'http://' || o_orderkey AS source_product_url,
-CAST(o_custkey AS VARCHAR) AS source_site, '$' || o_totalprice AS source_price, o_orderdate AS scraped_at, '' AS product_image_url FROM orders LEFT JOIN customer ON c_custkey = o_custkey WHERE o_custkey = 3 ORDER BY o_orderdate DESC NULLS LAST, o_orderkey LIMIT 24""")
+CAST(o_custkey AS VARCHAR) AS source_site, '$' || o_totalprice AS source_price, o_orderdate AS scraped_at, '' AS product_image_url, CASE WHEN o_orderkey % 2 = 0 THEN 'note ' || o_orderkey END AS notes FROM orders LEFT JOIN customer ON c_custkey = o_custkey WHERE o_custkey = 3 ORDER BY o_orderdate DESC NULLS LAST, o_orderkey LIMIT 24""")
 def review_cards(t):
     status = F.when(F.col("o_orderstatus") == "P", "Pending").when(F.col("o_orderstatus") == "F", "Kept").otherwise("Skipped")
     rows = t("orders").join(t("customer").select(F.col("c_custkey").alias("o_custkey"), "c_name"), "o_custkey", "left").select(
         F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("categories"), status.alias("review_status"), F.col("c_name").alias("product_name"), F.lit("").alias("sku"), F.concat(F.lit("http://"), text("o_orderkey")).alias("source_product_url"),
         text("o_custkey").alias("source_site"), F.concat(F.lit("$"), text("o_totalprice")).alias("source_price"), F.col("o_orderdate").alias("scraped_at"), F.lit("").alias("product_image_url"),
+        F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("note "), text("o_orderkey"))).alias("notes"),
     )
     return review.queue_page(rows, site="3", status="")
 
@@ -258,3 +266,18 @@ def url_candidates_search(t):
 @query("SELECT count(*) AS created FROM orders WHERE o_orderstatus = 'F'")
 def created_count(t):
     return t("orders").agg(F.count_if(F.col("o_orderstatus") == "F").alias("created"))
+
+
+@query("""SELECT o_orderkey AS id, CASE WHEN o_orderstatus IN ('F', 'P') THEN NULL ELSE 'Invalid status: ' || CASE WHEN o_orderkey % 3 = 0 THEN 'none' ELSE 'Finalized' END END AS error FROM orders""")
+def status_validation(t):
+    status = F.when(F.col("o_orderstatus") == "F", "Kept").when(F.col("o_orderstatus") == "P", "Skipped").when(F.col("o_orderkey") % 3 != 0, "Finalized")
+    return t("orders").select(F.col("o_orderkey").alias("id"), review.status_error(status).alias("error"))
+
+
+@query("""SELECT p_brand AS label FROM part UNION ALL SELECT 'Section' WHERE NOT EXISTS (SELECT 1 FROM part WHERE p_brand = 'Brand#1') UNION ALL SELECT n_name FROM nation WHERE NOT EXISTS (SELECT 1 FROM part WHERE p_brand = 'Brand#1')
+UNION ALL SELECT p_type FROM part WHERE p_type <> 'PROMO' UNION ALL SELECT 'Section'""")
+def sidebar_guard(t):
+    # The first table has the section, so nothing changes; the second lacks it and loses a label.
+    once = records.reinject(t("part").select(F.col("p_brand").alias("label")), ["Brand#2"], t("nation").select(F.col("n_name").alias("label")), "Brand#1")
+    added = t("region").filter("r_regionkey = 0").select(F.lit("Section").alias("label"))
+    return once.unionByName(records.reinject(t("part").select(F.col("p_type").alias("label")), ["PROMO"], added, "Section"))

@@ -1,5 +1,8 @@
 """DuckDB SQL of the catalogue's queries, over the same tables."""
 
+from ..functions.listing import JEWELRY_WORDS
+
+_WORDS = "|".join(JEWELRY_WORDS)
 _KEPT = "SELECT CAST(l_partkey AS VARCHAR) AS item_code, l_orderkey, l_linenumber, l_suppkey, l_extendedprice AS rate, l_shipdate FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')"
 _STATUS = "CASE o_orderstatus WHEN 'P' THEN 'Pending' WHEN 'F' THEN 'Kept' ELSE 'Skipped' END"
 _HOSTS = r"SELECT page_id, url, regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1) AS host FROM pages"
@@ -7,9 +10,9 @@ _CLEAN = r"""substr(regexp_replace(regexp_replace(url, '[?#].*$', ''), ';[^/]*$'
 
 SQL: dict[str, str] = {
     "site_stats": "SELECT s_suppkey, s_name, count(l_suppkey) AS total_products, max(l_shipdate) AS last_scraped FROM supplier LEFT JOIN lineitem ON s_suppkey = l_suppkey GROUP BY 1, 2",
-    "site_stats_with_zero": "SELECT s_suppkey, s_name, count(l_suppkey) AS total_products, max(l_shipdate) AS last_scraped FROM supplier LEFT JOIN lineitem ON s_suppkey = l_suppkey AND l_returnflag = 'R' AND l_quantity >= 50 GROUP BY 1, 2",
+    "site_stats_with_zero": "SELECT c_custkey AS s_suppkey, c_name AS s_name, count(l_suppkey) AS total_products, max(l_shipdate) AS last_scraped FROM customer LEFT JOIN lineitem ON c_custkey = l_suppkey GROUP BY 1, 2",
     "collections_counts": "SELECT o_orderkey, o_orderdate, count(l_orderkey) AS item_count FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1, 2",
-    "collection_items_priced": "SELECT l.l_orderkey, l.l_linenumber, l.l_suppkey, l.l_shipdate, l.l_partkey AS p_partkey, i.p_name, p.p_retailprice AS price_list_rate FROM lineitem l LEFT JOIN part i ON i.p_partkey = l.l_partkey LEFT JOIN part p ON p.p_partkey = l.l_partkey AND p.p_type = 'PROMO'",
+    "collection_items_priced": "SELECT l.l_orderkey, l.l_linenumber, l.l_suppkey, l.l_shipdate, l.l_partkey AS p_partkey, i.p_name, p.p_retailprice AS price_list_rate, CASE WHEN p.p_partkey IS NOT NULL THEN 'USD' END AS currency FROM lineitem l LEFT JOIN part i ON i.p_partkey = l.l_partkey LEFT JOIN part p ON p.p_partkey = l.l_partkey AND p.p_type = 'PROMO'",
     "run_log_report": "SELECT l_orderkey, l_suppkey, count(*) AS products, min(l_shipdate) AS scraped_at FROM lineitem GROUP BY 1, 2",
     "review_queue_page": f"SELECT o_orderkey AS id, {_STATUS} AS review_status, o_orderpriority AS categories, o_orderdate AS scraped_at FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority ILIKE '%urgent%' ORDER BY o_orderdate DESC NULLS LAST, o_orderkey LIMIT 24 OFFSET 24",
     "review_queue_search": "SELECT p_partkey AS id, p_name AS product_name, p_brand AS sku FROM part WHERE p_name ILIKE '%RING%' OR p_brand ILIKE '%RING%' ORDER BY p_retailprice DESC, p_partkey LIMIT 24",
@@ -36,7 +39,7 @@ r AS (SELECT page, urls, list_filter(urls, lambda u: false) AS seen FROM b WHERE
 UNION ALL SELECT b.page, b.urls, list_distinct(list_concat(r.seen, r.urls)) FROM r JOIN b ON b.page = r.page + 1 WHERE len(list_filter(r.urls, lambda u: NOT list_contains(r.seen, u))) > 0)
 SELECT event_id, e.page, url FROM r JOIN e ON e.page = r.page WHERE NOT list_contains(r.seen, url)""",
     "topup_merge": "WITH l AS (SELECT CAST(r_regionkey AS BIGINT) AS key, 'Brand#' || r_regionkey AS brand FROM region) SELECT * FROM l UNION ALL SELECT min(p_partkey), p_brand FROM part WHERE p_brand NOT IN (SELECT brand FROM l) GROUP BY p_brand",
-    "classify_keyword": r"SELECT p_partkey, regexp_matches(p_type || ' ' || p_name || ' ' || p_brand, '\b(jewelry|jewellery|ring|rings|necklace|necklaces|earring|earrings|bracelet|bracelets|bangle|bangles|anklet|anklets|pendant|pendants|brooch|brooches|chain|chains|charm|charms|cufflink|cufflinks)\b', 'i') AS is_jewelry FROM part",
+    "classify_keyword": rf"SELECT p_partkey, regexp_matches(p_type || ' ' || p_name || ' ' || p_brand, '\b({_WORDS})\b', 'i') AS is_jewelry FROM part",
     "normalize_tags": "SELECT p_partkey, replace(p_type || '_x', '_', ' ') || '|' || trim(translate(p_brand || ' - y', '-', ' ')) AS tags FROM part",
     "strip_html": r"SELECT page_id, md5(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '^\s+|\s+$', '', 'g')) AS description_md5 FROM pages",
     "url_functions": rf"SELECT page_id, regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1) AS base, {_CLEAN} AS clean, 'x' || page_id AS handle, regexp_extract(url, '^([^?#]*)', 1) || '?p=' || (page_id + 1) || regexp_extract(url, '(#.*)$', 1) AS page_url, replace(url, ',', '') AS next, 'http://a.b/products/' || page_id AS product_url, NOT regexp_matches(url, '(/collections/?$|/category/?$|/search|/cart|/account|/blogs|\?|#)') AND regexp_matches(url, '(/products/|/p/[^/]+/|\.html$|/[a-z0-9-]+-by-[a-z0-9-]+)') AS is_product FROM pages",

@@ -15,7 +15,7 @@ import json
 import os
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -77,12 +77,19 @@ def recorded_pages(spark: SparkSession, folder: str) -> DataFrame:
     return read.select("site", "page", F.posexplode("products").alias("seq", "product"))
 
 
-def listings(raw: DataFrame, endpoint: str) -> DataFrame:
-    """Jewelry products with an image, in the normalised columns, of raw rows (site, page, seq, product)."""
+def listings(raw: DataFrame, endpoint: str | Column, stored: DataFrame | None = None) -> DataFrame:
+    """Jewelry products with an image, in the normalised columns, of raw rows (site, page, seq, product).
+
+    Products that their own site has among ``stored`` (site, url) are left out
+    before the classifier is asked; the same URL stored by another site is not.
+    """
+    endpoint = F.lit(endpoint) if isinstance(endpoint, str) else endpoint
     p = F.from_json("product", PRODUCT)
     rows = raw.select("site", "page", "seq", p.alias("p"))
-    rows = rows.withColumn("url", listing.product_url(F.lit(endpoint), F.col("p.handle")))
-    rows = rows.filter((F.col("url") != "") & listing.is_jewelry(F.col("p.product_type"), F.col("p.tags"), F.col("p.title")))
+    rows = rows.withColumn("url", listing.product_url(endpoint, F.col("p.handle"))).filter("url <> ''")
+    if stored is not None:
+        rows = rows.join(stored.select("site", "url").distinct(), ["site", "url"], "left_anti")
+    rows = rows.filter(listing.is_jewelry(F.col("p.product_type"), F.col("p.tags"), F.col("p.title")))
     image = listing.or_else(F.get("p.images", 0)["src"], "")
     variant = F.get("p.variants", 0)
     return rows.filter(image != "").select(
