@@ -35,12 +35,21 @@ def text(c: str):
     return F.col(c).cast("string")
 
 
-#: 64 stores; page n of store s is recorded as page 64 n + s. The links in its HTML are its products.
-STORES = 64
+#: Page n of store s is recorded as page 40 s + n. The links in its HTML are its products.
+PAGES = 40
+
+
+def _site():
+    return F.floor(F.col("page_id") / PAGES).cast("string")
+
+
+def _starts(t) -> DataFrame:
+    first = t("pages").filter(F.col("page_id") % PAGES == 0)
+    return first.select(_site().alias("site"), F.concat(F.lit("http://s"), _site(), F.lit(".example/products.json?page=0")).alias("url"))
 
 
 def _responses(t, product=lambda h, i: F.struct(h.alias("handle")), links='<a href="/([^"]*)"') -> DataFrame:
-    number, store = F.floor(F.col("page_id") / STORES), F.col("page_id") % STORES
+    number, store = F.col("page_id") % PAGES, F.floor(F.col("page_id") / PAGES)
     url = lambda n: F.concat(F.lit("http://s"), store.cast("string"), F.lit(".example/products.json?page="), n.cast("string"))
     size = F.char_length("html")
     handles = F.regexp_extract_all("html", F.lit(links), F.lit(1))
@@ -52,14 +61,14 @@ def _responses(t, product=lambda h, i: F.struct(h.alias("handle")), links='<a hr
     return t("pages").select(url(number).alias("url"), status.alias("status"), F.when(size % 79 == 2, "no JSON").otherwise(body).alias("body"), link.alias("link"))
 
 
-@query(r"""WITH RECURSIVE p AS (SELECT page_id % 64 AS s, page_id // 64 AS n, length(html) AS z, regexp_extract_all(html, '<a href="/([^"]*)"', 1) AS h,
-CASE WHEN length(url) % 37 = 3 THEN 0 WHEN length(html) % 71 = 9 THEN -1 ELSE page_id // 64 + 1 END AS next FROM pages),
+@query(r"""WITH RECURSIVE p AS (SELECT page_id // 40 AS s, page_id % 40 AS n, length(html) AS z, regexp_extract_all(html, '<a href="/([^"]*)"', 1) AS h,
+CASE WHEN length(url) % 37 = 3 THEN 0 WHEN length(html) % 71 = 9 THEN -1 ELSE page_id % 40 + 1 END AS next FROM pages),
 g AS (SELECT s, n, next, h FROM p WHERE z % 89 <> 5 AND z % 79 <> 2 AND z % 83 <> 7 AND len(h) > 0),
 r AS (SELECT s, n, next, h, 1 AS page FROM g WHERE n = 0 UNION ALL SELECT g.s, g.n, g.next, g.h, r.page + 1 FROM r JOIN g ON g.s = r.s AND g.n = r.next WHERE r.next > 0),
 x AS (SELECT s, page, unnest(range(len(h))) AS seq, h FROM r)
 SELECT CAST(s AS VARCHAR) AS site, page, CAST(seq AS INTEGER) AS seq, h[seq + 1] AS handle FROM x""")
 def store_page_chain(t):
-    starts = t("pages").filter(F.col("page_id") < STORES).select(text("page_id").alias("site"), F.concat(F.lit("http://s"), text("page_id"), F.lit(".example/products.json?page=0")).alias("url"))
+    starts = _starts(t)
     products = chains.store_products(_responses(t), starts, ["status", "body", "link"])
     return products.select("site", "page", "seq", F.get_json_object("product", "$.handle").alias("handle"))
 
@@ -195,17 +204,17 @@ def seen_sets(t):
     return seen.decide(rows)
 
 
-@query(r"""WITH RECURSIVE p AS (SELECT page_id % 64 AS s, page_id // 64 AS n, length(html) AS z, regexp_extract_all(html, '<a href="/([a-z]*)"', 1) AS h, CASE WHEN length(url) % 37 = 3 THEN 0 WHEN length(html) % 71 = 9 THEN -1 ELSE page_id // 64 + 1 END AS next FROM pages),
+@query(r"""WITH RECURSIVE p AS (SELECT page_id // 40 AS s, page_id % 40 AS n, length(html) AS z, regexp_extract_all(html, '<a href="/([a-z]*)"', 1) AS h, CASE WHEN length(url) % 37 = 3 THEN 0 WHEN length(html) % 71 = 9 THEN -1 ELSE page_id % 40 + 1 END AS next FROM pages),
 g AS (SELECT s, n, next, h FROM p WHERE z % 89 <> 5 AND z % 79 <> 2 AND z % 83 <> 7 AND len(h) > 0),
 r AS (SELECT s, n, next, h, 1 AS page FROM g WHERE n = 0 UNION ALL SELECT g.s, g.n, g.next, g.h, r.page + 1 FROM r JOIN g ON g.s = r.s AND g.n = r.next WHERE r.next > 0),
 x AS (SELECT CAST(s AS VARCHAR) AS site, page, seq, h[seq + 1] AS handle FROM (SELECT s, page, h, unnest(range(len(h))) AS seq FROM r)),
-k AS (SELECT 's' || (page_id % 64) AS k, regexp_extract(html, '<a href="/([a-z]*)"', 1) AS handle FROM pages WHERE page_id % 9 = 0)
+k AS (SELECT 's' || (page_id // 40) AS k, regexp_extract(html, '<a href="/([a-z]*)"', 1) AS handle FROM pages WHERE page_id % 9 = 0)
 SELECT site, page, CAST(seq AS INTEGER) AS seq, 'http://s' || site || '.example/products/' || handle AS source_product_url, CASE WHEN seq % 3 = 0 THEN 'Gold ring ' ELSE 'Chains ' END || handle AS product_name, 'http://i/' || handle AS product_image_url,
 CASE WHEN seq % 2 = 0 THEN '5.50' ELSE '' END AS price, CASE WHEN seq % 2 = 0 THEN 'sku-' || handle ELSE '' END AS sku, 'a ' || handle AS description, CASE WHEN seq % 3 = 0 THEN 'Hats' ELSE '' END AS category
 FROM x WHERE handle <> '' AND seq % 3 <> 1 AND seq % 5 <> 4 AND NOT EXISTS (SELECT 1 FROM k WHERE k.k = 's' || site AND k.handle = x.handle)""")
 def store_listings(t):
     """The whole store reader: chains of pages, what a site has left out before the classifier, the classifier, an image, the field map."""
-    starts = t("pages").filter(F.col("page_id") < STORES).select(text("page_id").alias("site"), F.concat(F.lit("http://s"), text("page_id"), F.lit(".example/products.json?page=0")).alias("url"))
+    starts = _starts(t)
     none = F.lit(None).cast("array<struct<src:string>>")
     product = lambda h, i: F.struct(
         F.concat(F.when(i % 3 == 0, "Gold ring ").when(i % 3 == 1, "Hat ").otherwise("Chains "), h).alias("title"), h.alias("handle"), F.when(i % 3 == 0, "Hats").alias("product_type"), F.concat(F.lit("<p>a "), h, F.lit("</p>")).alias("body_html"),
@@ -213,7 +222,7 @@ def store_listings(t):
         F.when(i % 2 == 0, F.array(F.struct(F.lit("5.50").alias("price"), F.concat(F.lit("sku-"), h).alias("sku")))).alias("variants"),
     )
     stored = t("pages").filter("page_id % 9 = 0").select(
-        (F.col("page_id") % STORES).cast("string").alias("site"), F.concat(F.lit("http://s"), (F.col("page_id") % STORES).cast("string"), F.lit(".example/products/"), F.regexp_extract("html", '<a href="/([a-z]*)"', 1)).alias("url")
+        _site().alias("site"), F.concat(F.lit("http://s"), _site(), F.lit(".example/products/"), F.regexp_extract("html", '<a href="/([a-z]*)"', 1)).alias("url")
     )
     raw = chains.store_products(_responses(t, product, '<a href="/([a-z]*)"'), starts, ["status", "body", "link"])
     endpoint = F.concat(F.lit("http://s"), F.col("site"), F.lit(".example/products.json"))
