@@ -10,7 +10,8 @@ Archives are files in the shared folder: each is a row of Spark's text sink
 with a file of its own, whose line end is an empty skippable frame. The reader
 takes files with the binaryFile source, loads the dictionary, decodes one frame
 per record and checks the version line, the mandatory headers, the block's
-length, the closing line ends and the block's and payload's digests. A record
+length, the closing line ends and the block's and payload's digests. Archives of
+others may leave out optional fields, use any record ids and hold chunked bodies. A record
 that fails raises ``ValueError`` and with it the job.
 
 Of pages with equal payloads of ``revisit_bytes`` bytes or more, that with the
@@ -134,46 +135,111 @@ def read_frames(data: bytes) -> Iterator[bytes]:
         at = end
 
 
+def header_fields(lines: list[str]) -> dict[str, str]:
+    """Named fields by lower-case name; a line that begins with white space goes on the one before, and of repeated names the first counts."""
+    whole: list[str] = []
+    for line in lines:
+        if line[:1] in (" ", "\t") and whole:
+            whole[-1] += " " + line.strip()
+        else:
+            whole.append(line)
+    fields: dict[str, str] = {}
+    for line in whole:
+        name, colon, value = line.partition(":")
+        if not colon:
+            raise ValueError(f"malformed header {line!r}")
+        fields.setdefault(name.strip().lower(), value.strip())
+    return fields
+
+
+def unchunked(body: bytes) -> bytes:
+    """The bytes of a body in HTTP's chunked coding."""
+    out, at = [], 0
+    while True:
+        end = body.find(b"\r\n", at)
+        size = body[at:end].split(b";")[0].strip() if end >= 0 else b""
+        if not size or size.strip(b"0123456789abcdefABCDEF"):
+            raise ValueError("malformed chunk")
+        n = int(size, 16)
+        if not n:
+            return b"".join(out)
+        out.append(body[end + 2 : end + 2 + n])
+        at = end + 4 + n
+        if body[at - 2 : at] != b"\r\n":
+            raise ValueError("a chunk's length differs")
+
+
+def check_digest(stated: str | None, what: str, *ways: bytes) -> None:
+    """Whether a stated SHA-1, in base 32 or hexadecimal, is that of any of the ``ways`` to take the bytes; other algorithms are not checked."""
+    name, _, value = (stated or "").partition(":")
+    if name.lower() != "sha1":
+        return
+    known = [f(hashlib.sha1(w).digest()).decode() for w in ways for f in (base64.b32encode, base64.b16encode)]
+    if value.upper() not in known:
+        raise ValueError(f"the {what}'s digest differs")
+
+
+def number(text: str) -> int:
+    if not (text.isascii() and text.isdigit()):
+        raise ValueError(f"not a length: {text!r}")
+    return int(text)
+
+
 def parse_record(record: bytes) -> dict:
-    """Headers and payload of a record, validated."""
+    """Headers and payload of a record, validated; whatever is wrong is a ValueError.
+
+    Of a response or revisit: payload (bytes, without HTTP's header and chunks),
+    payload_bytes (of a revisit what its header states, null if it does not) and
+    digest (as stated, else computed; of a revisit null if it is not stated).
+    Records marked as truncated may be shorter than they state.
+    """
     head, sep, rest = record.partition(b"\r\n\r\n")
     lines = head.decode().split("\r\n")
     if not sep or not lines[0].startswith("WARC/1."):
         raise ValueError("no WARC version line")
-    headers = {}
-    for line in lines[1:]:
-        name, colon, value = line.partition(":")
-        if not colon:
-            raise ValueError(f"malformed header {line!r}")
-        headers[name.strip().lower()] = value.strip()
+    headers = header_fields(lines[1:])
     missing = {"warc-type", "warc-record-id", "warc-date", "content-length"} - headers.keys()
     if missing:
         raise ValueError(f"headers are missing: {sorted(missing)}")
-    length = int(headers["content-length"])
+    length = number(headers["content-length"])
     if len(rest) != length + 4 or rest[length:] != b"\r\n\r\n":
         raise ValueError("the block's length differs from Content-Length")
     block = rest[:length]
-    if headers.get("warc-block-digest", "sha1:" + sha1_32(block)) != "sha1:" + sha1_32(block):
-        raise ValueError("the block's digest differs")
+    check_digest(headers.get("warc-block-digest"), "block", block)
     out = {"headers": headers, "type": headers["warc-type"]}
-    if out["type"] in ("response", "revisit"):
+    if out["type"] not in ("response", "revisit"):
+        return out
+    revisit, whole = out["type"] == "revisit", "warc-truncated" not in headers
+    size, coding, payload = None, "", block
+    if block.startswith(b"HTTP/"):
         http, sep, payload = block.partition(b"\r\n\r\n")
-        if not sep:
-            raise ValueError("no HTTP header")
-        fields = dict((a.strip().lower(), b.strip()) for a, _, b in (x.partition(b":") for x in http.split(b"\r\n")[1:]))
-        out["payload_bytes"] = int(fields[b"content-length"])
-        digest = headers["warc-payload-digest"].removeprefix("sha1:")
-        if out["type"] == "response" and (len(payload) != out["payload_bytes"] or sha1_32(payload) != digest):
-            raise ValueError("the payload's length or digest differs")
-        if out["type"] == "revisit" and (payload or "warc-refers-to" not in headers):
-            raise ValueError("a revisit with a payload or without WARC-Refers-To")
-        out["digest"], out["payload"] = digest, payload
+        if not sep and whole and not revisit:
+            raise ValueError("no end of the HTTP header")
+        fields = header_fields(http.decode("latin-1").split("\r\n")[1:])
+        coding = fields.get("transfer-encoding", "").lower()
+        size = number(fields["content-length"]) if "content-length" in fields and "chunked" not in coding else None
+    elif not revisit and "application/http" in headers.get("content-type", "").lower():
+        raise ValueError("no HTTP header")
+    if revisit and payload.strip():
+        raise ValueError("a revisit with a payload")
+    raw = payload
+    if not revisit and "chunked" in coding and whole:
+        payload = unchunked(raw)
+    if not revisit and whole:
+        if size is not None and size != len(payload):
+            raise ValueError("the payload's length differs")
+        check_digest(headers.get("warc-payload-digest"), "payload", payload, raw)  # archives differ in which they take
+    stated = headers.get("warc-payload-digest", "")
+    out["digest"] = stated.removeprefix("sha1:") or (None if revisit else sha1_32(payload))
+    out["payload_bytes"] = size if revisit else len(payload)
+    out["payload"] = payload
     return out
 
 
 def page_of(urn: str | None) -> int | None:
-    value = urn.strip("<>").rpartition(":")[2] if urn else "none"
-    return None if value == "none" else int(value)
+    """The page_id in a record id of :func:`make_record`; null for other ids."""
+    name, _, value = (urn or "").strip("<>").rpartition(":")
+    return int(value) if name == "urn:x-page" and value.lstrip("-").isdigit() else None
 
 
 def write_archives(pages: DataFrame, path: str, revisit_bytes: int = 0, archive_bytes: int = 16 << 20) -> None:
@@ -204,26 +270,31 @@ def write_archives(pages: DataFrame, path: str, revisit_bytes: int = 0, archive_
     archives.write.option("lineSep", EMPTY_FRAME).option("maxRecordsPerFile", 1).text(path)
 
 
-RECORDS = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
+RECORDS = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary, record_id string, refers_to_id string"
 
 
 def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
-    """The records of all archives under ``path``, validated; a revisit's payload is null."""
+    """The responses and revisits of all archives under ``path``, validated; a revisit's payload is null.
+
+    page_id and refers_to are null in archives that :func:`write_archives` did not
+    write; record_id and refers_to_id are the ids as they stand. An archive is read
+    by one task and has 2 GB at most, as Spark's binary files have.
+    """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                columns: list[list] = [[] for _ in range(7)]
+                columns: list[list] = [[] for _ in range(9)]
                 for record in read_frames(batch.column(0)[i].as_py() or b"") if batch.column(0)[i].as_py() else ():
                     got = parse_record(record)
                     if got["type"] not in ("response", "revisit"):
                         continue
                     h = got["headers"]
                     revisit = got["type"] == "revisit"
-                    row = (page_of(h["warc-record-id"]), h.get("warc-target-uri"), got["type"], page_of(h.get("warc-refers-to")), got["payload_bytes"], got["digest"], None if revisit or not payloads else got["payload"])
+                    row = (page_of(h["warc-record-id"]), h.get("warc-target-uri"), got["type"], page_of(h.get("warc-refers-to")), got["payload_bytes"], got["digest"], None if revisit or not payloads else got["payload"], h["warc-record-id"], h.get("warc-refers-to"))
                     for c, v in zip(columns, row, strict=True):
                         c.append(v)
-                types = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
+                types = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.string(), pa.string()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=[x.split()[0] for x in RECORDS.split(", ")])
 
     files = spark.read.format("binaryFile").load(path).select("content")
