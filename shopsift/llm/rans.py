@@ -9,7 +9,7 @@ and the place in the stream are stored every ``EVERY`` steps, so decoding may
 start at any block or checkpoint. Checksums cover each block's ids and bytes.
 
 Coders of all blocks advance in lockstep as numpy vectors. Documents are dealt
-to range partitions by doc_id and files are rows of Spark's text sink with a
+to range partitions by doc_id and the text's beginning; files are rows of Spark's text sink with a
 file each; the number of partitions follows the texts' total length.
 
 Defined results: a null text is empty and has the end id alone; an added token
@@ -39,7 +39,9 @@ LOW = np.uint64(1 << 31)
 LANES, STEPS, EVERY = 256, 1024, 256
 BLOCK = LANES * STEPS
 FILE_TOKENS = 16 * BLOCK
-PARTITION_BYTES = 16_000_000
+#: Bytes of texts that are encoded together, and of a partition at most; a file is written as soon as it is full.
+PARTITION_BYTES, MOST_BYTES = 16_000_000, 256_000_000
+LEAD = 16
 
 
 def frequency_table(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -226,13 +228,19 @@ def gathered(batches: Iterator[pa.RecordBatch], most: int = PARTITION_BYTES) ->
         yield names, pa.concat_arrays(texts)
 
 
+def partitions(size: int, cores: int) -> int:
+    """Of how many partitions texts of ``size`` bytes are: a task encodes its distinct pieces once, so no more than eight a core until they have ``MOST_BYTES``."""
+    return max(cores, min(-(-size // PARTITION_BYTES), 8 * cores), -(-size // MOST_BYTES))
+
+
 def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encode every text, append ``end_id`` and write files under ``path`` in ascending order of doc_id."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     chars = rows.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
-    # A task encodes its distinct pieces once, so there are no more tasks than the texts' size and the cluster ask for.
-    parts = max(rows.sparkSession.sparkContext.defaultParallelism, -(-chars // PARTITION_BYTES))
-    ordered = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
+    parts = partitions(chars, rows.sparkSession.sparkContext.defaultParallelism)
+    # Where many rows share an id, or have none, the texts' beginnings part them; Spark samples 1,000,000 of either at most.
+    lead = F.substring("text", 1, LEAD).alias("lead")
+    ordered = rows.select("*", lead).repartitionByRange(parts, "doc_id", "lead").drop("lead").sortWithinPartitions("doc_id", "text")
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_encoder(tokenizer)
@@ -293,8 +301,11 @@ def id_round_trip(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     path = new_folder(spark, "ids")
     write_ids(docs, path, tokenizer, end_id)
     found = cut(read_ids(spark, path, with_ids=False).drop("ids"))
-    # One row a file, each of millions of ids: the only thing that is put in one order in one place.
+    # Files are put in order within their partition, and one row a partition, each of up to MOST_BYTES, in one place.
     files = found.groupBy("partition", "number").agg(F.sum("n_tokens").alias("n"))
-    before = Window.orderBy("partition", "number").rowsBetween(Window.unboundedPreceding, -1)
-    files = files.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
-    return found.join(files, ["partition", "number"]).select("doc_id", (F.col("base") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32")
+    before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    totals = files.groupBy("partition").agg(F.sum("n").alias("n"))
+    first = totals.select("partition", before(Window.orderBy("partition")).alias("first"))
+    within = files.select("partition", "number", before(Window.partitionBy("partition").orderBy("number")).alias("within"))
+    bases = within.join(first, "partition").select("partition", "number", (F.col("first") + F.col("within")).alias("base"))
+    return found.join(bases, ["partition", "number"]).select("doc_id", (F.col("base") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32")

@@ -290,3 +290,21 @@ def test_scores_are_the_same_on_any_partitioning(spark):
         for k, v in zip(names, before, strict=True):
             spark.conf.set(k, v)
     assert one.keys() == other.keys() and all(math.isclose(one[k], other[k], rel_tol=1e-6) for k in one)
+
+
+def test_rows_that_share_an_id_are_parted_by_their_texts(spark, tmp_path):
+    """Ids that repeat or are missing, in several partitions: rows stand in order of id and text."""
+    docs = spark.createDataFrame([(None if k % 3 else 7, f"{k % 40:03d} text " * 20) for k in range(120)], "doc_id long, text string")
+    path = str(tmp_path / "ids")
+    rans.write_ids(docs, path, P.path("byte_bpe_50k.json"), 2)
+    read = rans.read_ids(spark, path)
+    tok = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    want = [tok.encode(t, add_special_tokens=False).ids + [2] for _, t in sorted((r.doc_id or -1, r.text) for r in docs.collect())]
+    assert [r.ids for r in read.orderBy("partition", "number", "place").collect()] == want
+    assert read.select("partition").distinct().count() > 2
+    got = rans.id_round_trip(docs, P.path("byte_bpe_50k.json"), 2).orderBy("start").collect()
+    assert [r.start for r in got] == [sum(map(len, want[:k])) for k in range(len(want))]
+
+
+def test_partitions_of_token_files():
+    assert [rans.partitions(size, 6) for size in (0, 10**8, 10**9, 10**10, 10**14)] == [6, 7, 48, 48, 390_625]
