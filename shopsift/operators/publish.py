@@ -77,3 +77,26 @@ def _commit(spark: SparkSession, root: str, number: int, content: dict) -> None:
     if fs.exists(target) or not fs.rename(draft, target):
         fs.delete(draft, False)
         raise RuntimeError(f"version {number} is published already; begin again from it")
+
+
+def expire(spark: SparkSession, root: str, keep: int = 2) -> list[int]:
+    """Delete all versions but the last ``keep`` and what failed attempts before those left; returns the versions that went.
+
+    Manifests go first, so a version is readable as long as it is listed. Readers
+    of an old version should be done by then.
+    """
+    known = versions(spark, root)
+    gone, left = known[: max(0, len(known) - keep)], known[max(0, len(known) - keep) :]
+    if not left:
+        return []
+    named = {path for v in left for path in manifest(spark, root, v)["tables"].values()}
+    for v in gone:
+        fs, target = hadoop(spark, f"{root}/manifests/{v}.json")
+        fs.delete(target, False)
+    fs, data = hadoop(spark, f"{root}/data")
+    for status in fs.listStatus(data):
+        name = status.getPath().getName()
+        # Folders of later numbers may be those of a writer that is at work.
+        if int(name.split("-")[0]) <= left[-1] and not any(f"/{name}/" in path for path in named):
+            fs.delete(status.getPath(), True)
+    return gone

@@ -122,6 +122,20 @@ def test_published_together_or_not_at_all(spark, tmp_path):
     assert rows(publish.read_published(spark, root, "y", 1)) == [(1, "A")] and publish.versions(spark, root) == [1, 2]
 
 
+def test_old_versions_expire(spark, tmp_path):
+    root = str(tmp_path / "root")
+    for k in range(4):
+        publish.publish(spark, root, {"in": spark.createDataFrame([(k,)], "k int")}, lambda t: {"x": t["in"]})
+    with pytest.raises(Exception, match="lost"):
+        publish.publish(spark, root, {"in": spark.range(1)}, lambda t: {"x": t["in"].select(F.raise_error(F.lit("lost")).cast("int"))})
+    assert publish.expire(spark, root, keep=2) == [1, 2] and publish.versions(spark, root) == [3, 4]
+    assert [rows(publish.read_published(spark, root, "x", v)) for v in (3, 4)] == [[(2,)], [(3,)]]
+    # What the failed attempt at version 5 left stays until a later version is published.
+    assert sorted(p.name.split("-")[0] for p in (tmp_path / "root" / "data").iterdir()) == ["3", "4", "5"]
+    publish.publish(spark, root, {"in": spark.range(1)}, lambda t: {"x": t["in"]})
+    assert publish.expire(spark, root, keep=1) == [3, 4] and len(list((tmp_path / "root" / "data").iterdir())) == 1
+
+
 def test_two_writers_of_one_version(spark, tmp_path):
     root = str(tmp_path / "root")
     df = spark.createDataFrame([(1,)], "k int")
