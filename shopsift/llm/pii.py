@@ -6,11 +6,14 @@ each: +1, -1 or 0 for no opinion. Votes are counted per pattern over the whole
 corpus in Spark; expectation-maximisation over those counts estimates how far
 each labeler can be trusted on each kind, drawn towards its rates over all kinds
 where a kind has few candidates, and a logistic classifier is fitted to its soft
-labels. The classifier decides which candidates beyond the base rules become
-spans. A text's time follows its length.
+labels. The classifier sees features of the span and of what stands around it
+beside the votes: its length, shares of digits and capitals, variety, the signs
+before and after it and the kind of word before; so it may differ from the votes
+where candidates that look alike are mostly judged otherwise. It decides which
+candidates beyond the base rules become spans. A text's time follows its length.
 
-The number of vote patterns is at most kinds x 3^6 x length classes, whatever
-the corpus, so only that small count table reaches the driver.
+The number of patterns is at most kinds x 3^6 x length classes x ``FEATURES``'
+product, whatever the corpus, so only that bounded count table reaches the driver.
 
 Defined results: a null text is empty; an empty text has no spans; an empty
 table gives an empty result; repeated rows give repeated results; a null doc_id
@@ -201,6 +204,30 @@ def votes(text: str, kind: str, start: int, end: int, valid: bool) -> str:
     return "".join("-0+"[v + 1] for v in (form, checksum, gazetteer, context, -1 if glued else 1, variety))
 
 
+#: How many values each feature of :func:`features` has.
+FEATURES = (4, 3, 3, 3, 4, 4, 4)
+
+
+def _share(part: int, whole: int) -> int:
+    return 0 if not part else 3 if part == whole else 1 if 2 * part < whole else 2
+
+
+def _sign(c: str) -> int:
+    return 0 if not c else 1 if c.isspace() else 2 if c in "\"'([{<=:" or c in ".,;!?)]}>" else 3
+
+
+def features(text: str, start: int, end: int) -> str:
+    """A span and its surroundings as a digit each: length, digits, capitals, variety, sign before, sign after, word before."""
+    span = text[start : min(end, start + 256)]
+    n = len(span)
+    capitals, kinds = _share(sum(c.isupper() for c in span), n), len(set(span))
+    word = text[max(0, start - 24) : start].split()[-1:]
+    before = 0 if not word else 1 if word[0][-1] in ":=" else 2 if word[0][:1].isupper() else 3
+    digits = _share(sum(c.isdigit() for c in span), n)
+    values = (min((end - start) // 8, 3), min(digits, 2), min(capitals, 2), 0 if kinds < 6 else 1 if kinds < 12 else 2, _sign(text[start - 1 : start]), _sign(text[end : end + 1]), before)
+    return "".join(map(str, values))
+
+
 FOUND = "doc_id {id}, candidates array<struct<kind:string,start:int,end:int,valid:boolean,pattern:string>>"
 
 
@@ -211,7 +238,7 @@ def _find():
         rows = []
         for text in batch.column(1).to_pylist():
             rows.append([
-                {"kind": k, "start": s, "end": e, "valid": v, "pattern": f"{k}|{votes(text, k, s, e, v)}|{min((e - s) // 8, 3)}"}
+                {"kind": k, "start": s, "end": e, "valid": v, "pattern": f"{k}|{votes(text, k, s, e, v)}|{features(text, s, e)}"}
                 for k, s, e, v in candidates(text)
             ])
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, kind_type)], names=["doc_id", "candidates"])
@@ -222,7 +249,7 @@ def _find():
 def estimate(counts: dict[str, int], rounds: int = 40, pull: float = 20.0) -> dict[str, float]:
     """EM over vote patterns, then a logistic classifier on its soft labels.
 
-    ``counts``: how often each pattern ``kind|votes|length class`` occurs.
+    ``counts``: how often each pattern ``kind|votes|features`` occurs.
     ``pull``: candidates' worth of the rates over all kinds in those of a kind.
     Returns the classifier's probability for each pattern.
     """
@@ -232,7 +259,7 @@ def estimate(counts: dict[str, int], rounds: int = 40, pull: float = 20.0) -> di
     weight = np.array([counts[k] for k in keys], float)
     kind = np.array([KINDS.index(k.split("|")[0]) for k in keys])
     vote = np.array([["-0+".index(c) for c in k.split("|")[1]] for k in keys])
-    length = np.array([int(k.split("|")[2]) for k in keys])
+    seen = np.array([list(map(int, k.split("|")[2])) for k in keys])
     y = 1 / (1 + np.exp(-(vote - 1).sum(1).astype(float)))  # majority vote to begin with
     for _ in range(rounds):
         prior = np.array([(0.5 + (weight * y)[kind == k].sum()) / (1 + weight[kind == k].sum()) for k in range(len(KINDS))])
@@ -249,7 +276,8 @@ def estimate(counts: dict[str, int], rounds: int = 40, pull: float = 20.0) -> di
             effect[:, 0], effect[:, 2] = np.minimum(effect[:, 0], 0.0), np.maximum(effect[:, 2], 0.0)
             odds += effect[kind, vote[:, j]]
         y = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
-    columns = [np.ones(len(keys))] + [(kind == k).astype(float) for k in range(len(KINDS))] + [(vote[:, j] == v).astype(float) for j in range(vote.shape[1]) for v in (0, 2)] + [(length == v).astype(float) for v in range(4)]
+    columns = [np.ones(len(keys))] + [(kind == k).astype(float) for k in range(len(KINDS))] + [(vote[:, j] == v).astype(float) for j in range(vote.shape[1]) for v in (0, 2)]
+    columns += [(seen[:, j] == v).astype(float) for j, many in enumerate(FEATURES) for v in range(many)]
     x = np.stack(columns, 1)
     w = np.zeros(x.shape[1])
     for _ in range(30):  # Newton steps with a ridge
@@ -270,7 +298,7 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     id_type = dict(source.dtypes)["doc_id"]
     found = cut(per_batch(source, _find, FOUND.format(id=id_type)))
     counts = found.select(F.explode("candidates").alias("c")).groupBy("c.pattern").count()
-    chance = {r["pattern"]: r["count"] for r in counts.collect()}  # at most kinds x 3^6 x 4 rows
+    chance = {r["pattern"]: r["count"] for r in counts.collect()}  # bounded by votes and features
     chance = estimate(chance)
     span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("probability", pa.float64())]))
 
