@@ -200,6 +200,24 @@ def retry_waits(failures: DataFrame, message: str, step: int = 10, attempts: int
     return rows.withColumn("seconds", F.when(waits, F.col("attempt") * step).otherwise(0))
 
 
+def after_retries(attempts: DataFrame, by: list[str], step: int = 10, most: int = 3) -> DataFrame:
+    """(by, attempts, waited, error): how each call ends, of the recorded ``attempts`` (by, attempt from 1 up, error).
+
+    A call ends with its first attempt that succeeds (a null error) or fails for
+    another reason than one to wait for, else with its last, the ``most``th at the
+    latest; later ones are as if they had not been. After each that is waited for
+    ``step`` seconds more pass, after the last too. Attempts combine before the
+    shuffle.
+    """
+    wait = F.coalesce(retry_class(F.col("error")) == "wait", F.lit(False))
+    end = F.struct("attempt", "error")
+    found = attempts.filter(F.col("attempt") <= most).groupBy(*by).agg(F.min(F.when(~wait, end)).alias("end"), F.max(end).alias("last"))
+    n = F.coalesce("end.attempt", "last.attempt")
+    waits = F.when(F.col("end").isNotNull(), n - 1).otherwise(n)
+    error = F.when(F.col("end").isNotNull(), F.col("end.error")).otherwise(F.col("last.error"))
+    return found.select(*by, n.alias("attempts"), (step * waits * (waits + 1) / 2).cast("long").alias("waited"), error.alias("error"))
+
+
 def lookup(parameters: DataFrame, logs: DataFrame, argument: str, by: list[str]) -> DataFrame:
     """A row for each entry of a JSON map (site to log's name) in column ``argument``, with that log's columns; (by, site, log_name, status, ...).
 

@@ -227,3 +227,14 @@ def store_listings(t):
     raw = chains.store_products(_responses(t, product, '<a href="/([a-z]*)"'), starts, ["status", "body", "link"])
     endpoint = F.concat(F.lit("http://s"), F.col("site"), F.lit(".example/products.json"))
     return listings(raw, endpoint, stored)
+
+
+@query("""WITH a AS (SELECT page_id, n AS attempt, CASE (length(html) + 7 * n * n) % 6 WHEN 0 THEN 'HTTP 429: ' WHEN 1 THEN 'Read timed out' WHEN 2 THEN 'HTTP 500: ' WHEN 3 THEN 'HTTP 429: ' WHEN 4 THEN 'Rate limit' END AS error FROM pages, range(1, 5) r(n)),
+e AS (SELECT page_id, coalesce(min(attempt) FILTER (error IS NULL OR error = 'HTTP 500: '), 4) AS stop FROM a GROUP BY page_id),
+f AS (SELECT page_id, least(stop, 3) AS attempts, CASE WHEN stop <= 3 THEN stop - 1 ELSE 3 END AS waits FROM e)
+SELECT f.page_id, attempts, CAST(5 * waits * (waits + 1) AS BIGINT) AS waited, error FROM f JOIN a ON a.page_id = f.page_id AND a.attempt = f.attempts""")
+def page_retries(t):
+    kind = (F.char_length("html") + 7 * F.col("attempt") * F.col("attempt")) % 6
+    error = F.when(kind.isin(0, 3), "HTTP 429: ").when(kind == 1, "Read timed out").when(kind == 2, "HTTP 500: ").when(kind == 4, "Rate limit")
+    attempts = t("pages").select("page_id", "html", F.explode(F.sequence(F.lit(1), F.lit(4))).alias("attempt")).select("page_id", "attempt", error.alias("error"))
+    return records.after_retries(attempts, ["page_id"])

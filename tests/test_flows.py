@@ -358,3 +358,11 @@ def test_registry_keeps_what_runs_set(spark):
 def test_strip_takes_no_break_spaces(spark):
     df = spark.createDataFrame([("   a b \x85　\n",)], "v string")
     assert df.select(listing.strip(F.col("v"))).first()[0] == "a b"
+
+
+def test_calls_end_by_their_attempts(spark):
+    wait, bad, credits = "HTTP 429: ", "HTTP 500: ", "HTTP 402: Payment Required"
+    calls = {"a": [None], "b": [wait, None], "c": [wait, wait, wait], "d": [wait, wait, wait, None], "e": [bad, None], "f": [wait, credits, None], "g": [wait]}
+    want = {"a": (1, 0, None), "b": (2, 10, None), "c": (3, 60, wait), "d": (3, 60, wait), "e": (1, 0, bad), "f": (2, 10, credits), "g": (1, 10, wait)}
+    df = spark.createDataFrame([(k, n, e) for k, errors in calls.items() for n, e in enumerate(errors, 1)], "call string, attempt int, error string")
+    assert rows(records.after_retries(df, ["call"])) == sorted((k, *v) for k, v in want.items())
