@@ -64,10 +64,17 @@ Permission is granted to anyone to use this software for any purpose, including
     "apache-2.0-header": """<<beginOptional>> copyright <<var;max=20>> <<endOptional>> Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at
 <<var;max=8>> Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
 See the License for the specific language governing permissions and limitations under the License.""",
+    "mpl-2.0-header": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this <<var;max=4>> You can obtain one at <<beginOptional>> http <<endOptional>> <<beginOptional>> https <<endOptional>> mozilla.org/MPL/2.0/""",
     "gpl-header": """This <<var;max=8>> is free software <<beginOptional>> you can redistribute it and/or modify it <<endOptional>> under the terms of the GNU General Public License as published by the Free Software Foundation <<beginOptional>> either <<endOptional>> version <<var;max=1>> of the License
 <<beginOptional>> or (at your option) any later version <<endOptional>>. This <<var;max=8>> is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.""",
 }
-TEMPLATES = NOTICES | TEXTS
+#: Identifiers of licenses as words, in a file's one-line tag.
+IDENTIFIERS = {
+    "mit": "mit", "isc": "isc", "zlib": "zlib", "apache-2.0": "apache 2 0", "bsd-2-clause": "bsd 2 clause", "bsd-3-clause": "bsd 3 clause", "mpl-2.0": "mpl 2 0", "cc0-1.0": "cc0 1 0",
+    "gpl-2.0": "gpl 2 0", "gpl-3.0": "gpl 3 0", "lgpl-2.1": "lgpl 2 1", "lgpl-3.0": "lgpl 3 0", "agpl-3.0": "agpl 3 0",
+}
+TAGS = {f"spdx-{k}": f"spdx license identifier {v}" for k, v in IDENTIFIERS.items()}
+TEMPLATES = NOTICES | TEXTS | TAGS
 
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 MARK = re.compile(r"<<([^>]*)>>|((?:(?!<<).)+)", re.S)

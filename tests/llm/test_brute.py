@@ -229,3 +229,12 @@ def test_classifier_tells_candidates_with_equal_votes_apart():
     counts = {f"secret|{good}|2101110": 500, f"secret|{bad}|2101330": 500, f"secret|{doubtful}|2101110": 5, f"secret|{doubtful}|2101330": 5}
     chance = pii.estimate(counts)
     assert chance[f"secret|{doubtful}|2101110"] > 0.5 > chance[f"secret|{doubtful}|2101330"]
+
+
+def test_identifiers_and_headers(spark):
+    texts = {
+        1: "// SPDX-License-Identifier: GPL-2.0-or-later", 2: "# SPDX-License-Identifier: (MIT)", 3: "SPDX License: MIT", 4: "/* This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/. */",
+        5: "This Source Code Form is not subject to the terms of the Mozilla Public License, v. 2.0.", 6: "SPDX-License-Identifier: Apache-2.1",
+    }
+    got = {r.doc_id: r.labels for r in licenses.scan_licenses(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got == {1: ["spdx-gpl-2.0"], 2: ["spdx-mit"], 3: [], 4: ["mpl-2.0-header"], 5: [], 6: []}
