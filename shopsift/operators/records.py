@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.listing import friendly_message, or_else, page_url, retry_class
-from .tables import merge, new_only, numbered
+from .tables import merge, new_only, numbered, stop_page
 
 #: Fixed value: categories of a site that is added without any.
 DEFAULT_CATEGORIES = "Jewellery, Accessories"
@@ -168,19 +168,19 @@ def normalised_items(pages: DataFrame) -> DataFrame:
     return items.select("site", "page", "seq", or_else(image, "").alias("product_image_url"), *[or_else(value(f"$.{k}"), "").alias(k) for k in ITEM_KEYS])
 
 
-def listing_runs(pages: DataFrame, sites: DataFrame) -> DataFrame:
-    """(site, status, log, last_page): how the run over each site ends, of ``pages`` (site, page, error, ...).
+def listing_runs(pages: DataFrame, sites: DataFrame, most: int = 30) -> DataFrame:
+    """(site, status, log, last_page): how the run over each site ends, of ``pages`` (site, page, error, products).
 
-    A page whose error is of credits ends the run as Failed, with nothing saved.
-    Any other error counts as a page without products, on which reading stops as
-    it does at a missing one, and the run is Done; ``last_page`` is the last page
-    before that, 0 if there is none.
+    Pages are read from 1 to ``most``, up to the first with nothing new; a page
+    that fails has no products and so ends the reading, and the run is Done. If
+    that page's error is of credits the run has Failed, with nothing saved.
+    ``last_page`` is the last page whose products count, 0 if there is none.
     """
-    bad = F.col("error").isNotNull()
-    first = pages.groupBy("site").agg(F.min(F.when(bad, F.struct("page", "error"))).alias("bad"), F.max("page").alias("most"))
-    credits = retry_class(F.col("bad.error")) == "abort"
-    ended = first.select("site", F.when(credits, "Failed").otherwise("Done").alias("status"), F.when(credits, friendly_message(F.col("bad.error"))).alias("log"), F.when(credits, 0).otherwise(F.coalesce(F.col("bad.page") - 1, "most")).cast("long").alias("last_page"))
-    return sites.select("site").distinct().join(ended, "site", "left").select("site", F.coalesce("status", F.lit("Done")).alias("status"), "log", F.coalesce("last_page", F.lit(0).cast("long")).alias("last_page"))
+    stop = stop_page(normalised_items(pages).filter(F.col("page") <= most), "page", "product_source_url", ["site"], 1)
+    ended = sites.select("site").distinct().join(stop, "site", "left").select("site", F.coalesce("__stop", F.lit(1)).cast("long").alias("page"))
+    found = ended.join(pages.filter(F.col("error").isNotNull() & (F.col("page") <= most)).groupBy("site", F.col("page").cast("long").alias("page")).agg(F.min("error").alias("error")), ["site", "page"], "left")
+    failed = F.coalesce(retry_class(F.col("error")) == "abort", F.lit(False))
+    return found.select("site", F.when(failed, "Failed").otherwise("Done").alias("status"), F.when(failed, friendly_message(F.col("error"))).alias("log"), F.when(failed, 0).otherwise(F.col("page") - 1).cast("long").alias("last_page"))
 
 
 def dump_json(rows: DataFrame, path: str) -> None:

@@ -74,26 +74,43 @@ def numbered(df: DataFrame, by: list[str], order: list[str], name: str = "idx")
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("long"))
 
 
+def _first_pages(rows: DataFrame, page: str, key: str, by: list[str], start: int) -> tuple[DataFrame, DataFrame]:
+    """(by, key, __first): the first page of each key; and (by, page): the pages that have something new."""
+    filled = F.coalesce(F.col(key).cast("string"), F.lit("")) != ""
+    read = rows.filter(F.col(page) >= start)
+    first = read.filter(filled).groupBy(*by, key).agg(F.min(page).alias("__first"))
+    return first, first.select(*by, F.col("__first").alias(page)).unionByName(read.filter(~filled).select(*by, page)).distinct()
+
+
+def stop_page(rows: DataFrame, page: str, key: str, by: list[str] | None = None, start: int = 0) -> DataFrame:
+    """(by, __stop): the first page from ``start`` on without a row whose key no earlier page had; rows without a key are always new.
+
+    With ``by``, groups without rows from ``start`` on have no row here.
+    """
+    by = by or []
+    _, fresh = _first_pages(rows, page, key, by, start)
+    # The first page without a new key is the first of all or follows one that has new keys.
+    begin = fresh.select(*by).distinct().withColumn(page, F.lit(start)) if by else rows.sparkSession.range(1).select(F.lit(start).alias(page))
+    after = fresh.select(*by, (F.col(page) + 1).alias(page)).unionByName(begin)
+    return after.join(fresh, [*by, page], "left_anti").groupBy(*by).agg(F.min(page).alias("__stop"))
+
+
 def until_nothing_new(rows: DataFrame, page: str, key: str, last_page: int | None = None, by: list[str] | None = None, start: int = 0) -> DataFrame:
     """What a reader keeps that goes on from page to page until one has nothing new: rows whose key no earlier page had, and rows without a key.
 
-    Reading begins at page ``start`` and stops at the first page, missing ones
-    too, without such rows; a key repeated within its first page stays repeated.
+    Reading begins at page ``start`` and stops at :func:`stop_page`, which a
+    missing page may be; a key repeated within its first page stays repeated.
     With ``by``, each of its groups (such as a site) is read on its own. Pages
     beyond ``last_page``, if it is given, are not kept.
     """
     by = by or []
-    filled = F.coalesce(F.col(key).cast("string"), F.lit("")) != ""
-    first = rows.filter(filled & (F.col(page) >= start)).groupBy(*by, key).agg(F.min(page).alias("__first"))
-    fresh = first.select(*by, F.col("__first").alias(page)).unionByName(rows.filter(~filled & (F.col(page) >= start)).select(*by, page)).distinct()
-    # The first page without a new key is the first of all or follows one that has new keys.
-    begin = fresh.select(*by).distinct().withColumn(page, F.lit(start)) if by else rows.sparkSession.range(1).select(F.lit(start).alias(page))
-    after = fresh.select(*by, (F.col(page) + 1).alias(page)).unionByName(begin)
-    stop = after.join(fresh, [*by, page], "left_anti").groupBy(*by).agg(F.min(page).alias("__stop"))
+    first, _ = _first_pages(rows, page, key, by, start)
+    stop = stop_page(rows, page, key, by, start)
     if last_page is not None:
         stop = stop.withColumn("__stop", F.least("__stop", F.lit(last_page + 1)))
     read = rows.join(stop, by) if by else rows.join(F.broadcast(stop))  # one row
     read = read.filter((F.col(page) >= start) & (F.col(page) < F.col("__stop"))).drop("__stop")
+    filled = F.coalesce(F.col(key).cast("string"), F.lit("")) != ""
     new = read.filter(filled).join(first, [*by, key]).filter(F.col(page) == F.col("__first"))
     return new.select(*rows.columns).unionByName(read.filter(~filled).select(*rows.columns))
 

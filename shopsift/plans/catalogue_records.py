@@ -60,13 +60,15 @@ def listing_page_errors(t):
     return records.listing_pages(_listing_responses(t)).select("page", F.regexp_replace("error", r'^(HTTP \d+: \{"success":true,").*$', "$1").alias("error"))
 
 
-@query(r"""WITH RECURSIVE p AS (SELECT page_id % 32 AS site, page_id // 32 + 1 AS page, length(html) AS z FROM pages),
-e AS (SELECT site, page, CASE WHEN z % 13 = 2 THEN 'credits' WHEN z % 13 = 1 OR z % 11 IN (3, 4) THEN 'other' END AS bad FROM p),
-r AS (SELECT site, page, bad FROM e WHERE page = 1 UNION ALL SELECT e.site, e.page, e.bad FROM r JOIN e ON e.site = r.site AND e.page = r.page + 1 WHERE r.bad IS NULL)
-SELECT site, CASE WHEN bool_or(bad = 'credits') THEN 'Failed' ELSE 'Done' END AS status, CASE WHEN bool_or(bad = 'credits') THEN 'Out of credits at the scraping service' END AS log,
-CASE WHEN bool_or(bad = 'credits') THEN 0 ELSE max(page) - count(bad) END AS last_page FROM r GROUP BY site""")
+@query(r"""WITH RECURSIVE p AS (SELECT page_id % 32 AS site, page_id // 32 + 1 AS page, length(html) AS z, regexp_extract_all(html, '<a href="/([^"\\]*)"', 1) AS h FROM pages),
+i AS (SELECT site, page, z, CASE WHEN z % 13 = 2 THEN 'credits' ELSE '' END AS bad, h, unnest(range(CASE WHEN z % 11 IN (3, 4, 5) OR z % 13 IN (1, 2) THEN 0 ELSE len(h) END + 1)) - 1 AS k FROM p),
+b AS (SELECT site, page, bad, list(CASE WHEN k % 4 = 0 THEN '/' || h[k + 1] ELSE '' END) FILTER (k % 4 = 0 OR k % 4 = 3) AS urls FROM i GROUP BY site, page, bad),
+r AS (SELECT site, page, bad, urls IS NOT NULL AS fresh, coalesce(urls, list_value('')) AS seen FROM b WHERE page = 1
+UNION ALL SELECT b.site, b.page, b.bad, coalesce(len(list_filter(b.urls, lambda u: u = '' OR NOT list_contains(r.seen, u))), 0) > 0, list_concat(r.seen, coalesce(b.urls, list_value(''))) FROM r JOIN b ON b.site = r.site AND b.page = r.page + 1 WHERE r.fresh AND b.page <= 30)
+SELECT site, CASE WHEN bool_or(NOT fresh AND bad = 'credits') THEN 'Failed' ELSE 'Done' END AS status, CASE WHEN bool_or(NOT fresh AND bad = 'credits') THEN 'Out of credits at the scraping service' END AS log,
+CASE WHEN bool_or(NOT fresh AND bad = 'credits') THEN 0 ELSE count(*) FILTER (fresh) END AS last_page FROM r GROUP BY site""")
 def listing_runs(t):
-    pages = records.listing_pages(_listing_responses(t)).select((F.col("page") % 32).alias("site"), (F.floor(F.col("page") / 32) + 1).alias("page"), "error")
+    pages = records.listing_pages(_listing_responses(t)).select((F.col("page") % 32).alias("site"), (F.floor(F.col("page") / 32) + 1).alias("page"), "error", "products")
     return records.listing_runs(pages, pages)
 
 

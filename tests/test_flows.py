@@ -286,12 +286,18 @@ def test_items_are_parsed_one_by_one(spark):
     assert errors == ["Scrape failed: ", "HTTP 404: x", None, None, 'Scrape failed: {"success":"yes?"}']
 
 
-def test_runs_end_on_credits_or_on_a_bad_page(spark):
-    pages = [("a", 1, None), ("a", 2, None), ("b", 1, None), ("b", 2, "HTTP 500: x"), ("b", 3, "HTTP 402: Payment Required"), ("c", 1, None), ("c", 2, "HTTP 402: "), ("d", 1, "HTTP 429: ")]
-    sites = spark.createDataFrame([(s,) for s in "abcde"], "site string")
-    got = records.listing_runs(spark.createDataFrame(pages, "site string, page int, error string"), sites)
-    assert rows(got, "site", "status", "last_page") == [("a", "Done", 2), ("b", "Done", 1), ("c", "Failed", 0), ("d", "Done", 0), ("e", "Done", 0)]
-    assert [r.log for r in got.filter("log IS NOT NULL").collect()] == ["Out of credits at the scraping service"]
+def test_runs_end_where_nothing_is_new_or_on_credits(spark):
+    credits = "HTTP 402: Payment Required"
+    pages = [("a", 1, None, "u"), ("a", 2, None, "v"), ("b", 1, None, "u"), ("b", 2, "HTTP 500: x", None), ("b", 3, credits, None), ("c", 1, None, "u"), ("c", 2, credits, None), ("d", 1, "HTTP 429: ", None)]
+    pages += [("f", 1, None, "u"), ("f", 2, None, "u"), ("f", 3, credits, None), ("g", 1, None, ""), ("g", 2, None, ""), ("h", 2, None, "u"), ("i", 1, credits, None)]
+    pages += [("j", k, None, f"u{k}") for k in range(1, 31)] + [("j", 31, credits, None)]
+    items = lambda u: [] if u is None else [json.dumps({"product_source_url": u})]
+    df = spark.createDataFrame([(s, p, e, items(u)) for s, p, e, u in pages], "site string, page int, error string, items array<string>")
+    df = df.select("site", "page", "error", F.transform("items", F.parse_json).alias("products"))
+    got = records.listing_runs(df, spark.createDataFrame([(s,) for s in "abcdefghij"], "site string"))
+    want = {"a": ("Done", 2), "b": ("Done", 1), "c": ("Failed", 0), "d": ("Done", 0), "e": ("Done", 0), "f": ("Done", 1), "g": ("Done", 2), "h": ("Done", 0), "i": ("Failed", 0), "j": ("Done", 30)}
+    assert {r.site: (r.status, r.last_page) for r in got.collect()} == want
+    assert {r.log for r in got.filter("log IS NOT NULL").collect()} == {"Out of credits at the scraping service"}
 
 
 def test_folded_log_equals_merges_step_by_step(spark):
