@@ -53,8 +53,8 @@ FREQUENT = 100_000
 HEAD = 4  # bytes whose prefixes are hashed
 GATES = 24
 BINS = 33
-LEARN_KEYS = 8_000  # keys of a step of the head's mixers
-HEAD_KEYS = 100_000  # of a shard that one head mixer learns from
+LEARN_HEADS = 2_000  # beginnings of keys in a step of the head's mixers
+HEAD_KEYS = 400_000  # of a shard that one head mixer learns from
 CLASSES = 256  # of previous words
 PRIOR = np.float32(0.05)
 BUCKET_KEYS, BUCKET_TOKENS = 30_000, 300_000
@@ -383,10 +383,21 @@ def learning_weight(n: np.ndarray) -> np.ndarray:
     return np.log2(1 + n)
 
 
-def train_head(keys: list[bytes], n: np.ndarray, tables: Tables, mixer: Mixer) -> None:
+def train_head(keys: list[bytes], weight: np.ndarray, tables: Tables, mixer: Mixer) -> None:
     data, kind, lengths = matrix(keys)
-    weight = learning_weight(n)
-    mixer.learn([(x, g, b, weight[on]) for on, x, g, b in bits(data, kind, lengths, n, tables, 0, HEAD, None)], 1)
+    mixer.learn([(x, g, b, weight[on]) for on, x, g, b in bits(data, kind, lengths, weight, tables, 0, HEAD, None)], 1)
+
+
+def heads(keys: list[bytes], n: list[int]) -> list[tuple[bytes, float]]:
+    """Coded keys that begin alike as one, the shortest, with the sum of their learning weights, in the order of a hash."""
+    found: dict[tuple[int, bytes], list] = {}
+    for key, many in zip(keys, n, strict=True):
+        if is_coded(key):
+            kind, code = coded(key)
+            own = found.setdefault((kind, code[:HEAD]), [(len(key), key), []])
+            own[0] = min(own[0], (len(key), key))
+            own[1].append(many)
+    return [(key, float(learning_weight(np.sort(np.array(many))).sum())) for (_, key), many in sorted(found.values(), key=lambda x: (zlib.crc32(x[0][1]), x[0][1]))]
 
 
 def head_parts(vocab: DataFrame, shared, n_keys: int) -> DataFrame:
@@ -394,21 +405,23 @@ def head_parts(vocab: DataFrame, shared, n_keys: int) -> DataFrame:
 
     A mixer learns from the keys of a shard, of which their hash and the number of
     keys alone decide, in the order of another hash; so the result is the same
-    however rows are dealt to tasks.
+    however rows are dealt to tasks. Keys that begin alike are one step's row with
+    the sum of their weights, which moves the mixer as all of them would.
     """
     shards = max(1, -(-n_keys // HEAD_KEYS))
 
     def learn(table: pa.Table) -> pa.Table:
         tables = object.__new__(Tables)
         tables.logit, tables.seen = shared.value[:2]
-        pairs = sorted((zlib.crc32(k), k, n) for k, n in zip(table.column("key").to_pylist(), table.column("n_train").to_pylist(), strict=True) if is_coded(k))
-        mixer = Mixer()
-        for lo in range(0, len(pairs), LEARN_KEYS):
-            some = pairs[lo : lo + LEARN_KEYS]
-            train_head([k for _, k, _ in some], np.array([n for *_, n in some], np.float64), tables, mixer)
+        keys, mixer = table.column("key").to_pylist(), Mixer()
+        found = heads(keys, table.column("n_train").to_pylist())
+        for lo in range(0, len(found), LEARN_HEADS):
+            some = found[lo : lo + LEARN_HEADS]
+            train_head([k for k, _ in some], np.array([w for _, w in some]), tables, mixer)
+        mass = sum(map(is_coded, keys))
         cells = mixer.cells().astype(np.float64)
         give_back()
-        return pa.table({"cell": np.arange(len(cells)), "total": cells * len(pairs), "mass": np.full(len(cells), len(pairs), np.int64)})
+        return pa.table({"cell": np.arange(len(cells)), "total": cells * mass, "mass": np.full(len(cells), mass, np.int64)})
 
     keys = vocab.filter("n_train > 0").select("key", "n_train", F.pmod(F.xxhash64("key", F.lit(3)), F.lit(shards)).alias("shard"))
     parts = keys.groupBy("shard").applyInArrow(learn, "cell long, total double, mass long").filter("mass > 0")
