@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from tokenizers import Regex, Tokenizer, models, pre_tokenizers
 
-from .common import per_batch, texts_of
+from .common import gather, per_batch, slices, texts_of
 
 #: Unicode's White_Space.
 WHITE = "\t\n\x0b\x0c\r \x85\xa0                　"
@@ -199,25 +199,6 @@ class PieceEncoder:
         return np.diff(total[np.concatenate([[0], np.cumsum(many)])]), ids
 
 
-def gather(values: np.ndarray, start: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(lengths, the runs of ``values`` that begin at ``start``, one after another)."""
-    ends = np.cumsum(lengths)
-    small = np.int32 if len(values) < 2**31 and (len(ends) == 0 or ends[-1] < 2**31) else np.int64
-    at = np.repeat((start - (ends - lengths)).astype(small), lengths)
-    at += np.arange(len(at), dtype=small)
-    return lengths, values[at]
-
-
-def slices(texts: pa.Array, most: int) -> Iterator[pa.Array]:
-    """Runs of the texts with about ``most`` bytes at most, or one text."""
-    ends = np.cumsum(np.asarray(pc.binary_length(texts)))
-    lo = 0
-    while lo < len(texts):
-        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + most, "right")))
-        yield texts.slice(lo, hi - lo)
-        lo = hi
-
-
 @functools.cache
 def worker_encoder(path: str, pattern: str | None = None) -> PieceEncoder:
     """The encoder of a worker process, which its tasks share."""

@@ -32,19 +32,18 @@ from __future__ import annotations
 
 import functools
 import itertools
-import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import give_back, stored, texts_of
+from .common import bounded_batches, gather, give_back, slices, stored, texts_of
 
 ORDERS = 4  # last byte, last two, last three, whole prefix
 SLOTS = 1 << 13
@@ -60,14 +59,12 @@ PRIOR = np.float32(0.05)
 BUCKET_KEYS, BUCKET_TOKENS = 30_000, 300_000
 KEY_BYTES = 8  # of a group's keys beyond HEAD on average; a byte takes some 450 bytes of memory
 STEP = 2  # bytes by which a prefix with too many keys is split
-BATCH_BYTES = 8_000_000
+BATCH_BYTES, PART_BYTES = 8_000_000, 1_000_000  # of texts whose keys are numbered together, and whose runs are found together
 MOST_KEYS = 600_000  # that a task counts before it passes them on
 
 CHUNK, LONG, MOVE, PAIR = b" \x02", b" \x03", b" \x04", b" \x05"  # keys that are neither words nor gaps
-ODD_GAP = re.compile(rb"[\t-\r ]{2,}|[\t-\r]")
 WHITE = b" \t\n\x0b\x0c\r"
 WHITES = [WHITE[i : i + 1] for i in range(len(WHITE))]
-IS_WHITE = np.isin(np.arange(256), list(WHITE)).astype(np.int8)
 
 
 def parts(key: bytes) -> list[bytes]:
@@ -75,43 +72,126 @@ def parts(key: bytes) -> list[bytes]:
     return [LONG + key[: LONGEST + 1]] + [CHUNK + key[i : i + LONGEST] for i in range(LONGEST + 1, len(key) + 1, LONGEST)]
 
 
-def spans(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Where each word of a text starts and ends."""
-    edges = np.flatnonzero(np.diff(IS_WHITE[np.frombuffer(data, np.uint8)], prepend=np.int8(1), append=np.int8(1)))
-    return edges[::2], edges[1::2]
-
-
-def keys_of(data: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[list[bytes], Counter]:
-    """The words of a lower-cased text, whose :func:`spans` are given, and counts of all its other keys; the empty key is the end."""
-    words = data.split()
-    lead, trail = data[:1] in WHITES, bool(words) and data[-1:] in WHITES
-    gaps = max(0, len(words) - 1) + lead + trail
-    single = {c: data.count(c) for c in WHITES}
-    if sum(single.values()) == gaps:  # no gap is longer than one byte
-        del single[b" "]
-        other = Counter({c: n for c, n in single.items() if n})
-    else:
-        other = Counter(ODD_GAP.findall(data))
-    single = gaps - sum(other.values())
-    if single:
-        other[b" "] = single
-    moves = {b"s": b"w" if words and not lead else b"g" if lead else b"e"}
-    other[MOVE + b"s" + moves[b"s"]] = 1
-    if words:
-        other[MOVE + b"wg"] = len(words) - 1 + trail
-        other[MOVE + b"we"] = int(not trail)
-    if gaps:
-        other[MOVE + b"gw"] = gaps - (trail or (lead and not words))
-        other[MOVE + b"ge"] = int(trail or (lead and not words))
-    other[b""] = 1
-    for k in [k for k in other if len(k) > LONGEST]:
-        for p in parts(k):
-            other[p] += other[k]
-        del other[k]
-    for i in np.flatnonzero(ends - starts > LONGEST).tolist():
-        for p in parts(words[i]):
-            other[p] += 1
-    return words, +other
+def grouped(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """The rows of batches of (id, text, ...), in groups of about ``most`` bytes of text, or one text."""
+    held, size = [], 0
+    for batch in batches:
+        lo = 0
+        for part in slices(batch.column(1), most):
+            held.append(batch.slice(lo, len(part)))
+            lo, size = lo + len(part), size + (pc.sum(pc.binary_length(part)).as_py() or 0)
+            if size >= most:
+                yield pa.concat_batches(held)
+                held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
+def binary(body: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    """The byte strings of these lengths that stand one after another in ``body``."""
+    ends = np.zeros(len(lengths) + 1, np.int32)
+    np.cumsum(lengths, out=ends[1:])
+    return pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(body))])
+
+
+def byte_strings(values: pa.Array | pa.ChunkedArray) -> list[bytes]:
+    """The values of a binary column without nulls; a slice of one buffer each costs less than Arrow's own list."""
+    out = []
+    for part in values.chunks if isinstance(values, pa.ChunkedArray) else [values]:
+        part = part.cast(pa.large_binary())
+        ends = np.frombuffer(part.buffers()[1], np.int64, len(part) + 1, 8 * part.offset) if len(part) else np.zeros(1, np.int64)
+        raw = bytes(part.buffers()[2][int(ends[0]) : int(ends[-1])]) if ends[-1] > ends[0] else b""
+        out += [raw[a:b] for a, b in itertools.pairwise((ends - ends[0]).tolist())]
+    return out
+
+
+def numbered(values: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The distinct values, and each one's number among them."""
+    found = values.dictionary_encode()
+    return found.dictionary, found.indices.to_numpy()
+
+
+#: The keys that any text may have.
+USUAL = [*WHITES, *(MOVE + m for m in (b"sw", b"sg", b"se", b"wg", b"we", b"gw", b"ge")), b""]
+
+
+def read_runs(texts: pa.Array, first_doc: int) -> dict[str, np.ndarray | list]:
+    """Words and gaps of some texts, which are numbered from ``first_doc``; small, since it holds several numbers a run."""
+    docs = len(texts)
+    sizes = np.asarray(pc.binary_length(texts)).astype(np.int64)
+    stops = np.cumsum(sizes)
+    data = np.frombuffer(b"".join([t.as_buffer() for t in texts]).lower(), np.uint8)
+    filled = np.flatnonzero(sizes)
+    white = (data == 32) | (data - np.uint8(9) < 5)
+    # Runs of white space and of other bytes; a text's first byte begins one.
+    new = np.ones(len(data), bool)
+    new[1:] = white[1:] != white[:-1]
+    new[(stops - sizes)[filled]] = True
+    start = np.flatnonzero(new)
+    length = np.diff(start, append=len(data)).astype(np.int32)
+    many = np.diff(np.searchsorted(start, np.concatenate([[0], stops])))
+    doc = np.repeat(np.arange(docs, dtype=np.int32), many)
+    gap = white[start]
+    words, gaps = np.flatnonzero(~gap), np.flatnonzero(gap)
+    word_doc = doc[words]
+    n_words, n_gaps = np.bincount(word_doc, minlength=docs), np.bincount(doc[gaps], minlength=docs)
+
+    lead, trail = np.zeros(docs, bool), np.zeros(docs, bool)
+    last = np.cumsum(many)
+    lead[filled], trail[filled] = gap[(last - many)[filled]], gap[last[filled] - 1]
+    some = n_words > 0
+    only, trail = lead & ~some, trail & some  # a text of white space alone leads with it
+    single = gaps[length[gaps] == 1]
+    byte, of = data[start[single]], doc[single]
+    usual = [np.bincount(of[byte == c[0]], minlength=docs) for c in WHITES]
+    usual += [some & ~lead, lead, ~some & ~lead, np.where(some, n_words - 1 + trail, 0), some & ~trail, n_gaps - (trail | only), trail | only, np.ones(docs, bool)]
+    wide = gaps[(length[gaps] > 1) & (length[gaps] <= LONGEST)]
+    return {
+        "n_bytes": sizes, "n_words": n_words, "usual": np.stack(usual, 1).astype(np.int32),
+        "words": data[~white], "word_length": length[words], "word_doc": word_doc + np.int32(first_doc), "first": first_bytes(data, start[words], length[words], word_doc),
+        "gaps": gather(data, start[wide], length[wide])[1], "gap_length": length[wide], "gap_doc": doc[wide] + np.int32(first_doc),
+        "long": [(data[start[i] : start[i] + length[i]].tobytes(), first_doc + int(doc[i])) for i in np.flatnonzero(length > LONGEST).tolist()],
+    }
+
+
+class Occurrences:
+    """All keys of some texts, lower-cased, together.
+
+    ``keys`` are distinct: the words, then the others. Word ``i`` is key
+    ``word[i]`` in text ``word_doc[i]``; another key ``other[i]`` occurs ``times[i]``
+    times in text ``other_doc[i]``. The empty key is a text's end. ``first`` has what
+    :func:`first_bytes` gives for the words in ``first_doc``, those that one key holds.
+    """
+
+    def __init__(self, texts: pa.Array):
+        some, at = [], 0
+        for part in slices(texts, PART_BYTES) if len(texts) else [texts]:
+            some.append(read_runs(part, at))
+            at += len(part)
+        all_of = lambda name: np.concatenate([found.pop(name) for found in some])
+        self.n_bytes, self.n_words = all_of("n_bytes"), all_of("n_words")
+        self.word_doc, self.first, size = all_of("word_doc"), all_of("first"), all_of("word_length")
+        word_keys, self.word = numbered(binary(all_of("words"), size))
+        self.first_doc = self.word_doc
+        if (size > LONGEST).any():
+            self.first, self.first_doc = self.first[size <= LONGEST], self.word_doc[size <= LONGEST]
+        usual = all_of("usual")
+        whose, which = np.nonzero(usual)
+        size = all_of("gap_length")
+        gap_keys, gap = numbered(binary(all_of("gaps"), size))
+        pieces: dict[bytes, int] = {}
+        cut = [(pieces.setdefault(p, len(pieces)), doc) for found in some for run, doc in found["long"] for p in parts(run)]
+        piece, piece_doc = np.array(cut, np.int64).reshape(-1, 2).T
+        self.keys = pa.concat_arrays([word_keys, pa.array(USUAL, pa.binary()), gap_keys, pa.array(list(pieces), pa.binary())])
+        self.other = len(word_keys) + np.concatenate([which, len(USUAL) + gap, len(USUAL) + len(gap_keys) + piece])
+        self.other_doc = np.concatenate([whose, all_of("gap_doc"), piece_doc])
+        self.times = np.concatenate([usual[whose, which], np.ones(len(gap) + len(piece), np.int32)])
+
+    def counts(self, use: np.ndarray) -> np.ndarray:
+        """How often each key occurs in the texts that ``use`` marks."""
+        own = use[self.other_doc]
+        found = np.bincount(self.other[own], self.times[own], len(self.keys)).astype(np.int64)
+        return found + np.bincount(self.word if use.all() else self.word[use[self.word_doc]], minlength=len(self.keys))
 
 
 def is_base(key: bytes) -> bool:
@@ -135,15 +215,16 @@ def is_coded(key: bytes) -> bool:
 # First bytes
 
 
-def first_bytes(text: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """For each word that one key holds: the class of the word before it, by a hash of that word's last two bytes and length, times 256 plus its first byte."""
-    n = ends - starts
-    if not len(n):
-        return n
-    data = np.frombuffer(text, np.uint8).astype(np.int64)
-    last = data[ends - 1] * 263 + data[np.maximum(ends - 2, starts)] * 71 + np.minimum(n, 4)
-    before = np.concatenate([[0], 1 + last[:-1] * 40503 % 65537 % (CLASSES - 1)])  # class 0: a text's first word
-    return (before * 256 + data[starts])[n <= LONGEST]
+def first_bytes(data: np.ndarray, start: np.ndarray, length: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """For each word: the class of the word before it, by a hash of that word's last two bytes and length, times 256 plus its first byte."""
+    if not len(start):
+        return np.zeros(0, np.uint16)
+    end = start + length - 1
+    last = data[end].astype(np.uint32) * np.uint32(263) + data[np.maximum(end - 1, start)].astype(np.uint32) * np.uint32(71) + np.minimum(length, 4).astype(np.uint32)
+    before = np.zeros(len(start), np.uint16)
+    before[1:] = 1 + last[:-1] * np.uint32(40503) % np.uint32(65537) % np.uint32(CLASSES - 1)  # below 2 ** 32
+    before[1:][doc[1:] != doc[:-1]] = 0  # class 0: a text's first word
+    return before * np.uint16(256) + data[start]
 
 
 def first_byte_scores(counts: np.ndarray) -> np.ndarray:
@@ -180,30 +261,34 @@ def first_byte_scores(counts: np.ndarray) -> np.ndarray:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = (Counter(), Counter())
+    names = ["key", "n_train", "n_all"]
     firsts = np.zeros(CLASSES * 256, np.int64)
-
-    def flush() -> Iterator[pa.RecordBatch]:
-        for held, counter in enumerate(counts):
-            while counter:
-                some = [counter.popitem() for _ in range(min(len(counter), 50_000))]
-                n = np.array([c for _, c in some], np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in some], pa.binary()), pa.array(n * (1 - held)), pa.array(n)], names=["key", "n_train", "n_all"])
-
-    for batch in batches:
-        for text, held in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
-            data = text.as_py().encode().lower()
-            at = spans(data)
-            words, other = keys_of(data, *at)
-            counts[held].update(words)
-            counts[held].update(other)
-            if not held:
-                firsts += np.bincount(first_bytes(data, *at), minlength=len(firsts))
-            if len(counts[held]) > MOST_KEYS:
-                yield from flush()
-    yield from flush()
+    found, size = [], 0
+
+    def merged() -> pa.Table:
+        whole = pa.concat_tables(found)
+        found.clear()
+        keys, at = numbered(pa.concat_arrays(whole.column("key").chunks))
+        return pa.table([keys, *(np.bincount(at, whole.column(c).to_numpy(), len(keys)).astype(np.int64) for c in names[1:])], names=names)
+
+    for batch in grouped(batches, BATCH_BYTES):
+        texts, train = Occurrences(batch.column(1)), ~np.asarray(batch.column(2))
+        n_all = texts.counts(np.ones(len(train), bool))
+        own = pa.table([texts.keys, pa.array(texts.counts(train)), pa.array(n_all)], names=names).filter(pa.array(n_all > 0))
+        firsts += np.bincount(texts.first[train[texts.first_doc]], minlength=len(firsts))
+        del texts
+        found.append(own)
+        size += own.num_rows
+        if size > 2 * MOST_KEYS:
+            found.append(merged())
+            size = found[0].num_rows
+            if size > MOST_KEYS:
+                yield from found.pop().to_batches(50_000)
+                size = 0
+    if found:
+        yield from merged().to_batches(50_000)
     pairs = np.flatnonzero(firsts)
-    yield pa.RecordBatch.from_arrays([pa.array([PAIR + int(i).to_bytes(2) for i in pairs], pa.binary()), pa.array(firsts[pairs]), pa.array(np.zeros(len(pairs), np.int64))], names=["key", "n_train", "n_all"])
+    yield pa.RecordBatch.from_arrays([pa.array([PAIR + int(i).to_bytes(2) for i in pairs], pa.binary()), pa.array(firsts[pairs]), pa.array(np.zeros(len(pairs), np.int64))], names=names)
     give_back()
 
 
@@ -265,7 +350,7 @@ def matrix(keys: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(ORDERS * SLOTS * 256, np.float32)
     for batch in batches:
-        pairs = [(k, n) for k, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if n and is_coded(k)]
+        pairs = [(k, n) for k, n in zip(byte_strings(batch.column(0)), batch.column(1).to_pylist(), strict=True) if n and is_coded(k)]
         if not pairs:
             continue
         keys = [k for k, _ in pairs]
@@ -290,7 +375,7 @@ class Mixer:
         self.map = np.tile(1 / (1 + np.exp(-grid)), (GATES, 1)).astype(np.float32)
 
     def mix(self, x: np.ndarray, gate: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        logit = np.clip((x * self.w[gate]).sum(1), -11.99, 11.99)
+        logit = np.clip(np.einsum("ij,ij->i", x, self.w[gate]), -11.99, 11.99)
         p = 1 / (1 + np.exp(-logit))
         place = (logit + 12) * ((BINS - 1) / 24)
         low = place.astype(np.int64)
@@ -413,7 +498,7 @@ def head_parts(vocab: DataFrame, shared, n_keys: int) -> DataFrame:
     def learn(table: pa.Table) -> pa.Table:
         tables = object.__new__(Tables)
         tables.logit, tables.seen = shared.value[:2]
-        keys, mixer = table.column("key").to_pylist(), Mixer()
+        keys, mixer = byte_strings(table.column("key")), Mixer()
         found = heads(keys, table.column("n_train").to_pylist())
         for lo in range(0, len(found), LEARN_HEADS):
             some = found[lo : lo + LEARN_HEADS]
@@ -589,17 +674,14 @@ def score_vocab(vocab: DataFrame, score_bucket, shared, n_keys: int, most_keys:
 
 
 def _sum_texts(frequent, rare_buckets: int, firsts: np.ndarray):
-    index = {k: i for i, (k, *_) in enumerate(frequent)}
-    values = np.array([[b, s, float(c > 0)] for _, c, b, s in frequent]).reshape(-1, 3)
+    index = pa.array([k for k, *_ in frequent], pa.binary())
+    values = np.array([[b * is_base(k), s, float(c > 0 and is_base(k))] for k, c, b, s in frequent]).reshape(-1, 3)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = itertools.count(TaskContext.get().partitionId() << 32)
-        for whole in batches:
-            sizes = np.array([len(t) for t in whole.column(1).to_pylist()], np.int64)
-            group = (np.cumsum(sizes) - sizes) // BATCH_BYTES
-            for g in np.unique(group):
-                rows = np.flatnonzero(group == g)
-                yield _one_batch(whole.slice(int(rows[0]), len(rows)), next(number), index, values, rare_buckets, firsts)
+        first = TaskContext.get().partitionId() << 32
+        for number, batch in enumerate(grouped(batches, BATCH_BYTES), first):
+            yield _one_batch(batch, number, index, values, rare_buckets, firsts)
+        give_back()
 
     return run
 
@@ -608,61 +690,72 @@ NAMES = ["batch", "bucket", "doc_ids", "held", "many", "packed", "sums"]
 PARTIAL = "batch long, bucket long, doc_ids array<long>, held array<boolean>, many long, packed binary, sums binary"
 
 
-def _one_batch(batch: pa.RecordBatch, number: int, index: dict, values: np.ndarray, buckets: int, firsts: np.ndarray) -> pa.RecordBatch:
-    """Row -1 with the texts' sums over frequent keys, and a row for each bucket of other keys."""
-    n = batch.num_rows
+def _one_batch(batch: pa.RecordBatch, number: int, index: pa.Array, values: np.ndarray, buckets: int, firsts: np.ndarray) -> pa.RecordBatch:
+    """Row -1 with the texts' sums over frequent keys, and a row for each bucket of other keys.
+
+    Such a row has its distinct keys' lengths and numbers of occurrences, the
+    occurrences' texts and times, and the keys.
+    """
+    n, texts = batch.num_rows, Occurrences(batch.column(1))
+    at = pc.index_in(texts.keys, value_set=index).fill_null(-1).to_numpy()
+    own = np.concatenate([values, np.zeros((1, 3))]).T.copy()[:, at]  # the keys' values, none of those not frequent
     sums = np.zeros((n, 5))  # base, score, known, tokens, bytes
-    keys, docs, times = [], [], []
-    for doc, text in enumerate(batch.column(1).to_pylist()):
-        data = text.encode().lower()
-        where = spans(data)
-        words, other = keys_of(data, *where)
-        at = np.fromiter(map(index.get, words, itertools.repeat(-1)), np.int64, len(words))
-        known = values[at[at >= 0]]
-        sums[doc, :3] = known.sum(0)
-        sums[doc, 1] += firsts[first_bytes(data, *where)].sum()
-        for key, n_key in other.items():
-            i = index.get(key)
-            if i is None:
-                keys.append(key), docs.append(doc), times.append(n_key)
-            else:
-                base = is_base(key)
-                sums[doc, :3] += np.array([values[i, 0] * base, values[i, 1], values[i, 2] * base]) * n_key
-        rare = list(itertools.compress(words, (at < 0).tolist()))
-        keys += rare
-        docs += [doc] * len(rare)
-        times += [1] * len(rare)
-        sums[doc, 3:] = len(words) + 1, len(data)
+    for i in range(3):
+        sums[:, i] = np.bincount(texts.word_doc, own[i][texts.word], n) + np.bincount(texts.other_doc, own[i][texts.other] * texts.times, n)
+    sums[:, 1] += np.bincount(texts.first_doc, firsts[texts.first], n)
+    sums[:, 3], sums[:, 4] = texts.n_words + 1, texts.n_bytes
     rows = [(number, -1, batch.column(0).to_pylist(), batch.column(2).to_pylist(), None, None, sums.tobytes())]
-    bucket = np.fromiter(map(zlib.crc32, keys), np.int64, len(keys)) % buckets
+
+    words, other = at[texts.word] < 0, at[texts.other] < 0
+    key = np.concatenate([texts.word[words], texts.other[other]])
+    docs = np.concatenate([texts.word_doc[words], texts.other_doc[other]]).astype("<i4")
+    times = np.concatenate([np.ones(int(words.sum()), "<i4"), texts.times[other].astype("<i4")])
+    seen = np.bincount(key, minlength=len(at))
+    rare = np.flatnonzero(seen)
+    some = byte_strings(texts.keys.take(pa.array(rare)))
+    bucket = np.fromiter(map(zlib.crc32, some), np.int64, len(some)) % buckets
     order = np.argsort(bucket, kind="stable")
-    sizes, docs, times = np.fromiter(map(len, keys), "<i4", len(keys)), np.array(docs, "<i4"), np.array(times, "<i4")
+    place = np.zeros(len(at), np.int32)
+    place[rare[order]] = np.arange(len(rare))
+    by_key = np.argsort(place[key], kind="stable")
+    docs, times = docs[by_key], times[by_key]
+    seen, sizes = seen[rare[order]].astype("<i4"), np.fromiter(map(len, some), "<i4", len(some))[order]
+    ends = np.concatenate([[0], np.cumsum(seen)])
     pack = zstandard.ZstdCompressor(level=1).compress
-    for part in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(keys) else ():
-        data = sizes[part].tobytes() + docs[part].tobytes() + times[part].tobytes() + b"".join([keys[i] for i in part.tolist()])
-        rows.append((number, int(bucket[part[0]]), None, None, len(part), pack(data), None))
+    cuts = [0, *(np.flatnonzero(np.diff(bucket[order])) + 1).tolist(), len(rare)]
+    for lo, hi in itertools.pairwise(cuts) if len(rare) else ():
+        a, b = ends[lo], ends[hi]
+        data = b"".join([sizes[lo:hi].tobytes(), seen[lo:hi].tobytes(), docs[a:b].tobytes(), times[a:b].tobytes(), *[some[i] for i in order[lo:hi].tolist()]])
+        rows.append((number, int(bucket[order[lo]]), None, None, hi - lo, pack(data), None))
     types = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.int64(), pa.binary(), pa.binary()]
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=NAMES)
 
 
 def _look_up(key: tuple, rows: pa.Table, vocab: pa.Table) -> pa.Table:
-    columns = [vocab.column(c).to_pylist() for c in ("key", "n_train", "base", "score")]
-    index = {k: i for i, k in enumerate(columns[0])}
-    base_key = np.array([is_base(k) for k in columns[0]], float)
-    values = np.stack([np.array(columns[2]) * base_key, np.array(columns[3]), (np.array(columns[1]) > 0) * base_key], 1) if columns[0] else np.zeros((0, 3))
-    batches, ats, sums, words = [], [], [], []
-    unpack = zstandard.ZstdDecompressor().decompress
-    for batch, many, packed in zip(*(rows.column(c).to_pylist() for c in ("batch", "many", "packed")), strict=True):
-        data = unpack(packed)
-        sizes, docs, times = (np.frombuffer(data, "<i4", many, 4 * many * i) for i in range(3))
-        ends = (12 * many + np.cumsum(sizes)).tolist()
-        words = [data[e - s : e] for e, s in zip(ends, sizes.tolist(), strict=True)]
-        got = values[np.fromiter(map(index.__getitem__, words), np.int64, many)] * times[:, None]
+    keys = vocab.column("key").cast(pa.binary()).combine_chunks()
+    base_key = ~np.asarray(pc.is_in(pc.binary_slice(keys, 0, 1), value_set=pa.array(WHITES)))
+    n_train, base, score = (vocab.column(c).to_numpy() for c in ("n_train", "base", "score"))
+    values = np.stack([base * base_key, score, (n_train > 0) & base_key], 1).astype(float)
+    batches, ats, sums, unpack = [], [], [], zstandard.ZstdDecompressor().decompress
+    packed = [(batch, many, unpack(data)) for batch, many, data in zip(*(rows.column(c).to_pylist() for c in ("batch", "many", "packed")), strict=True)]
+    wanted = []
+    for _, many, data in packed:
+        sizes, seen = np.frombuffer(data, "<i4", 2 * many).reshape(2, many)
+        wanted.append(binary(np.frombuffer(data, np.uint8, offset=8 * (many + int(seen.sum()))), sizes))
+    found = pc.index_in(pa.concat_arrays(wanted), value_set=keys) if wanted else pa.array([], pa.int32())
+    if found.null_count:
+        raise ValueError("a text's key is not in the vocabulary")
+    found, lo = found.to_numpy(), 0
+    for batch, many, data in packed:
+        seen = np.frombuffer(data, "<i4", many, 4 * many)
+        docs, times = np.frombuffer(data, "<i4", 2 * int(seen.sum()), 8 * many).reshape(2, -1)
+        got = values[np.repeat(found[lo : lo + many], seen)] * times[:, None]
+        lo += many
         ids, place = np.unique(docs, return_inverse=True)
         batches.append(batch)
         ats.append(ids.astype("<i4").tobytes())
         sums.append(np.stack([np.bincount(place, got[:, i], len(ids)) for i in range(3)], 1).tobytes())
-    del index, columns, words
+    del wanted, packed, found, keys
     give_back()
     return pa.table([pa.array(batches, pa.int64()), pa.array(ats, pa.binary()), pa.array(sums, pa.binary())], names=["batch", "at", "sums"])
 
@@ -684,6 +777,7 @@ def score_texts(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 1, F.lit(False))
     source = texts_of(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text", held.alias("held"))
+    bounded_batches(spark)
     counted = source.mapInArrow(_count, "key binary, n_train long, n_all long")
     vocab = stored(counted.groupBy("key").agg(F.sum("n_train").alias("n_train"), F.sum("n_all").alias("n_all")))
 
@@ -713,7 +807,7 @@ def score_texts(docs: DataFrame) -> DataFrame:
         logit, seen, head = shared.value
         tables = object.__new__(Tables)
         tables.logit, tables.seen = logit, seen
-        keys, n = table.column("key").to_pylist(), np.array(table.column("n_train").to_pylist(), float)
+        keys, n = byte_strings(table.column("key")), table.column("n_train").to_numpy().astype(float)
         score = np.zeros(len(keys))
         use = np.flatnonzero(np.array([is_coded(k) for k in keys], bool))
         if len(use):
