@@ -4,8 +4,9 @@ The merge rules come from a table of ranks: a pair of tokens merges when its
 concatenation has a rank, lowest rank first. Texts arrive in Arrow batches. The
 pattern never joins characters across a boundary between a non-space and a
 following white-space character other than by one leading blank, so texts are
-cut there, and the library encodes each distinct piece of some 12 MB of texts
-once. This gives the library's ids at a fraction of its cost.
+cut there, and the library encodes each distinct piece of some 16 MB of texts
+once, and not at all if the worker process saw it in its last texts. This gives
+the library's ids at a fraction of its cost.
 
 Decoding reverses the byte table (each byte has a printable character of its
 own in the vocabulary) and joins bytes before it decodes UTF-8, so characters
@@ -32,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from tokenizers import Regex, Tokenizer, models, pre_tokenizers
 
-from .common import gather, per_batch, slices, texts_of
+from .common import byte_strings, gather, per_batch, slices, texts_of
 
 #: Unicode's White_Space.
 WHITE = "\t\n\x0b\x0c\r \x85\xa0                　"
@@ -43,6 +44,7 @@ ODD = f"[\x01\t\x0b\x0c\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u30
 LETTERS = "^ ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f\u0391-\u03a1\u03a3-\u03f5\u0400-\u0481\u048a-\u0523\u0620-\u064a\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3]+[!-/:-@\\[-`{-~]*$"
 CLOSING = "[!-/:-@\\[-`{-~]+$"
 GROUP_BYTES = 16_000_000  # of texts whose distinct pieces are encoded together
+KNOWN, KNOWN_BYTES = 600_000, 64  # pieces whose ids an encoder remembers, those of the last texts, and the bytes of one at most
 
 
 @functools.cache
@@ -101,6 +103,7 @@ class PieceEncoder:
     model as byte-alphabet strings, many in one call with bytes between them that
     UTF-8 never has and that no merge takes; all others go through the library's
     own pre-tokenizer. Texts that hold an added token go to the library whole.
+    The ids of the pieces seen last are remembered; they are the same in any text.
     """
 
     def __init__(self, tokenizer: Tokenizer):
@@ -114,12 +117,13 @@ class PieceEncoder:
         self.between, self.within = never[:2]
         self.between_id, self.within_id = map(tokenizer.token_to_id, never[:2])
         self.added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+        self.known = (pa.array([], pa.string()), np.zeros(0, np.int64), np.zeros(0, "<u4"))  # pieces, lengths, ids
 
     def _letters(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(lengths, ids) of pieces of letters and closing punctuation, a NUL between the two."""
-        lengths, found = [], []
+        lengths, found, raw = [], [], byte_strings(pieces)
         for lo in range(0, len(pieces), 128):
-            joined = "\n".join(pieces.slice(lo, 128).to_pylist()).encode().decode("latin-1").translate(self.alphabet)
+            joined = b"\n".join(raw[lo : lo + 128]).decode("latin-1").translate(self.alphabet)
             mapped = joined.replace(self.alphabet[10], self.between).replace(self.alphabet[0], self.within)
             ids = np.array(self.letters.encode_batch_fast([mapped], add_special_tokens=False)[0].ids, "<u4")
             ids = ids[ids != self.within_id]
@@ -137,6 +141,29 @@ class PieceEncoder:
             found.append(np.array(got.ids, "<u4"))
         return (np.concatenate(lengths), np.concatenate(found)) if found else (np.zeros(0, np.int64), np.zeros(0, "<u4"))
 
+    def _remembered(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """:func:`_distinct`, but of pieces that are not known only; those seen last are known from then on."""
+        known, size, ids = self.known
+        if 8 * len(pieces) < len(known):  # the look-up would cost more than it saves
+            return self._distinct(pieces)
+        at = pc.index_in(pieces, value_set=known).fill_null(-1).to_numpy()
+        new = np.flatnonzero(at < 0)
+        more_size, more_ids = self._distinct(pieces.take(pa.array(new)))
+        both_size, both_ids = np.concatenate([size, more_size]), np.concatenate([ids, more_ids])
+        both_start = np.cumsum(both_size) - both_size
+        place = at.astype(np.int64)
+        place[new] = len(known) + np.arange(len(new))
+        lengths, found = gather(both_ids, both_start[place], both_size[place])
+
+        short = np.flatnonzero(np.asarray(pc.binary_length(pieces)) <= KNOWN_BYTES)[:KNOWN]
+        older = np.ones(len(known), bool)
+        older[at[at >= 0]] = False
+        older = np.flatnonzero(older)[: KNOWN - len(short)]
+        kept = np.concatenate([place[short], older])
+        names = pa.concat_arrays([pieces.take(pa.array(short)), known.take(pa.array(older))])
+        self.known = (names, *gather(both_ids, both_start[kept], both_size[kept]))
+        return lengths, found
+
     def _distinct(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(lengths, ids) of each of the distinct pieces, in order."""
         plain = pc.match_substring_regex(pieces, LETTERS)
@@ -192,7 +219,7 @@ class PieceEncoder:
     def _encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         pieces, many = self.cut(texts)
         numbered = pieces.dictionary_encode()
-        size, ids = self._distinct(numbered.dictionary)
+        size, ids = self._remembered(numbered.dictionary)
         start, at = np.cumsum(size) - size, np.asarray(numbered.indices)
         size_of, ids = gather(ids, start[at], size[at])
         total = np.concatenate([[0], np.cumsum(size_of)])

@@ -43,7 +43,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, gather, give_back, slices, stored, texts_of
+from .common import bounded_batches, byte_strings, gather, give_back, slices, stored, texts_of
 
 ORDERS = 4  # last byte, last two, last three, whole prefix
 SLOTS = 1 << 13
@@ -94,17 +94,6 @@ def binary(body: np.ndarray, lengths: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(body))])
 
 
-def byte_strings(values: pa.Array | pa.ChunkedArray) -> list[bytes]:
-    """The values of a binary column without nulls; a slice of one buffer each costs less than Arrow's own list."""
-    out = []
-    for part in values.chunks if isinstance(values, pa.ChunkedArray) else [values]:
-        part = part.cast(pa.large_binary())
-        ends = np.frombuffer(part.buffers()[1], np.int64, len(part) + 1, 8 * part.offset) if len(part) else np.zeros(1, np.int64)
-        raw = bytes(part.buffers()[2][int(ends[0]) : int(ends[-1])]) if ends[-1] > ends[0] else b""
-        out += [raw[a:b] for a, b in itertools.pairwise((ends - ends[0]).tolist())]
-    return out
-
-
 def numbered(values: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """The distinct values, and each one's number among them."""
     found = values.dictionary_encode()

@@ -4,9 +4,12 @@ import re
 from collections import Counter
 
 import numpy as np
+import public_tokenizers as P
 import pyarrow as pa
+from tokenizers import Tokenizer
 
-from shopsift.llm import lm
+from shopsift.llm import bpe, lm
+from shopsift.llm.common import byte_strings
 
 ODD = ["", " ", " \t", "a", "a ", " a", "A b\n", "\n\na\n B\t\t c", "x" * 47, "x" * 48 + " " + "y" * 200, " " * 60, " " * 48 + "a" + "\n" * 100, "É b  Éa\x85c\x1cd", "\x00a\x01 b", "we we We  we"]
 
@@ -40,8 +43,8 @@ def batch(texts: list[str], held: list[bool]) -> pa.RecordBatch:
 def test_keys_of_many_texts_are_those_of_each():
     texts = ODD + random_texts(150)
     found = lm.Occurrences(pa.array(["zz zz", *texts], pa.string()).slice(1))
-    keys = lm.byte_strings(found.keys)
-    assert len(set(keys)) == len(keys) and keys == found.keys.to_pylist() and lm.byte_strings(found.keys.slice(3, 4)) == keys[3:7]
+    keys = byte_strings(found.keys)
+    assert len(set(keys)) == len(keys) and keys == found.keys.to_pylist() and byte_strings(found.keys.slice(3, 4)) == keys[3:7]
     for doc, text in enumerate(texts):
         own = Counter()
         for k in found.word[found.word_doc == doc]:
@@ -76,3 +79,24 @@ def test_a_group_of_texts_sends_each_rare_key_once():
     out = lm._one_batch(batch(texts, [False] * len(texts)), 0, pa.array(index, pa.binary()), np.ones((3, 3)), 4, np.zeros(lm.CLASSES * 256))
     rare = set().union(*map(plain_keys, texts)) - set(index)
     assert sum(n or 0 for n in out.column("many").to_pylist()) == len(rare)
+
+
+def test_a_piece_seen_before_is_not_encoded_again(monkeypatch):
+    """Ids are the library's, with pieces that are known, forgotten, long, and in small and large calls."""
+    tok = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    texts, sent = [*ODD, "naïve Straße 12345 x=1; " * 3, "q" * 90, "a <|endoftext|> b", *random_texts(100)], []
+    want = [tok.encode(t, add_special_tokens=False).ids for t in texts]
+    for most in (10**6, 40, 0):
+        monkeypatch.setattr(bpe, "KNOWN", most)
+        encoder, plain = bpe.PieceEncoder(tok), bpe.PieceEncoder(tok)._distinct
+        monkeypatch.setattr(encoder, "_distinct", lambda pieces, plain=plain: sent.append(len(pieces)) or plain(pieces))
+        for some in (range(len(texts)), range(0, len(texts), 2), range(len(texts) - 1, -1, -1), range(3)):
+            many, ids = encoder.encode(pa.array([texts[i] for i in some], pa.string()))
+            assert ids.tolist() == [x for i in some for x in want[i]] and many.tolist() == [len(want[i]) for i in some]
+        assert len(encoder.known[0]) <= most and max(map(len, byte_strings(encoder.known[0])), default=0) <= bpe.KNOWN_BYTES
+    monkeypatch.setattr(bpe, "KNOWN", 10**6)
+    encoder, words = bpe.PieceEncoder(tok), pa.array([" ".join(f"word{i}" for i in range(300))])
+    first = encoder.encode(words)
+    monkeypatch.setattr(encoder, "_distinct", lambda pieces, plain=encoder._distinct: sent.append(len(pieces)) or plain(pieces))
+    again = encoder.encode(words)
+    assert sent[-1] == 0 and (first[1] == again[1]).all() and (first[0] == again[0]).all()
