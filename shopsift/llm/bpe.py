@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from tokenizers import Regex, Tokenizer, models, pre_tokenizers
 
-from .common import byte_strings, gather, per_batch, slices, texts_of
+from .common import byte_strings, gather, give_back, per_batch, slices, texts_of
 
 #: Unicode's White_Space.
 WHITE = "\t\n\x0b\x0c\r \x85\xa0                　"
@@ -45,6 +45,7 @@ LETTERS = "^ ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f\u0391-\u03a1\u03a3-
 CLOSING = "[!-/:-@\\[-`{-~]+$"
 GROUP_BYTES = 16_000_000  # of texts whose distinct pieces are encoded together
 KNOWN, KNOWN_BYTES = 600_000, 64  # pieces whose ids an encoder remembers, those of the last texts, and the bytes of one at most
+TRIP_BYTES, TRIP_KNOWN = 1_000_000, 200_000  # the same of a round trip, whose workers stand beside whatever the executor holds
 
 
 @functools.cache
@@ -106,8 +107,9 @@ class PieceEncoder:
     The ids of the pieces seen last are remembered; they are the same in any text.
     """
 
-    def __init__(self, tokenizer: Tokenizer):
+    def __init__(self, tokenizer: Tokenizer, most: int | None = None):
         self.tokenizer = tokenizer
+        self.most = most  # pieces that are remembered; None: KNOWN
         self.alphabet = dict(byte_alphabet())
         self.letters = Tokenizer(tokenizer.model)
         joined = Counter(itertools.chain.from_iterable(map(set, tokenizer.get_vocab())))
@@ -155,10 +157,11 @@ class PieceEncoder:
         place[new] = len(known) + np.arange(len(new))
         lengths, found = gather(both_ids, both_start[place], both_size[place])
 
-        short = np.flatnonzero(np.asarray(pc.binary_length(pieces)) <= KNOWN_BYTES)[:KNOWN]
+        most = KNOWN if self.most is None else self.most
+        short = np.flatnonzero(np.asarray(pc.binary_length(pieces)) <= KNOWN_BYTES)[:most]
         older = np.ones(len(known), bool)
         older[at[at >= 0]] = False
-        older = np.flatnonzero(older)[: KNOWN - len(short)]
+        older = np.flatnonzero(older)[: most - len(short)]
         kept = np.concatenate([place[short], older])
         names = pa.concat_arrays([pieces.take(pa.array(short)), known.take(pa.array(older))])
         self.known = (names, *gather(both_ids, both_start[kept], both_size[kept]))
@@ -227,9 +230,15 @@ class PieceEncoder:
 
 
 @functools.cache
-def worker_encoder(path: str, pattern: str | None = None) -> PieceEncoder:
+def worker_encoder(path: str, pattern: str | None = None, most: int | None = None) -> PieceEncoder:
     """The encoder of a worker process, which its tasks share."""
-    return PieceEncoder(load_ranks_tokenizer(path, pattern) if pattern else load_json_tokenizer(path))
+    return PieceEncoder(load_ranks_tokenizer(path, pattern) if pattern else load_json_tokenizer(path), most)
+
+
+def as_lists(many: np.ndarray, ids: np.ndarray) -> pa.ListArray:
+    """Each text's ids as a list."""
+    ends = np.concatenate([[0], np.cumsum(many)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(ids.view("<i4")))
 
 
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -240,9 +249,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
         encoder = worker_encoder(path, pattern)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            many, ids = encoder.encode(batch.column(1))
-            ends = np.concatenate([[0], np.cumsum(many)]).astype(np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(ids.view("<i4")))
+            ids = as_lists(*encoder.encode(batch.column(1)))
             return pa.RecordBatch.from_arrays([batch.column(0), ids, pc.binary_length(batch.column(1)).cast(pa.int64())], names=["doc_id", "ids", "n_bytes"])
 
         return step
@@ -315,23 +322,32 @@ def _is_utf8(data: bytes) -> bool:
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256, n_chars, n_split: encode, then decode the ids."""
-    encoded = encode(docs, path, pattern).select("doc_id", "ids")
+    """doc_id, n_tokens, ids_sha256, decoded_sha256, n_chars, n_split: encode, then decode the ids.
+
+    One worker does both, so a task has one Python process. It takes
+    ``TRIP_BYTES`` of texts, or one text, at a time, and gives back the memory
+    that encoding them took before it decodes.
+    """
+    source = texts_of(docs)
 
     def make():
-        table = token_table(path)
+        encoder, table = worker_encoder(path, pattern, TRIP_KNOWN), token_table(path)
         number = [str(i) for i in range(len(table))]
         length = np.array([len(t) for t in table], np.int64)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            rows = [
-                (len(own), hashlib.sha256(" ".join(map(number.__getitem__, own.tolist())).encode()).hexdigest(), hashlib.sha256(raw).hexdigest(), chars, split)
-                for own, raw, chars, split in decoded(batch.column(1), table, length)
-            ]
+            rows = []
+            for texts in slices(batch.column(1), TRIP_BYTES):
+                ids = as_lists(*encoder.encode(texts))
+                give_back()
+                rows += [
+                    (len(own), hashlib.sha256(" ".join(map(number.__getitem__, own.tolist())).encode()).hexdigest(), hashlib.sha256(raw).hexdigest(), chars, split)
+                    for own, raw, chars, split in decoded(ids, table, length)
+                ]
             types = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64())
             return pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, zip(*rows, strict=True), types)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_chars", "n_split"])
 
         return step
 
-    id_type = dict(encoded.dtypes)["doc_id"]
-    return per_batch(encoded, make, f"doc_id {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string, n_chars long, n_split long")
+    id_type = dict(source.dtypes)["doc_id"]
+    return per_batch(source, make, f"doc_id {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string, n_chars long, n_split long")

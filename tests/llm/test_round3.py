@@ -2,6 +2,7 @@
 
 import re
 from collections import Counter
+from hashlib import sha256
 
 import numpy as np
 import public_tokenizers as P
@@ -100,3 +101,26 @@ def test_a_piece_seen_before_is_not_encoded_again(monkeypatch):
     monkeypatch.setattr(encoder, "_distinct", lambda pieces, plain=encoder._distinct: sent.append(len(pieces)) or plain(pieces))
     again = encoder.encode(words)
     assert sent[-1] == 0 and (first[1] == again[1]).all() and (first[0] == again[0]).all()
+
+
+def test_a_round_trip_runs_in_one_worker_a_task(spark):
+    """Encoding and decoding share a Python process, whose memory is bounded; the results are those of the two steps and of the library."""
+    path = P.path("byte_bpe_50k.tiktoken")
+    long = " ".join(f"word{i} naïve" for i in range(bpe.TRIP_BYTES // 12))
+    texts = [None, "", *ODD, "", long, "a", long[: bpe.TRIP_BYTES // 3], long[5:], *random_texts(30), ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    trip = bpe.round_trip(docs, path, P.PATTERN)
+    assert trip._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    got = {r.doc_id: r for r in trip.collect()}
+    assert len(got) == len(texts)
+    encoded = bpe.encode(docs, path, P.PATTERN)
+    back = {r.doc_id: r for r in bpe.decode(encoded, path).collect()}
+    tok = bpe.load_ranks_tokenizer(path, P.PATTERN)
+    for i, text in enumerate(texts):
+        ids, r = tok.encode(text or "", add_special_tokens=False).ids, got[i]
+        assert (r.n_tokens, r.ids_sha256) == (len(ids), sha256(" ".join(map(str, ids)).encode()).hexdigest())
+        assert r.decoded_sha256 == sha256((text or "").encode()).hexdigest() and (r.n_chars, r.n_split) == (back[i].n_chars, back[i].n_split)
+    few = bpe.PieceEncoder(tok, 40)
+    for _ in range(2):
+        few.encode(pa.array(random_texts(100)))
+        assert len(few.known[0]) <= 40
