@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.listing import clean_url
+from ..shared import cut
 
 
 def path_words(url: Column) -> Column:
@@ -20,15 +21,55 @@ def path_index(pages: DataFrame, id_col: str, url_col: str = "url") -> DataFrame
     return urls.select(F.explode(path_words(F.col("url"))).alias("word"), "id", "url")
 
 
+def _words(text: Column) -> Column:
+    """The distinct words of a query, in lower case."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
+
+
+def _best(rows: DataFrame, by: str, most: int) -> DataFrame:
+    """The first ``most`` rows of each ``by`` with their place: most words matched, then the smallest id."""
+    order = [F.desc("matched"), F.asc_nulls_last("id"), "url"]
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy(*order))).filter(F.col("place") <= most)
+
+
+def _shared_best(urls: DataFrame, sets: DataFrame, most: int) -> DataFrame:
+    """(asked, id, url, matched): of each set of common words the ``most`` best URLs by these words alone.
+
+    URLs that hold the same common words differ in id only, so the first of each
+    such kind stand for all, and of the kinds those with the ``most`` best first
+    URLs are enough.
+    """
+    place = F.row_number().over(Window.partitionBy("held").orderBy(F.asc_nulls_last("id"), "url"))
+    firsts = urls.filter(F.size("held") > 0).select("held", "id", "url").withColumn("n", place).filter(F.col("n") <= most)
+    kinds = firsts.filter("n = 1").select("held", "id", "url", F.explode("held").alias("word"))
+    met = sets.select("asked", F.inline("asked")).join(kinds, "word").groupBy("asked", "held", "id", "url").agg(F.sum("weight").alias("matched"))
+    met = _best(met, "asked", most).select("asked", "held", "matched")
+    return _best(met.join(firsts.drop("n"), "held"), "asked", most).drop("held", "place")
+
+
 def search_paths(index: DataFrame, queries: DataFrame, most: int = 150) -> DataFrame:
     """(query, place, url, matched): of each query the ``most`` URLs with most of its words, then the smallest id.
 
-    ``queries``: query, words (separated by anything that is no letter or digit).
-    Postings of the queries' words alone are joined. The best of each query are
-    found in each task before they are shuffled, so a word in a third of all URLs
-    is counted everywhere and ranked nowhere whole.
+    ``queries``: query, words (separated by anything that is no letter or digit);
+    a word in several rows of one query counts as often.
+    A word is common if more than ``most`` URLs hold it. A URL without a rare word
+    of a query is among its best only if it is among the best by the common words
+    alone, and these are found once for all queries with the same common words. So
+    postings of rare words alone are joined to queries, ``most`` a word at most.
     """
-    words = queries.select("query", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("words"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))).alias("word"))
-    matched = index.join(words, "word").groupBy("query", "id", "url").agg(F.count("*").alias("matched"))
-    place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("matched"), "id"))
-    return matched.withColumn("place", place).filter(F.col("place") <= most).select("query", "place", "url", "matched")
+    words = queries.select("query", F.explode(_words(F.col("words"))).alias("word")).groupBy("query", "word").agg(F.count("*").alias("weight"))
+    spread = index.groupBy("word").agg((F.count("*") > most).alias("common"))
+    known = spread.join(words.select("word").distinct(), "word", "left_semi")
+    common, rare = (lambda v: F.collect_list(F.when(F.col("common"), v))), (lambda v: F.collect_list(F.when(~F.col("common"), v)))
+    word, weighed = F.col("word"), F.struct("word", "weight")
+    urls = cut(index.join(known, "word").groupBy("id", "url").agg(F.array_sort(common(word)).alias("held"), rare(word).alias("rare")))
+    wanted = cut(words.join(known, "word").groupBy("query").agg(F.array_sort(common(weighed)).alias("asked"), rare(weighed).alias("rare")))
+
+    best = _shared_best(urls, wanted.filter(F.size("asked") > 0).select("asked").distinct(), most)
+    by_common = wanted.select("query", "asked").join(best, "asked").select("query", "id", "url", F.lit(0).cast("long").alias("weight"), F.col("matched").alias("base"))
+    base = F.aggregate(F.filter("asked", lambda a: F.array_contains("held", a["word"])), F.lit(0).cast("long"), lambda n, a: n + a["weight"])
+    asking = wanted.select("query", "asked", F.inline("rare"))
+    by_rare = urls.select("id", "url", "held", F.explode("rare").alias("word")).join(asking, "word").select("query", "id", "url", "weight", base.alias("base"))
+    matched = (F.sum("weight") + F.max("base")).alias("matched")
+    found = by_common.unionByName(by_rare).repartition("query").groupBy("query", "id", "url").agg(matched)
+    return _best(found, "query", most).select("query", "place", "url", "matched")

@@ -2,6 +2,7 @@
 
 import json
 import random
+import re
 import time
 
 import pytest
@@ -275,6 +276,60 @@ def test_search_against_brute_force(spark):
     assert rows(found, "query", "place", "url", "matched") == sorted(want, key=str)
 
 
+def best_paths(pages, asked, most):
+    """By words alone, for URLs that are clean; a null id comes last."""
+    split = lambda s: {w for w in re.findall(r"[a-z0-9]+", (s or "").lower())}
+    ids, scores = {}, {}
+    for k, u in pages:
+        ids[u] = min(ids.get(u, float("inf")), float("inf") if k is None else k)
+    for q, text in asked:
+        for u in ids:
+            scores[q, u] = scores.get((q, u), 0) + len(split(text) & split(u.split("://")[1].partition("/")[2]))
+    want = []
+    for q in {q for q, _ in asked}:
+        want += [(q, i, u, -n) for i, (n, _, u) in enumerate(sorted((-n, ids[u], u) for (k, u), n in scores.items() if k == q and n)[:most], 1)]
+    return sorted(want, key=str)
+
+
+def search_fixture(spark, pages, asked, most):
+    return search.search_paths(search.path_index(spark.createDataFrame(pages, "page_id int, url string"), "page_id"), spark.createDataFrame(asked, "query string, words string"), most)
+
+
+@pytest.mark.parametrize("most", [1, 4, 30, 1000])
+def test_search_by_common_and_rare_words(spark, most):
+    """Words in most URLs, in some and in one; queries without a common, a rare or any known word, in several rows, without a name; a page without an id."""
+    random.seed(most)
+    words = [f"w{k}" for k in range(60)]
+    weights = [1 / (k + 1) for k in range(60)]
+    draw = lambda n: random.choices(words, weights, k=n)
+    pages = [(random.randrange(10**6) * 2, f"http://h/{'/'.join(draw(random.randrange(1, 6)))}/p{k % 90}") for k in range(300)]
+    pages += [(k + 1, u) for k, u in random.sample(pages, 40)] + [(None, "http://h/w0/none"), (None, pages[0][1])]
+    asked = [(f"q{k % 30}", " ".join(draw(random.randrange(1, 5)) + [f"p{k}"] * (k % 3))) for k in range(60)]
+    asked += [("common", "w0 w1 W0"), ("rare", "p3, p4"), ("unknown", "x y"), ("empty", ""), ("null", None), (None, "w0 p7"), (None, "w0 p8")]
+    assert rows(search_fixture(spark, pages, asked, most), "query", "place", "url", "matched") == best_paths(pages, asked, most)
+
+
+def largest_step(df):
+    """The most rows that a step of the plan made, once it has run."""
+    most, todo = 0, [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        kind = node.getClass().getSimpleName()
+        made = node.metrics().get("numOutputRows")
+        most = max(most, made.get().value() if made.isDefined() else 0)
+        todo += [node.executedPlan()] if kind == "AdaptiveSparkPlanExec" else [node.plan()] if kind.endswith("QueryStageExec") else [node.children().apply(k) for k in range(node.children().size())]
+    return most
+
+
+def test_searches_share_their_common_words(spark):
+    pages = [(k, f"http://h/{'en' if k % 4 else 'de'}/{k}.html") for k in range(2000)]
+    asked = [(f"q{k}", f"en html {k}") for k in range(200)]
+    found = search_fixture(spark, pages, asked, 5)
+    assert rows(found, "query", "place", "url", "matched") == best_paths(pages, asked, 5)
+    found.collect()
+    assert largest_step(found) <= 5000  # every query with every URL would be 400,000
+
+
 def test_items_are_parsed_one_by_one(spark):
     body = json.dumps({"success": True, "data": {"json": {"products": [None, {}, [], 5, "x", {"product_name": "a", "images": [], "product_image_url": "i"}, {"price": {"odd": 1}, "images": ["j", 2]}, {"images": "no list", "sku": 7}]}}})
     page = lambda status, text: ("s", 1, status, text)
