@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from ..functions.listing import clean_url
 from ..shared import cut
 
+#: The URLs with the same common words are ranked in so many parts first, so that no task gets all of them.
+PARTS = 16
+#: The best URLs by common words are sent to every task up to so many rows, 16 MB by estimate.
+FEW = 75_000
+
 
 def path_words(url: Column) -> Column:
     """The distinct words of a URL's path, in lower case: runs of letters and digits."""
@@ -33,18 +38,21 @@ def _best(rows: DataFrame, by: str, most: int) -> DataFrame:
 
 
 def _shared_best(urls: DataFrame, sets: DataFrame, most: int) -> DataFrame:
-    """(asked, id, url, matched): of each set of common words the ``most`` best URLs by these words alone.
+    """(asked, best): of each set of common words the ``most`` best URLs (id, url, matched as base) by these words alone.
 
     URLs that hold the same common words differ in id only, so the first of each
     such kind stand for all, and of the kinds those with the ``most`` best first
     URLs are enough.
     """
-    place = F.row_number().over(Window.partitionBy("held").orderBy(F.asc_nulls_last("id"), "url"))
-    firsts = urls.filter(F.size("held") > 0).select("held", "id", "url").withColumn("n", place).filter(F.col("n") <= most)
+    place = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(F.asc_nulls_last("id"), "url"))
+    parts = urls.filter(F.size("held") > 0).select("held", "id", "url", F.pmod(F.hash("id", "url"), F.lit(PARTS)).alias("part"))
+    parts = parts.withColumn("n", place("held", "part")).filter(F.col("n") <= most)
+    firsts = parts.select("held", "id", "url").withColumn("n", place("held")).filter(F.col("n") <= most)
     kinds = firsts.filter("n = 1").select("held", "id", "url", F.explode("held").alias("word"))
     met = sets.select("asked", F.inline("asked")).join(kinds, "word").groupBy("asked", "held", "id", "url").agg(F.sum("weight").alias("matched"))
     met = _best(met, "asked", most).select("asked", "held", "matched")
-    return _best(met.join(firsts.drop("n"), "held"), "asked", most).drop("held", "place")
+    best = _best(met.join(firsts.drop("n"), "held"), "asked", most)
+    return best.groupBy("asked").agg(F.collect_list(F.struct("id", "url", F.col("matched").alias("base"))).alias("best"))
 
 
 def search_paths(index: DataFrame, queries: DataFrame, most: int = 150) -> DataFrame:
@@ -65,11 +73,13 @@ def search_paths(index: DataFrame, queries: DataFrame, most: int = 150) -> DataF
     urls = cut(index.join(known, "word").groupBy("id", "url").agg(F.array_sort(common(word)).alias("held"), rare(word).alias("rare")))
     wanted = cut(words.join(known, "word").groupBy("query").agg(F.array_sort(common(weighed)).alias("asked"), rare(weighed).alias("rare")))
 
-    best = _shared_best(urls, wanted.filter(F.size("asked") > 0).select("asked").distinct(), most)
-    by_common = wanted.select("query", "asked").join(best, "asked").select("query", "id", "url", F.lit(0).cast("long").alias("weight"), F.col("matched").alias("base"))
+    sets = wanted.filter(F.size("asked") > 0).select("asked").distinct()
+    best = _shared_best(urls, sets, most)
+    best = F.broadcast(best) if sets.count() * most <= FEW else best  # else a set that most queries ask for would be one task's
+    by_common = wanted.select("query", "asked").join(best, "asked").select("query", F.inline("best"), F.lit(0).cast("long").alias("weight"))
     base = F.aggregate(F.filter("asked", lambda a: F.array_contains("held", a["word"])), F.lit(0).cast("long"), lambda n, a: n + a["weight"])
     asking = wanted.select("query", "asked", F.inline("rare"))
-    by_rare = urls.select("id", "url", "held", F.explode("rare").alias("word")).join(asking, "word").select("query", "id", "url", "weight", base.alias("base"))
+    by_rare = urls.select("id", "url", "held", F.explode("rare").alias("word")).join(asking, "word").select("query", "id", "url", base.alias("base"), "weight")
     matched = (F.sum("weight") + F.max("base")).alias("matched")
     found = by_common.unionByName(by_rare).repartition("query").groupBy("query", "id", "url").agg(matched)
     return _best(found, "query", most).select("query", "place", "url", "matched")

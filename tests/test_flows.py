@@ -295,9 +295,10 @@ def search_fixture(spark, pages, asked, most):
     return search.search_paths(search.path_index(spark.createDataFrame(pages, "page_id int, url string"), "page_id"), spark.createDataFrame(asked, "query string, words string"), most)
 
 
-@pytest.mark.parametrize("most", [1, 4, 30, 1000])
-def test_search_by_common_and_rare_words(spark, most):
+@pytest.mark.parametrize("most, few", [(1, 0), (4, 75_000), (4, 0), (30, 75_000), (1000, 75_000)])
+def test_search_by_common_and_rare_words(spark, monkeypatch, most, few):
     """Words in most URLs, in some and in one; queries without a common, a rare or any known word, in several rows, without a name; a page without an id."""
+    monkeypatch.setattr(search, "FEW", few)
     random.seed(most)
     words = [f"w{k}" for k in range(60)]
     weights = [1 / (k + 1) for k in range(60)]
